@@ -169,7 +169,7 @@ def collect_hits(text: Column, low: Column, bank: Sequence[tuple[str, str]], cap
     case, cut to cap over the whole bank, so early labels can starve later ones."""
 
     def of(label: str, pattern: str) -> Column:
-        found = F.transform(occurrences(text, low, pattern), F.trim)
+        found = F.transform(occurrences(text, low, pattern), lambda x: F.trim(x))
         lowered = F.transform(found, F.lower)
         fresh = F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
         return F.transform(fresh, lambda x: F.struct(F.lit(label).alias("label"), x.alias("evidence")))

@@ -51,7 +51,7 @@ def clean_or_empty(c: Column) -> Column:
 
 def split_list(c: Column, separator: str = ";") -> Column:
     """Trimmed non-blank parts; null text gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -117,7 +117,7 @@ def distinct_ignoring_case(items: Column) -> Column:
 
 
 def join_unique(items: Column, separator: str = "; ") -> Column:
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(distinct_ignoring_case(kept), separator)
 
 
