@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.functions.text import label_text
+from hazardloom.functions.text import label_text, norm_for_matching, short_hash
 from hazardloom.operators import rules, tagging, triage
 from hazardloom.session import shared_path
 
@@ -109,6 +109,7 @@ def narrate(documents: DataFrame) -> DataFrame:
         "doc_id",
         report_id_of(key).alias("report_id"),
         description.alias("description"),
+        F.col("text").alias("raw_text"),
         F.col("lang").alias("department"),
         F.col("source").alias("site"),
         F.concat(F.lit("local_"), F.lpad((hash_of("l", key) % 12).cast("string"), 2, "0")).alias("location"),
@@ -171,6 +172,37 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_STORED[key])
 
 
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation batch over all reports; about one field in twenty breaks its rule."""
+    key = F.col("doc_id")
+    draw = lambda tag: hash_of(tag, key) % 20
+    rows = reports(spark, sf_dir)
+    return rows.select(
+        "report_id", "description", "label",
+        short_hash(norm_for_matching(F.col("raw_text"))).alias("duplicate_group_id"),
+        F.when(draw("s") == 0, "draft").when(draw("s") < 5, "pending").otherwise("Completed").alias("annotation_status"),
+        F.when(draw("t") == 0, "MAYBE").when(draw("t") < 9, "yes").when(draw("t") < 17, "NO").otherwise("UNCERTAIN").alias("sif_potential"),
+        F.when(draw("u") == 0, " ").otherwise("reason").alias("sif_reason"),
+        F.when(draw("e") == 0, None).otherwise("evidence").alias("evidence_text"),
+        F.when(draw("f") == 0, "SURE").otherwise(pick(["HIGH", "MEDIUM", "low"], hash_of("f", key) % 3)).alias("annotator_confidence"),
+        F.when(draw("g") == 0, "").otherwise("annotator").alias("annotator_id"),
+        F.when(draw("k") == 0, None).otherwise("2024-01-01T00:00:00").alias("annotated_at_utc"),
+    )
+
+
+def adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second opinions where the labels table has one; toxic rows are still pending."""
+    return load(spark, sf_dir, "labels").select(
+        report_id_of(F.col("doc_id")).alias("report_id"),
+        F.when(F.col("toxic") == 0, "completed").otherwise("pending").alias("adjudication_status"),
+        F.when(F.col("quality") == 1, "yes").otherwise("no").alias("adjudication_label"),
+        F.when(F.col("quality") == 1, "reason").otherwise("").alias("adjudication_reason"),
+        F.when(F.col("quality") == 1, "HIGH").otherwise("none").alias("adjudication_confidence"),
+        F.lit("adjudicator").alias("adjudicator_id"),
+        F.when(F.col("toxic") == 0, "2024-02-01T00:00:00").alias("adjudicated_at_utc"),
+    )
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a YES/NO label and the 0/1 truth."""
     rows = reports(spark, sf_dir).where(F.col("label").isNotNull())

@@ -20,7 +20,7 @@ def h(tag: str, key: str = "doc_id") -> str:
 REPORTS = f"""reports AS (
   SELECT d.doc_id, 'report_' || lpad(d.doc_id::varchar, 6, '0') AS report_id,
     {qlist(t.SETTINGS)}[({h('a', 'd.doc_id')} % 24) + 1] || ' ' || {qlist(t.OUTCOMES)}[({h('b', 'd.doc_id')} % 16) + 1]
-      || ' Record batch ' || ({h('c', 'd.doc_id')} % 97) || '. ' || translate(d.text, {q(t.ACCENTED)}, {q(t.PLAIN)}) AS description,
+      || ' Record batch ' || ({h('c', 'd.doc_id')} % 97) || '. ' || translate(d.text, {q(t.ACCENTED)}, {q(t.PLAIN)}) AS description, d.text AS raw_text,
     d.lang AS department, d.source AS site,
     'local_' || lpad(({h('l', 'd.doc_id')} % 12)::varchar, 2, '0') AS location,
     ['I','II','III','IV','V'][({h('v', 'd.doc_id')} % 5) + 1] AS actual_level,
@@ -40,6 +40,26 @@ REVIEWS = """reviews AS (
       'user_' || user_id AS reviewer, props AS note, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at
     FROM events) WHERE decision IS NOT NULL)"""
 
+MATCH = "trim(regexp_replace(regexp_replace(lower(raw_text), '\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'))"
+
+
+def d20(tag: str) -> str:
+    return f"({h(tag)} % 20)"
+
+
+ANNOTATIONS = f"""annotations AS (SELECT report_id, description, label, 'derived_' || substr(sha256({MATCH}), 1, 16) AS duplicate_group_id,
+  CASE WHEN {d20('s')} = 0 THEN 'draft' WHEN {d20('s')} < 5 THEN 'pending' ELSE 'Completed' END AS annotation_status,
+  CASE WHEN {d20('t')} = 0 THEN 'MAYBE' WHEN {d20('t')} < 9 THEN 'yes' WHEN {d20('t')} < 17 THEN 'NO' ELSE 'UNCERTAIN' END AS sif_potential,
+  CASE WHEN {d20('u')} = 0 THEN ' ' ELSE 'reason' END AS sif_reason, CASE WHEN {d20('e')} = 0 THEN NULL ELSE 'evidence' END AS evidence_text,
+  CASE WHEN {d20('f')} = 0 THEN 'SURE' ELSE ['HIGH', 'MEDIUM', 'low'][({h('f')} % 3) + 1] END AS annotator_confidence,
+  CASE WHEN {d20('g')} = 0 THEN '' ELSE 'annotator' END AS annotator_id,
+  CASE WHEN {d20('k')} = 0 THEN NULL ELSE '2024-01-01T00:00:00' END AS annotated_at_utc FROM reports)"""
+
+ADJUDICATIONS = """adjudications AS (SELECT 'report_' || lpad(doc_id::varchar, 6, '0') AS report_id, CASE WHEN toxic = 0 THEN 'completed' ELSE 'pending' END AS adjudication_status,
+  CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS adjudication_label, CASE WHEN quality = 1 THEN 'reason' ELSE '' END AS adjudication_reason,
+  CASE WHEN quality = 1 THEN 'HIGH' ELSE 'none' END AS adjudication_confidence, 'adjudicator' AS adjudicator_id,
+  CASE WHEN toxic = 0 THEN '2024-02-01T00:00:00' END AS adjudicated_at_utc FROM labels)"""
+
 NORM = "lower(trim(regexp_replace(description, '\\s+', ' ', 'g')))"
 SQUEEZE = "trim(regexp_replace(description, '\\s+', ' ', 'g'))"
 

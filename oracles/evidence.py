@@ -59,7 +59,7 @@ V15 = (
     + ",\n"
     + tagged_ctes(evidence_v15, {"mi": evidence_v15.MINOR_CONTEXT, "sv": evidence_v15.SEVERE_CONTEXT})
     + f""",
-evidence AS (SELECT *, {joined('hz')} AS hazards, {joined('ex')} AS exposures, {joined('pw')} AS pathways,
+evidence AS MATERIALIZED (SELECT *, {joined('hz')} AS hazards, {joined('ex')} AS exposures, {joined('pw')} AS pathways,
   {joined('cx')} AS context_flags,
   {_case(_reasons, 1, 'UNKNOWN')} AS sif_context_status,
   {_case(_reasons, 2, tagging.CONTEXT_REASONS['nothing'])} AS sif_context_reason,
@@ -92,7 +92,7 @@ PREDICTIONS = (
     V15
     + f""",
 flagged AS (SELECT *, {BOOLS} FROM evidence),
-predictions AS (SELECT *, {_case(POLICY_V14, 1, 'P5')} AS review_priority,
+predictions AS MATERIALIZED (SELECT *, {_case(POLICY_V14, 1, 'P5')} AS review_priority,
   {_case(POLICY_V14, 2, 'LOW_MODEL_NO_PRECURSOR_SIGNAL')} AS review_priority_reason FROM flagged)"""
 )
 
