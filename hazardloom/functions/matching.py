@@ -15,6 +15,8 @@ from re import _parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hazardloom.functions.text import around
+
 Bank = Mapping[str, Sequence[str]]
 
 
@@ -164,6 +166,19 @@ def occurrences(text: Column, low: Column, pattern: str) -> Column:
     return found if guard is None else F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
 
+NUMBER = r"(?<![a-z])(\d+(?:[.,]\d+)?)"
+
+
+def max_number_near(text: Column, cue: str, reach: int = 45) -> Column:
+    """Largest number within reach characters of any hit of the cue, null without one."""
+
+    def numbers(place: Column) -> Column:
+        return F.regexp_extract_all(around(text, place["at"], F.length(place["evidence"]), reach), F.lit(NUMBER), 1)
+
+    found = F.flatten(F.transform(located_hits(text, unicode_word(cue)), numbers))
+    return F.array_max(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
+
+
 def collect_hits(text: Column, low: Column, bank: Sequence[tuple[str, str]], cap: int) -> Column:
     """Array of (label, evidence): all occurrences in bank order, distinct per label without
     case, cut to cap over the whole bank, so early labels can starve later ones."""

@@ -13,11 +13,18 @@ SENTENCE_BODY = r"[^.!?\n]+(?:[.!?]+|$)"
 # Severity levels in rising order.
 LEVELS = ["I", "II", "III", "IV", "V", "VI"]
 
-# Stop words of the token sets.
+# Stop words of the audit token sets, current and first generation.
 STOP_WORDS = [
-    "the", "and", "for", "with", "that", "this", "from", "was", "were", "are",
-    "his", "her", "their", "into", "when", "while", "during", "which", "has",
-    "had", "have", "not", "but", "who", "its", "one", "two", "area", "there",
+    "the", "and", "with", "from", "was", "were", "that", "this", "worker", "person", "employee", "operator",
+    "incident", "during", "while", "his", "her", "their", "into", "onto", "near", "due", "because", "which", "when",
+    "then", "after", "before", "a", "an", "of", "to", "in", "on", "for", "at", "by", "as", "is", "are",
+]
+FIRST_STOP_WORDS = [
+    "the", "and", "that", "with", "from", "this", "were", "was", "when", "while", "into", "onto", "near", "worker",
+    "employee", "operator", "collaborator", "personnel", "during", "performed", "performing", "activity", "work",
+    "working", "area", "event", "injury", "injured", "causing", "cause", "caused", "could", "would", "also", "used",
+    "use", "made", "make", "at", "of", "to", "in", "on", "a", "an", "for", "by", "is", "are", "be", "as", "or",
+    "their", "his", "her", "its", "had", "has", "have", "not", "no", "one", "two", "three", "all", "very", "more",
 ]
 
 
@@ -157,11 +164,27 @@ def sentence_offsets(c: Column) -> Column:
 
 
 def token_set(c: Column) -> Column:
-    """Distinct lower-case words of three letters or more without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z][a-z0-9]{2,}"), 0)
+    """Distinct lower-case words of three characters or more without stop words."""
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")
+    words = F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= 3)
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def first_token_set(c: Column) -> Column:
+    """First generation: words may hold hyphens and must start with a letter."""
+    words = F.regexp_extract_all(norm_key(c), F.lit(r"[a-z][a-z0-9-]{2,}"), 0)
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in FIRST_STOP_WORDS]))
+
+
+def token_recall(wanted: Column, found: Column) -> Column:
+    """Share of the wanted tokens that were found; zero when either set is empty."""
+    return share(F.size(F.array_intersect(wanted, found)), F.size(wanted))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, zero when the whole is empty."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
@@ -181,15 +204,6 @@ def max_number(c: Column, pattern: str) -> Column:
     return F.array_max(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
 
 
-def max_number_near(c: Column, cue: str, number: str, reach: int = 45) -> Column:
-    """Largest number within reach characters of the first cue."""
-    text = F.coalesce(c, F.lit(""))
-    at = F.regexp_instr(text, F.lit(cue))
-    begin = F.greatest(at - reach, F.lit(1))
-    width = at - begin + F.length(F.regexp_extract(text, cue, 0)) + reach
-    return F.when(at > 0, max_number(F.substring(text, begin, width), number))
-
-
 def around(text: Column, at: Column, width: Column, reach: int) -> Column:
     """The text from reach characters before position at (1-based) to reach after the hit."""
     begin = F.greatest(at - reach, F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["evidence", "extraction", "analytics", "evaluation"]
+MODULES = ["evidence", "extraction", "analytics", "evaluation", "model"]
 
 
 def oracle_sql() -> dict[str, str]:
