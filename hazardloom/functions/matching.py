@@ -15,7 +15,7 @@ from re import _parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardloom.functions.text import around
+from hazardloom.functions.text import SENTENCE_BODY, around
 
 Bank = Mapping[str, Sequence[str]]
 
@@ -166,6 +166,21 @@ def occurrences(text: Column, low: Column, pattern: str) -> Column:
     return found if guard is None else F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
 
+def sentence_offsets(text: Column) -> Column:
+    """Array of (start, stop, sentence): half-open character offsets of each trimmed sentence."""
+
+    def placed(x: Column) -> Column:
+        body = x["evidence"]
+        begin = x["at"] - 1
+        return F.struct(
+            (begin + F.length(body) - F.length(F.ltrim(body))).alias("start"),
+            (begin + F.length(F.rtrim(body))).alias("stop"),
+            F.trim(body).alias("sentence"),
+        )
+
+    return F.filter(F.transform(located_hits(text, SENTENCE_BODY), placed), lambda x: x.sentence != "")
+
+
 NUMBER = r"(?<![a-z])(\d+(?:[.,]\d+)?)"
 
 

@@ -134,35 +134,6 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" -•\t"))), lambda s: s != "")
 
 
-def sentence_offsets(c: Column) -> Column:
-    """Array of (start, stop, sentence): half-open character offsets of the trimmed sentence."""
-    text = F.coalesce(c, F.lit(""))
-    bodies = F.regexp_extract_all(text, F.lit(SENTENCE_BODY), 0)
-    gaps = F.split(text, SENTENCE_BODY, -1)
-    width = F.transform(bodies, F.length)
-    gap_width = F.transform(gaps, F.length)
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-    placed = F.aggregate(
-        F.sequence(F.lit(0), F.size(bodies)),
-        zero,
-        lambda acc, i: F.struct(
-            (acc.end + F.coalesce(F.get(gap_width, i), F.lit(0)) + F.coalesce(F.get(width, i), F.lit(0))).alias("end"),
-            F.concat(acc.starts, F.array(acc.end + F.coalesce(F.get(gap_width, i), F.lit(0)))).alias("starts"),
-        ),
-        lambda acc: acc.starts,
-    )
-    located = F.zip_with(
-        bodies,
-        F.slice(placed, 1, F.size(bodies)),
-        lambda s, start: F.struct(
-            (start + F.length(s) - F.length(F.ltrim(s))).alias("start"),
-            (start + F.length(F.rtrim(s))).alias("stop"),
-            F.trim(s).alias("sentence"),
-        ),
-    )
-    return F.filter(located, lambda x: x.sentence != "")
-
-
 def token_set(c: Column) -> Column:
     """Distinct lower-case words of three characters or more without stop words."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")

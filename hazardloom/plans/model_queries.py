@@ -63,7 +63,7 @@ def sentences(spark, sf):
 
 
 def sentence_offsets(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.explode(tx.sentence_offsets(F.col("text"))).alias("s"))
+    rows = _docs(spark, sf).select("doc_id", F.explode(m.sentence_offsets(F.coalesce("text", F.lit("")))).alias("s"))
     return rows.select("doc_id", "s.start", "s.stop", "s.sentence")
 
 
@@ -73,7 +73,7 @@ def token_sets(spark, sf):
 
 
 def token_overlap(spark, sf):
-    """Narrative against benchmark-free reference: the composed sentences against the whole narrative."""
+    """Tokens of the metadata fields against those of the whole narrative."""
     rows = tb.reports(spark, sf)
     a = tx.token_set(F.translate(F.concat_ws(" ", "risk", "site", "department", "location"), "_", " "))
     b = tx.token_set(F.col("description"))
