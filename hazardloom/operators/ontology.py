@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.banks import ontology_v01 as v01
+from hazardloom.banks import ontology_v02 as v02
+from hazardloom.banks import ontology_v03 as v03
 from hazardloom.functions import matching as m
 
 CONFIDENCE = ["LOW", "MEDIUM", "HIGH"]
 
 
-def offset_sentences(df: DataFrame, text: str = "description") -> DataFrame:
+def offset_sentences(df: DataFrame, text: str = "description", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per sentence with its character offset."""
     rows = df.withColumn("_s", m.staged(m.sentence_offsets(F.coalesce(F.col(text), F.lit("")))))
-    long = rows.select("report_id", F.explode("_s").alias("s")).select("report_id", "s.start", "s.sentence")
+    long = rows.select("report_id", *keep, F.explode("_s").alias("s")).select("report_id", *keep, "s.start", "s.sentence")
     return long.withColumn("_low", m.staged(F.lower("sentence")))
 
 
@@ -34,21 +36,47 @@ def _hit(family: str, key: str, label: str, patterns: list[str]) -> Column:
     return F.struct(F.lit(family).alias("family"), F.lit(key).alias("ontology_key"), F.lit(label).alias("label"), place.alias("place"))
 
 
-def _rank(evidence: Column) -> Column:
+def _has_phrase(evidence: Column, phrases: list[str]) -> Column:
     low = F.lower(evidence)
-    strong = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in v01.STRONG])
-    return F.when(strong, 3).when(F.regexp_count(F.trim(evidence), F.lit(r"\S+")) >= 2, 2).otherwise(1)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in phrases])
 
 
-def extract_v01(df: DataFrame, text: str = "description") -> DataFrame:
+def _words(evidence: Column) -> Column:
+    return F.regexp_count(evidence, F.lit(r"\S+"))
+
+
+def _lexical_rank(evidence: Column, priority: Column) -> Column:
+    return F.when(_has_phrase(evidence, v01.STRONG), 3).when(_words(evidence) >= 2, 2).otherwise(1)
+
+
+def _priority_rank(bank):
+    """Confidence from the rule's priority, strong wording and the number of words."""
+
+    def rank(evidence: Column, priority: Column) -> Column:
+        high = (priority >= bank.HIGH_PRIORITY) | _has_phrase(evidence, bank.STRONG)
+        if bank.HIGH_WORDS:
+            high = high | (_words(evidence) >= bank.HIGH_WORDS)
+        return F.when(high, 3).when((priority >= bank.MEDIUM_PRIORITY) | (_words(evidence) >= 2), 2).otherwise(1)
+
+    return rank
+
+
+def _extract(df: DataFrame, text: str, ontology: dict, rank, keep: tuple[str, ...] = ()) -> DataFrame:
     """Best evidence per report and key: highest confidence, then longest, then earliest."""
-    entries = [_hit(f, k, label, p) for f, items in v01.ONTOLOGY.items() for k, (label, p) in items.items()]
-    rows = offset_sentences(df, text).withColumn("_h", m.staged(F.filter(F.array(*entries), lambda x: x.place.isNotNull())))
-    hits = rows.select("report_id", "start", F.explode("_h").alias("h"))
+    entries, priorities = [], []
+    for family, items in ontology.items():
+        for key, (label, patterns, *priority) in items.items():
+            entries.append(_hit(family, key, label, patterns))
+            priorities += [F.lit(f"{family}.{key}"), F.lit(priority[0] if priority else 0)]
+    rows = offset_sentences(df, text, keep).withColumn("_h", m.staged(F.filter(F.array(*entries), lambda x: x.place.isNotNull())))
+    hits = rows.select("report_id", *keep, "start", F.explode("_h").alias("h"))
+    priority = F.element_at(F.create_map(*priorities), F.concat_ws(".", "h.family", "h.ontology_key"))
     spans = hits.select(
-        "report_id", "h.family", "h.ontology_key", "h.label", F.col("h.place.evidence").alias("evidence"),
-        (F.col("start") + F.col("h.place.at") - 1).alias("start"), _rank(F.col("h.place.evidence")).alias("rank"),
+        "report_id", *keep, "h.family", "h.ontology_key", "h.label", F.col("h.place.evidence").alias("evidence"),
+        (F.col("start") + F.col("h.place.at") - 1).alias("start"), rank(F.col("h.place.evidence"), priority).alias("rank"),
     )
+    if keep:
+        spans = spans.where(~F.array_contains(keep[0], F.concat_ws(".", "family", "ontology_key")))
     order = F.struct("rank", F.length("evidence").alias("n"), (-F.col("start")).alias("s"))
     best = spans.groupBy("report_id", "family", "ontology_key", "label").agg(F.max_by(F.struct("evidence", "start", "rank"), order).alias("b"))
     return best.select(
@@ -57,6 +85,34 @@ def extract_v01(df: DataFrame, text: str = "description") -> DataFrame:
     )
 
 
+def extract_v01(df: DataFrame, text: str = "description") -> DataFrame:
+    return _extract(df, text, v01.ONTOLOGY, _lexical_rank)
+
+
+def extract_v02(df: DataFrame, text: str = "description") -> DataFrame:
+    """Contextual patterns whose rule priority drives the confidence."""
+    return _extract(df, text, v02.ONTOLOGY, _priority_rank(v02))
+
+
+def guard_rails(text: Column) -> Column:
+    """Names 'family.key' that the whole narrative rules out."""
+    low = F.lower(text)
+    out = []
+    for (family, key), phrases in v03.DROP_IF.items():
+        out.append(F.when(_has_phrase(text, phrases), f"{family}.{key}"))
+    for (family, key), pattern in v03.DROP_UNLESS.items():
+        found = text.rlike(m.any_case(pattern))
+        guard = m.may_hit(low, pattern)
+        out.append(F.when(~(found if guard is None else guard & found), f"{family}.{key}"))
+    return F.array_compact(F.array(*out))
+
+
+def extract_v03(df: DataFrame, text: str = "description") -> DataFrame:
+    """Stricter patterns, and guard rails that drop keys the narrative as a whole rules out."""
+    railed = df.withColumn("_out", m.staged(guard_rails(F.coalesce(F.col(text), F.lit("")))))
+    return _extract(railed, text, v03.ONTOLOGY, _priority_rank(v03), ("_out",))
+
+
 def ontology_summary(best: DataFrame) -> DataFrame:
     """Counts and signals per report with at least one hit."""
     family, key = F.col("family"), F.col("ontology_key")
