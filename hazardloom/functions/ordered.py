@@ -53,6 +53,26 @@ def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, str])
     )
 
 
+BROADCAST_ROWS = 100_000
+HOT_SHARE = 1000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast hint only after counting; a larger side keeps the shuffle join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows to their one group row, where a group may hold any share of the rows.
+
+    Groups with more than a thousandth of all rows are fewer than a thousand, so they are
+    broadcast and their rows never meet in one task; the other groups use the shuffle join."""
+    total = groups.agg(F.sum(size)).scalar()
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group from the histogram of distinct values."""
     keyed = df.where(F.col(value).isNotNull())
@@ -62,7 +82,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, points: dict[s
     histogram = keyed.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     running = with_running_sums(histogram, [F.col(c) for c in (*by, value)], {"_cum": "_n"})
     totals = running.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min(F.col("_cum") - F.col("_n")).alias("_start"))
-    joined = running.join(totals, by)
+    joined = running.join(broadcast_if_small(totals), by)
     picks = []
     for name, q in points.items():
         spot = (F.col("_total") - 1) * F.lit(float(q))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardloom.functions.ordered import exact_quantiles, with_row_number, with_running_sums
+from hazardloom.functions.ordered import join_groups, with_row_number, with_running_sums
 
 
 def f2_score(tp: Column, fp: Column, fn: Column) -> Column:
@@ -118,9 +118,12 @@ def stratified_folds(df: DataFrame, truth: str, folds: int = 5, repeats: int = 1
 
 def group_folds(df: DataFrame, group: str, truth: str, folds: int = 5, repeats: int = 10) -> DataFrame:
     """As stratified_folds, but groups are dealt by majority label, so no group spans two folds."""
-    groups = df.groupBy(group).agg((F.avg(truth) >= 0.5).cast("int").alias("_major"))
+    groups = df.groupBy(group).agg((F.avg(truth) >= 0.5).cast("int").alias("_major"), F.count(F.lit(1)).alias("_rows"))
     dealt = stratified_folds(groups, "_major", folds, repeats, group)
-    return df.select("report_id", group, truth).join(dealt.drop("_major"), group)
+    places = dealt.groupBy(group).agg(F.collect_list(F.struct("repeat", "fold")).alias("_places"))  # one entry per repeat
+    sized = places.join(groups.select(group, "_rows"), group)
+    rows = join_groups(df.select("report_id", group, truth), sized, group, "_rows").withColumn("_x", F.explode("_places"))
+    return rows.select("report_id", group, truth, "_x.repeat", "_x.fold")
 
 
 def oof_scores(df: DataFrame, repeats: int) -> DataFrame:
@@ -132,7 +135,7 @@ def oof_scores(df: DataFrame, repeats: int) -> DataFrame:
 def group_safe_split(df: DataFrame, group: str, label: str) -> DataFrame:
     """70/15/15 by group within label mix, in hash order."""
     groups = df.groupBy(group).agg(
-        F.when(F.min(label) == F.max(label), F.min(label)).otherwise("MIXED").alias("stratum")
+        F.when(F.min(label) == F.max(label), F.min(label)).otherwise("MIXED").alias("stratum"), F.count(F.lit(1)).alias("_rows")
     )
     numbered = with_row_number(
         groups.withColumn("_h", hash_number(F.lit("split"), F.col(group))), [F.col("stratum"), F.col("_h"), F.col(group)], "_no"
@@ -140,8 +143,8 @@ def group_safe_split(df: DataFrame, group: str, label: str) -> DataFrame:
     sizes = numbered.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"), F.min("_no").alias("_first"))
     share = (F.col("_no") - F.col("_first")) / F.col("_size")
     split = F.when(share < 0.70, "train").when(share < 0.85, "validation").otherwise("test")
-    assigned = numbered.join(sizes, "stratum").select(group, "stratum", split.alias("split"))
-    return df.join(assigned, group)
+    assigned = numbered.join(F.broadcast(sizes), "stratum").select(group, "stratum", "_rows", split.alias("split"))  # three strata
+    return join_groups(df, assigned, group, "_rows").drop("_rows")
 
 
 def split_profile(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -188,14 +188,20 @@ def detailed_v04(df: DataFrame, text: str = "description") -> DataFrame:
 
 def activity_metadata(df: DataFrame, text: str = "description") -> DataFrame:
     """Activities, their evidence and their number for every report."""
+    return with_activities(df, text).select("report_id", "activities", "activity_evidence", "activity_count")
+
+
+def with_activities(df: DataFrame, text: str = "description") -> DataFrame:
+    """Adds the activity columns in place, without a join."""
     rows = df.withColumn("_t", m.staged(F.col(text))).withColumn("_low", m.staged(F.lower("_t")))
     found = rows.withColumn("_a", m.staged(m.collect_hits(_t(), _low(), v04.ACTIVITIES, 5)))
-    return found.select(
-        "report_id",
-        F.array_join(F.array_distinct(labels_of(F.col("_a"))), "; ").alias("activities"),
-        F.array_join(F.array_distinct(evidence_of(F.col("_a"))), "; ").alias("activity_evidence"),
-        F.size("_a").alias("activity_count"),
-    )
+    return found.withColumns(
+        {
+            "activities": F.array_join(F.array_distinct(labels_of(F.col("_a"))), "; "),
+            "activity_evidence": F.array_join(F.array_distinct(evidence_of(F.col("_a"))), "; "),
+            "activity_count": F.size("_a"),
+        }
+    ).drop("_t", "_low", "_a")
 
 
 def _plain(items: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.functions import text as tx
-from hazardloom.functions.ordered import keep_first, with_row_number
+from hazardloom.functions.ordered import join_groups, keep_first, with_row_number
 
 # Text columns, nullable flags and list columns of the canonical report.
 TEXT_FIELDS = [
@@ -57,7 +57,7 @@ def duplicate_groups(df: DataFrame, text: str, id_column: str) -> DataFrame:
     group may be any share of the table, so its ids are rows, never one list."""
     keyed = df.select(F.col(id_column), text_key(F.col(text)).alias("group_key"))
     sizes = keyed.groupBy("group_key").agg(F.count(F.lit(1)).alias("record_count")).where("record_count > 1")
-    return keyed.join(sizes, "group_key").select("group_key", "record_count", id_column)
+    return join_groups(keyed, sizes, "group_key", "record_count").select("group_key", "record_count", id_column)
 
 
 def numbered_groups(df: DataFrame, text: str) -> DataFrame:
@@ -69,7 +69,7 @@ def numbered_groups(df: DataFrame, text: str) -> DataFrame:
         "duplicate_group_size",
         F.concat(F.lit("DUP_"), F.lpad(F.col("_no").cast("string"), F.greatest(F.lit(4), F.length(F.col("_no").cast("string"))), F.lit("0"))).alias("duplicate_group_id"),
     )
-    joined = keyed.drop("_norm").join(numbered, "_key").drop("_key")
+    joined = join_groups(keyed.drop("_norm"), numbered, "_key", "duplicate_group_size").drop("_key")
     return joined.withColumn("is_duplicate", F.col("duplicate_group_size") > 1)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardloom.functions.ordered import keep_first
+from hazardloom.functions.ordered import broadcast_if_small, keep_first
 from hazardloom.functions.text import norm
 
 # Gold-set quota per severity band.
@@ -29,7 +29,7 @@ def select_gold_set(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("chars", F.length("description")).drop("description")
     departments = rows.groupBy("band", "department").agg(F.count(F.lit(1)).alias("department_frequency"))
     pairs = rows.groupBy("band", "department", "risk").agg(F.count(F.lit(1)).alias("combo_frequency"))
-    rows = rows.join(departments, ["band", "department"]).join(pairs, ["band", "department", "risk"])
+    rows = rows.join(broadcast_if_small(departments), ["band", "department"]).join(broadcast_if_small(pairs), ["band", "department", "risk"])
     order = [F.col("department_frequency"), F.col("combo_frequency"), F.desc("actual_number"), F.col("chars"), F.col("report_id")]
     first = keep_first(rows, ["band", "department"], order).withColumn("_pass", F.lit(1))
     # with fewer departments than the quota, twice the quota holds enough other rows

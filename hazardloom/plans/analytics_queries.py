@@ -12,13 +12,11 @@ from hazardloom.operators import preparation as pr
 from hazardloom.plans import tables as tb
 
 
-def _meta(spark, sf):
-    activity = extraction.activity_metadata(tb.reports(spark, sf).select("report_id", "description"))
-    return pr.with_metadata(tb.stored_predictions(spark, sf), activity)
-
-
 def predictions_with_metadata(spark, sf):
-    return _meta(spark, sf).select("report_id", "p", "review_priority", "site", "location", "department", "activity", "activity_count")
+    """Predictions joined one-to-one to an activity table kept apart."""
+    activity = extraction.activity_metadata(tb.reports(spark, sf).select("report_id", "description"))
+    rows = tb.stored_predictions(spark, sf).drop("activity", "activities", "activity_evidence", "activity_count")
+    return pr.with_metadata(rows, activity).select("report_id", "p", "review_priority", "site", "location", "department", "activity", "activity_count")
 
 
 def _gold(spark, sf):
@@ -40,7 +38,7 @@ def gold_join(spark, sf):
 
 
 def overview(spark, sf):
-    return an.overview(_meta(spark, sf))
+    return an.overview(tb.stored_predictions(spark, sf))
 
 
 def priority_distribution(spark, sf):
@@ -55,10 +53,6 @@ def _density(column):
     return lambda spark, sf: an.density(tb.stored_predictions(spark, sf), column, 15)
 
 
-def density_activity(spark, sf):
-    return an.density(_meta(spark, sf), "activity", 15)
-
-
 def review_stats(spark, sf):
     return an.review_stats(tb.reviews(spark, sf))
 
@@ -79,7 +73,7 @@ def queue_with_status(spark, sf):
 def queue_search(spark, sf):
     """P1 and P2 reports mentioning a ladder in any of six fields that nobody has confirmed."""
     fields = ["report_id", "site", "activity", "location", "department", "description"]
-    rows = _meta(spark, sf).where(F.col("review_priority").isin("P1", "P2"))
+    rows = tb.stored_predictions(spark, sf).where(F.col("review_priority").isin("P1", "P2"))
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
     hits = rows.where(F.contains(hay, F.lit("ladder"))).select("report_id", "review_priority", "p")
     return pr.with_review_status(hits, tb.reviews(spark, sf)).where(F.col("review_status") != "CONFIRMED")
@@ -97,7 +91,8 @@ def report_detail(spark, sf):
     """Every report's metadata beside each of its reviews; reports without one keep a row."""
     meta = tb.reports(spark, sf).select("report_id", "site", "location", "department")
     log = tb.reviews(spark, sf).select("report_id", F.col("id").alias("review_id"), "decision", "reviewer", "created_at")
-    return meta.join(log, "report_id", "left")
+    found = log.join(meta, "report_id")
+    return found.unionByName(meta.join(log, "report_id", "left_anti"), allowMissingColumns=True)
 
 
 def append_reviews_valid(spark, sf):
@@ -346,7 +341,7 @@ QUERIES = {
     "density_site": _density("site"),
     "density_location": _density("location"),
     "density_department": _density("department"),
-    "density_activity": density_activity,
+    "density_activity": _density("activity"),
     "review_stats": review_stats,
     "review_queue": review_queue,
     "queue_with_status": queue_with_status,

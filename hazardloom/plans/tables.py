@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.functions.text import label_text, norm_for_matching, short_hash
-from hazardloom.operators import rules, tagging, triage
+from hazardloom.functions.text import first_non_blank, label_text, norm_for_matching, short_hash
+from hazardloom.operators import extraction, rules, tagging, triage
 from hazardloom.session import shared_path
 
 # Setting, hazard and mechanism sentences.
@@ -166,7 +166,8 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = shared_path(spark, "predictions")
-        full = rules.rule_candidates(predictions(spark, sf_dir))
+        full = extraction.with_activities(rules.rule_candidates(predictions(spark, sf_dir)))
+        full = full.drop("raw_text").withColumn("activity", first_non_blank(F.col("activities")))
         full.write.mode("overwrite").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

@@ -128,3 +128,10 @@ def test_empty_input(spark):
     assert evaluation.binary_metrics(empty, "p", "truth", 0.5).first().f2 == 0.0
     single = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "report_id string, p double, truth int")
     assert evaluation.average_precision(single, "p", "truth").first().average_precision == 1.0
+
+
+def test_hot_group_join_is_whole(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = ordered.join_groups(rows, sizes, "k", "n")
+    assert out.count() == 6000 and out.where("k = 0 AND n <> 2000").count() == 0
