@@ -125,17 +125,21 @@ def column_distributions(spark, sf):
     return an.value_counts(rows, columns, 50, "EMPTY", True)
 
 
+def _docs(spark, sf):
+    return tb.spread(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def duplicate_groups(spark, sf):
-    return pr.duplicate_groups(tb.load(spark, sf, "documents"), "text", "doc_id")
+    return pr.duplicate_groups(_docs(spark, sf), "text", "doc_id")
 
 
 def duplicate_group_ids(spark, sf):
-    rows = pr.numbered_groups(tb.load(spark, sf, "documents").select("doc_id", "text"), "text")
+    rows = pr.numbered_groups(_docs(spark, sf), "text")
     return rows.select("doc_id", "duplicate_group_id", "duplicate_group_size", "is_duplicate")
 
 
 def derived_group_id(spark, sf):
-    return pr.hashed_groups(tb.load(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return pr.hashed_groups(_docs(spark, sf), "text").drop("text")
 
 
 def annotation_pool(spark, sf):

@@ -15,7 +15,7 @@ from hazardloom.streaming import streams
 
 
 def _docs(spark, sf):
-    return tb.load(spark, sf, "documents")
+    return tb.spread(tb.load(spark, sf, "documents"), "doc_id")
 
 
 def norm_text(spark, sf):
