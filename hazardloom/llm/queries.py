@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 MODULES = {
+    "op4_byte_bpe": "byte_bpe",
     "op5_quality_rules": "quality_rules",
+    "op8_token_output": "token_output",
 }
 
 
