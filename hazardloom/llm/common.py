@@ -17,10 +17,10 @@ from hazardloom.session import shared_path
 CHUNK = 1 << 20
 END = np.uint64(0xE14D0C5A9B7F2D31)
 _BASE = 0x9E3779B97F4A7C15
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
+BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_FOLDED_CODES = _BYTE_CODES[_FOLD]
+_FOLDED_CODES = BYTE_CODES[_FOLD]
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -126,7 +126,7 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = BLANK)
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """Hash of each byte span (A-Z folded to a-z on request); spans rise and do not overlap."""
-    codes = _FOLDED_CODES if fold else _BYTE_CODES
+    codes = _FOLDED_CODES if fold else BYTE_CODES
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):

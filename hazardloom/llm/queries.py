@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 MODULES = {
+    "op3_ngram_join": "ngram_join",
     "op4_byte_bpe": "byte_bpe",
     "op5_quality_rules": "quality_rules",
+    "op7_suffix_dedup": "suffix_dedup",
     "op8_token_output": "token_output",
 }
 
