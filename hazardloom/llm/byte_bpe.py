@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from hazardloom.llm.common import load, mapped, slices, texts_of
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
-CACHED_PIECES = 500_000
+CACHED_PIECES = 150_000
+LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
 
@@ -72,6 +73,15 @@ def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+def bytes_by_id(vocab: dict[str, int]) -> list[bytes]:
+    """The bytes of every token by the reversed table; a string that is not in it stands for itself."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    out = [b""] * (1 + max(vocab.values(), default=-1))
+    for text, i in vocab.items():
+        out[i] = bytes(back[c] for c in text) if all(c in back for c in text) else text.encode()
+    return out
+
+
 class Codec:
     """A tokenizer of the library with a piece cache, and its tokens' bytes by id."""
 
@@ -79,10 +89,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizer
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        back = {c: b for b, c in enumerate(byte_characters())}
-        self.token_bytes = [b""] * tokenizer.get_vocab_size()
-        for text, i in tokenizer.get_vocab().items():
-            self.token_bytes[i] = bytes(back[c] for c in text) if all(c in back for c in text) else text.encode()
+        self.token_bytes = bytes_by_id(tokenizer.get_vocab())
         self.token_lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self.pieces: dict[str, bytes] = {}  # ids by piece
         self.words: dict[str, bytes] = {}  # ids of a space and the piece
@@ -106,22 +113,20 @@ class Codec:
 
         return cls(Tokenizer.from_str(data.decode()))
 
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self.pieces]
-        for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _spaced(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.words))
-        for w, e in zip(fresh, self.tokenizer.encode_batch([" " + w for w in fresh], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Adds the ids of each piece with the leading space, a few pieces at a time."""
+        fresh = list(pieces.difference(known))
+        for at in range(0, len(fresh), LEARNED_AT_ONCE):
+            part = fresh[at : at + LEARNED_AT_ONCE]
+            for p, e in zip(part, self.tokenizer.encode_batch([lead + p for p in part], add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         cut = [t.split(" ") if evenly_spaced(t) else None for t in texts]
         odd = [CUT.split(t) if c is None else None for t, c in zip(texts, cut, strict=True)]
-        self._learn({c[0] for c in cut if c} | {p for o in odd if o for p in o})
-        self._spaced(set().union(*[c[1:] for c in cut if c]))
+        self._learn(self.pieces, {c[0] for c in cut if c} | {p for o in odd if o for p in o}, "")
+        self._learn(self.words, set().union(*[c[1:] for c in cut if c]), " ")
         first, word = self.pieces, self.words.__getitem__
         out = [
             b"".join(map(first.__getitem__, o)) if c is None else first[c[0]] + b"".join(map(word, c[1:])) for c, o in zip(cut, odd, strict=True)
@@ -131,9 +136,6 @@ class Codec:
                 del known[p]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
     def byte_starts(self, ids: bytes) -> np.ndarray:
         ends = np.cumsum(self.token_lengths[np.frombuffer(ids, "<u4")])
         return np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
@@ -167,6 +169,15 @@ def codec_of(source: tuple) -> Codec:
     return _CODECS[key]
 
 
+def token_table(source: tuple) -> list[bytes]:
+    """Bytes by id, without making an encoder."""
+    file, pattern = source
+    if pattern is None:
+        return codec_of(source).token_bytes
+    shown = byte_characters()
+    return bytes_by_id({"".join(shown[b] for b in t): r for t, r in read_ranks(file.value).items()})
+
+
 def vocabulary(spark: SparkSession, path: str, pattern: str | None = None) -> tuple:
     """A vocabulary file of a few MB sent to all workers: ranks with their pattern, or the library's own format."""
     with open(path, "rb") as f:
@@ -181,7 +192,7 @@ def encode(docs: DataFrame, vocab: tuple, offsets: bool = False) -> DataFrame:
     def run(batches):
         codec = codec_of(vocab)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2 << 20):
                 texts = b.column("text").to_pylist()
                 ids = codec.encode(texts)
                 columns = [b.column("doc_id"), pa.array(ids, pa.binary())]
@@ -197,10 +208,12 @@ def decode(rows: DataFrame, vocab: tuple) -> DataFrame:
     schema = "doc_id long, ids binary, decoded binary"
 
     def run(batches):
-        codec = codec_of(vocab)
+        table = token_table(vocab)
         for b in batches:
-            decoded = [codec.decode(x or b"") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                decoded = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return mapped(rows.select("doc_id", "ids"), run, schema)
 

@@ -120,7 +120,7 @@ def write(docs: DataFrame, vocab: tuple, folder: str, length: int = 2048, end_id
         path = f"{folder}/ids-{n:06d}-{task.taskAttemptId()}.arrow"
         system, inner = file_system(path)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2 << 20):
                 if writer is None:
                     system.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(f"{inner}.writing")
