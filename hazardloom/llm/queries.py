@@ -15,6 +15,7 @@ MODULES = {
     "op5_quality_rules": "quality_rules",
     "op7_suffix_dedup": "suffix_dedup",
     "op8_token_output": "token_output",
+    "op9_language_id": "language_id",
 }
 
 
