@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 MODULES = {
     "op1_lm_scoring": "lm_scoring",
+    "op2_quality_classifier": "quality_classifier",
     "op3_ngram_join": "ngram_join",
     "op4_byte_bpe": "byte_bpe",
     "op5_quality_rules": "quality_rules",
