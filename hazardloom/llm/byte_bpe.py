@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import os
 import re
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from hazardloom.llm.common import load, mapped, slices, texts_of
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
-CACHED_PIECES = 150_000
+CACHED_PIECES = 600_000
 LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
@@ -46,6 +47,21 @@ def evenly_spaced(text: str) -> bool:
     return text.isascii() or not any(c in text for c in WIDE_BLANKS)
 
 
+def parts_of(lead: str, piece: str):
+    """Parts that the splitting pattern never joins: the sides of a line break between visible characters, and a comma
+    or full stop after Latin letters."""
+    head, _, tail = piece.partition("\n")
+    if head and tail and not head[-1].isspace() and not tail[0].isspace():
+        yield from parts_of(lead, head)
+        yield "", "\n"
+        yield from parts_of("", tail)
+    elif piece[-1:] in (",", ".") and piece[:-1].isalpha() and max(piece) < "\u0250":
+        yield lead, piece[:-1]
+        yield "", piece[-1]
+    else:
+        yield lead, piece
+
+
 def byte_characters() -> list[str]:
     """The printable character of each byte: itself where it is visible, else one from 256 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -91,8 +107,9 @@ class Codec:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.token_bytes = bytes_by_id(tokenizer.get_vocab())
         self.token_lengths = np.array([len(b) for b in self.token_bytes], np.int64)
-        self.pieces: dict[str, bytes] = {}  # ids by piece
-        self.words: dict[str, bytes] = {}  # ids of a space and the piece
+        #: Ids of pieces by what leads them: nothing, or a space.
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.long: list[tuple[str, str]] = []
 
     @classmethod
     def from_ranks(cls, data: bytes, pattern: str) -> Codec:
@@ -113,27 +130,41 @@ class Codec:
 
         return cls(Tokenizer.from_str(data.decode()))
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Adds the ids of each piece with the leading space, a few pieces at a time."""
-        fresh = list(pieces.difference(known))
+    def _learn(self, wanted: list[tuple[str, str]]) -> None:
+        """Adds the ids of (lead, piece), a lead being a space or nothing: its parts are encoded a few at a time and joined."""
+        parts = {w: list(parts_of(*w)) for w in wanted}
+        fresh = list({x for found in parts.values() for x in found if x[1] not in self.known[x[0]]})
         for at in range(0, len(fresh), LEARNED_AT_ONCE):
-            part = fresh[at : at + LEARNED_AT_ONCE]
-            for p, e in zip(part, self.tokenizer.encode_batch([lead + p for p in part], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+            some = fresh[at : at + LEARNED_AT_ONCE]
+            for (lead, p), e in zip(some, self.tokenizer.encode_batch_fast([a + b for a, b in some], add_special_tokens=False), strict=True):
+                self.known[lead][p] = np.array(e.ids, "<u4").tobytes()
+        for (lead, p), found in parts.items():
+            self.known[lead][p] = b"".join([self.known[a][b] for a, b in found])
+        self.long += [w for w in (*wanted, *fresh) if len(w[1]) > CACHED_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") if evenly_spaced(t) else None for t in texts]
-        odd = [CUT.split(t) if c is None else None for t, c in zip(texts, cut, strict=True)]
-        self._learn(self.pieces, {c[0] for c in cut if c} | {p for o in odd if o for p in o}, "")
-        self._learn(self.words, set().union(*[c[1:] for c in cut if c]), " ")
-        first, word = self.pieces, self.words.__getitem__
-        out = [
-            b"".join(map(first.__getitem__, o)) if c is None else first[c[0]] + b"".join(map(word, c[1:])) for c, o in zip(cut, odd, strict=True)
-        ]
-        for known in (self.pieces, self.words):
-            for p in [p for p in known if len(p) > CACHED_LENGTH] if len(known) <= CACHED_PIECES else list(known):
-                del known[p]
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects are made here, none in cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        first, spaced = self.known[""], self.known[" "]
+        cut = [(t.split(" "), True) if evenly_spaced(t) else (CUT.split(t), False) for t in texts]
+        opening = {c[0] for c, _ in cut} | {p for c, even in cut if not even for p in c}
+        inner = set().union(*[c[1:] for c, even in cut if even])
+        self._learn([("", p) for p in opening.difference(first)] + [(" ", p) for p in inner.difference(spaced)])
+        out = [first[c[0]] + b"".join(map((spaced if even else first).__getitem__, c[1:])) for c, even in cut]
+        for lead, p in self.long:
+            self.known[lead].pop(p, None)
+        self.long.clear()
+        for known in self.known.values():
+            if len(known) > CACHED_PIECES:
+                known.clear()
         return out
 
     def byte_starts(self, ids: bytes) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.session import shared_path
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 END = np.uint64(0xE14D0C5A9B7F2D31)
 _BASE = 0x9E3779B97F4A7C15
 BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -41,6 +41,12 @@ def texts_of(docs: DataFrame, *more: Column | str, text: str = "text") -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+def bitmap_bits(rows: DataFrame, text: str, bytes_per_bit: int, most: int = 30) -> int:
+    """Size of a bitmap that follows the amount of text up to 2**most bits, which bounds what is sent to workers."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(most, max(20, (size // bytes_per_bit).bit_length()))
+
+
 def text_key(text: Column) -> list[Column]:
     """128-bit fingerprint of a text in two columns; equal texts have equal results whatever their ids."""
     return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("second"), text, F.length(text)).alias("_k2")]
@@ -76,7 +82,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(columns: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(columns: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut so that each part holds about `most` bytes of text; a longer text is a part of its own."""
     _, bounds = text_bytes(columns.column(column))
     at = 0

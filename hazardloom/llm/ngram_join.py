@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import load, mapped, marked, mix, repeated_bitmap, shingle_sets, slices, staged, texts_of
+from hazardloom.llm.common import bitmap_bits, load, mapped, marked, mix, repeated_bitmap, shingle_sets, slices, staged, texts_of
 from hazardloom.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-BITS = 30
+BYTES_PER_BIT = 16  # of the bitmap of repeated shingles
+BITS = 26  # of the bitmap of shingles in several components
 FRAGMENTS = 8
 MINIMA = 4
 SPARE = 30  # percent of a set looked at beyond the shortest prefix
@@ -45,10 +46,11 @@ def least_hits(n: int, percent: int, spare: int) -> int:
     return max(1, n * spare * percent // 10_000)
 
 
-def set_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, spare: int = SPARE, bits: int = BITS) -> DataFrame:
+def set_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, spare: int = SPARE, bits: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, a fingerprint of the set (f1, f2), and the set itself, as an array of
     hashes, where it may have a link, else null."""
     rows = texts_of(docs)
+    bits = bits or bitmap_bits(rows, "text", BYTES_PER_BIT)
 
     def prefixes(whole):
         for b in slices(whole, "text"):
@@ -139,7 +141,7 @@ def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
     return met.select(F.col("cls").alias("a"), "b").distinct()
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, minima: int = MINIMA, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, minima: int = MINIMA, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (f1, f2, cls, n, component), and the links found (a, b, overlap).
 
     cls is the class's smallest doc_id, or its fingerprint where no row has an id or another class has the same."""
@@ -152,14 +154,14 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRA
     found = staged(verified(star_pairs(classes, minima, percent), segments, percent), "links")
     nodes = classes.select(F.col("cls").alias("node"))
     grouped = classes.join(components(nodes, found).withColumnRenamed("node", "cls"), "cls")
-    more = staged(verified(cross_pairs(grouped, percent, bits - 4), segments, percent), "links")
+    more = staged(verified(cross_pairs(grouped, percent, bits or BITS), segments, percent), "links")
     if more.isEmpty():
         return grouped.drop("hashes"), found
     links = found.union(more)
     return classes.drop("hashes").join(components(nodes, links).withColumnRenamed("node", "cls"), "cls"), links
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, class_id (smallest id with the same set), component_id and a
     count of the class's links."""
     sets = staged(set_rows(docs, words, percent, bits=bits), "sets")
@@ -177,7 +179,7 @@ def op3(docs: DataFrame) -> DataFrame:
     return near_groups(docs)
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """docs with one document of each group: the one with the smallest id. Rows without an id, and all rows
     whose set is empty, stay."""
     groups = near_groups(docs, words, percent, bits)

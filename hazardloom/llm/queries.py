@@ -20,8 +20,20 @@ MODULES = {
 }
 
 
+#: Bytes of an Arrow batch: whole texts can be long, and several batches are in memory at once.
+BATCH_BYTES = "8m"
+
+
+def in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"hazardloom.llm.{module}").query for name, module in MODULES.items()}
+    return {name: in_small_batches(import_module(f"hazardloom.llm.{module}").query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardloom.llm.common import BYTE_CODES, buckets_for, load, mapped, marked, mix, powers, repeated_bitmap, slices, text_bytes
+from hazardloom.llm.common import BYTE_CODES, bitmap_bits, buckets_for, load, mapped, marked, mix, powers, repeated_bitmap, slices, text_bytes
 
 LENGTH = 200
 GRAM = 24
 DIGIT = 40
-BITS = 28
-CHUNK = 1 << 20
+BYTES_PER_BIT = 64  # of the bitmap of repeated grams
+CHUNK = 1 << 18
 _PLACE = 22
 
 
@@ -207,13 +207,14 @@ def _sort_bucket(table: pa.Table, length: int, digit: int) -> pa.Table:
     return pa.concat_tables([settled.cast(_FOUND), found])
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digit: int = DIGIT, bits: int = BITS, text: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digit: int = DIGIT, bits: int | None = None, text: str = "text") -> DataFrame:
     """Intervals of starts of repeated windows: row fingerprint (k1, k2), first and last start in bytes."""
     if not gram <= length or not digit <= length:
         raise ValueError("grams and digits are parts of the window")
     spark = docs.sparkSession
     rows = _row_keys(docs, text).where(F.octet_length(text) >= length).select("_sd_k1", "_sd_k2", F.col(text).alias("_text"))
     buckets = 4 * buckets_for(spark)
+    bits = bits or bitmap_bits(rows, "_text", BYTES_PER_BIT)
 
     def grams_of(whole):
         for b in slices(whole, "_text"):
