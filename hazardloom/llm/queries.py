@@ -17,6 +17,7 @@ MODULES = {
     "op7_suffix_dedup": "suffix_dedup",
     "op8_token_output": "token_output",
     "op9_language_id": "language_id",
+    "op10_license_scan": "license_scan",
 }
 
 
