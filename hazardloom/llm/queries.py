@@ -14,6 +14,7 @@ MODULES = {
     "op3_ngram_join": "ngram_join",
     "op4_byte_bpe": "byte_bpe",
     "op5_quality_rules": "quality_rules",
+    "op6_decontamination": "decontamination",
     "op7_suffix_dedup": "suffix_dedup",
     "op8_token_output": "token_output",
     "op9_language_id": "language_id",
