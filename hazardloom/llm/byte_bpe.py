@@ -249,16 +249,21 @@ def decode(rows: DataFrame, vocab: tuple) -> DataFrame:
     return mapped(rows.select("doc_id", "ids"), run, schema)
 
 
-def op4(docs: DataFrame, vocab: tuple) -> DataFrame:
-    """Per document the number of tokens and digests of its ids and of the bytes they decode to."""
-    return decode(encode(docs, vocab), vocab).select(
+def digests(rows: DataFrame, *more: str) -> DataFrame:
+    """Per decoded row the number of tokens and digests of its ids and bytes."""
+    return rows.select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
+def op4(docs: DataFrame, vocab: tuple) -> DataFrame:
+    return digests(decode(encode(docs, vocab), vocab))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
