@@ -40,6 +40,7 @@ DIGIT = 40
 BYTES_PER_BIT = 64  # of the bitmap of repeated grams
 CHUNK = 1 << 18
 _PLACE = 22
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
 def rolling(data: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +86,8 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
         stop = np.ones(n, bool)
         stop[:-1] = new[1:] | ~good[1:]
         ends = np.flatnonzero(stop & good)
-        yield starts + origin, ends + origin, at[starts] + origin, grams[at[starts]]
+        # smallest hashes are small: spread anew, or they would all fall in the first buckets
+        yield starts + origin, ends + origin, at[starts] + origin, mix(grams[at[starts]] ^ _SPREAD)
 
 
 def _row_keys(docs: DataFrame, text: str) -> DataFrame:
