@@ -132,12 +132,16 @@ def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
     names = classes.select("cls", "n", "component", "hashes")
     left = staged(mapped(names, keep, "cls long, n long, component long, hashes array<long>"), "open-classes")
     held = left.select("cls", "n", "component", F.explode("hashes").alias("h"))
-    known = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    known = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h", "df")
     ranked = held.join(known, "h").groupBy("cls", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
-    shortest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    first = staged(ranked.select("cls", "n", "component", F.explode(F.slice("order", 1, shortest.cast("int"))).alias("x")).select("cls", "n", "component", "x.h").where("x.df > 1"), "rare-shingles")
-    other = first.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), "h")
-    met = first.join(other, "h").where((F.col("cls") < F.col("b")) & (F.col("component") != F.col("component_b")) & length_fits(F.col("n"), F.col("n_b"), percent))
+    ranked = ranked.withColumn("common", F.size("order")).where(100 * F.col("common") >= percent * F.col("n"))
+    shortest = F.col("common") - F.ceil(F.col("n") * percent / 100) + 1
+    first = ranked.select("cls", "n", "component", "common", F.explode(F.slice("order", 1, shortest.cast("int"))).alias("x"))
+    first = staged(first.select("cls", "n", "component", "common", "x.h"), "rare-shingles")
+    other = first.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("common").alias("common_b"), "h")
+    # an overlap is no larger than the shared shingles of either side, and the threshold asks for so many of both sizes
+    reach = (100 + percent) * F.least("common", "common_b") >= percent * (F.col("n") + F.col("n_b"))
+    met = first.join(other, "h").where((F.col("cls") < F.col("b")) & (F.col("component") != F.col("component_b")) & length_fits(F.col("n"), F.col("n_b"), percent) & reach)
     return met.select(F.col("cls").alias("a"), "b").distinct()
 
 
