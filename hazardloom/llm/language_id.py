@@ -76,10 +76,8 @@ class Model:
         total = counts.sum()
 
         def maximise(p, shares):
-            for _ in range(ROUNDS):
-                weight = p * shares
-                norm = weight.sum(1, keepdims=True)
-                shares = (counts[:, None] * weight / norm).sum(0) / total
+            for _ in range(ROUNDS if len(shares) > 1 else 0):
+                shares = shares * ((counts / (p @ shares)) @ p) / total
             return shares, float(counts @ np.log(p @ shares))
 
         n = len(self.languages)
@@ -88,7 +86,7 @@ class Model:
         best, best_value = None, -np.inf
         for k in range(1, n + 1):
             chosen = order[:k]
-            own, value = maximise(p[:, chosen], np.full(k, 1.0) / k if k == 1 else whole[chosen] / whole[chosen].sum())
+            own, value = maximise(np.ascontiguousarray(p[:, chosen]), whole[chosen] / whole[chosen].sum())
             value -= PENALTY * k * np.log(max(2.0, total))
             if value <= best_value:
                 break

@@ -64,7 +64,8 @@ def test_rows_with_equal_or_no_ids(spark):
 def test_whole_table_query_and_cleaning(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     texts = [r.text for r in table.orderBy("doc_id").collect()]
-    assert [got(suffix_dedup.query(spark, SF).collect())[i] for i in range(len(texts))] == brute(texts, 200)
+    found = got(suffix_dedup.query(spark, SF).collect())
+    assert [found[i] for i in range(len(texts))] == brute(texts, 200)
     clean = suffix_dedup.cleaned(table)
     assert clean.columns == table.columns and clean.count() == len(texts)
 
