@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 BLANK_RUN = r"(?U)\s+"
 PUNCTUATION = r"(?U)[^\w\s]"
 SENTENCE_BREAK = r"(?<=[.!?;])\s+|\n+"
-SENTENCE_BODY = r"[^.!?\n]+(?:[.!?]+|$)"
+SENTENCE_BODY = r"(?md)[^.!?\n]+(?:[.!?]+|$)"  # $ also stands before a line break, and only before \n
 
 # Severity levels in rising order.
 LEVELS = ["I", "II", "III", "IV", "V", "VI"]
@@ -67,14 +67,19 @@ def tokens(c: Column) -> Column:
     return F.filter(split_list(c, r"[|,]"), lambda x: F.lower(x) != "nan")
 
 
+def zero_padded(digits: Column, width: int = 6) -> Column:
+    """Digits filled up with zeros; longer ones stay whole."""
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+
+
 def padded_id(prefix: str, number: Column, width: int = 6) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), zero_padded(number.cast("string"), width))
 
 
 def normalise_id(c: Column) -> Column:
     """'17', '17.0' or 'x_000017' to '000017'."""
     digits = F.regexp_extract(F.trim(c.cast("string")), r"(\d+)(?:\.0)?$", 1)
-    return F.when(digits != "", F.lpad(digits, 6, "0"))
+    return F.when(digits != "", zero_padded(digits))
 
 
 def lenient_timestamp(c: Column) -> Column:

@@ -97,8 +97,8 @@ def review_stats(reviews: DataFrame) -> DataFrame:
     return sets.select(scope.alias("scope"), F.coalesce("decision", "reviewer", F.lit("all")).alias("value"), "reviews")
 
 
-def value_counts(df: DataFrame, columns: list[str], top: int, empty: str = "<NULL>", blank_is_empty: bool = False) -> DataFrame:
-    """Long form (column, value, records): the most frequent values of each column."""
+def value_counts(df: DataFrame, columns: list[str], top: int | None, empty: str = "<NULL>", blank_is_empty: bool = False) -> DataFrame:
+    """Long form (column, value, records): the most frequent values of each column, or all."""
     cell = lambda c: F.coalesce(clean(F.col(c)) if blank_is_empty else F.col(c).cast("string"), F.lit(empty))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("value")) for c in columns])
     counts = (
@@ -106,7 +106,7 @@ def value_counts(df: DataFrame, columns: list[str], top: int, empty: str = "<NUL
         .groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("records"))
     )
-    return keep_first(counts, ["column"], [F.desc("records"), F.col("value")], top)
+    return counts if top is None else keep_first(counts, ["column"], [F.desc("records"), F.col("value")], top)
 
 
 def quality_report(df: DataFrame, text: str, id_column: str, timestamp: str) -> DataFrame:

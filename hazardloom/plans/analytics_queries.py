@@ -112,21 +112,22 @@ def quality_report(spark, sf):
     return an.quality_report(tb.reports(spark, sf), "raw_text", "report_id", "raw_date")
 
 
+VALUES_SHOWN = 20
 DIMENSIONS = ["actual_level", "potential_level", "site", "location", "department", "risk"]
 
 
 def quality_distributions(spark, sf):
-    return an.value_counts(tb.reports(spark, sf), DIMENSIONS, 10)
+    return an.value_counts(tb.reports(spark, sf), DIMENSIONS, VALUES_SHOWN)
 
 
 def column_distributions(spark, sf):
     rows = triage.priority_v12(tb.stored_predictions(spark, sf))
     columns = ["review_priority", "model_evidence_conflicts", "sif_context_status", "pathway_assessment"]
-    return an.value_counts(rows, columns, 50, "EMPTY", True)
+    return an.value_counts(rows, columns, None, "EMPTY", True)
 
 
 def _docs(spark, sf):
-    return tb.spread(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return tb.dealt(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def duplicate_groups(spark, sf):
@@ -190,7 +191,7 @@ def tier_metrics(spark, sf):
 
 
 def evidence_summary(spark, sf):
-    rows = tb.stored_predictions(spark, sf).withColumn("y", tx.binary_label(F.col("label")))
+    rows = tb.with_labels(tb.stored_predictions(spark, sf).drop("description"), spark, sf).withColumn("y", tx.binary_label(F.col("label")))
     return an.evidence_summary(rows.withColumn("conflict_type", triage.conflict_type(F.col("p"), F.col("y"))))
 
 

@@ -11,7 +11,7 @@ from hazardloom.banks import evidence_v15, rules as rule_bank
 from hazardloom.functions import matching as m
 from hazardloom.functions.text import binary_label, norm
 from hazardloom.operators import analytics, rules, tagging, triage
-from hazardloom.plans.tables import predictions, reports, stored_predictions
+from hazardloom.plans.tables import predictions, reports, stored_predictions, with_labels
 
 SIGNALS = ["hazard_signal", "exposure_signal", "pathway_signal", "pathway_signal_strength", "complete_pathway"]
 NAMES = ["hazards", "exposures", "pathways"]
@@ -123,7 +123,7 @@ def triage_v12(spark, sf):
 
 
 def conflicted(spark, sf):
-    tags = _tagged(spark, sf).withColumn("y", binary_label(F.col("label")))
+    tags = with_labels(_tagged(spark, sf).drop("description", "raw_text"), spark, sf).withColumn("y", binary_label(F.col("label")))
     return tags.withColumn("conflict_type", triage.conflict_type(F.col("p"), F.col("y")))
 
 

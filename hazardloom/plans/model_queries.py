@@ -15,7 +15,7 @@ from hazardloom.streaming import streams
 
 
 def _docs(spark, sf):
-    return tb.spread(tb.load(spark, sf, "documents"), "doc_id")
+    return tb.dealt(tb.load(spark, sf, "documents"), "doc_id")
 
 
 def norm_text(spark, sf):
@@ -146,7 +146,7 @@ def attach_embeddings(spark, sf):
 
 
 def _assembled(spark, sf):
-    rows = tb.reports(spark, sf).select("doc_id", "report_id", "description", "label", "p")
+    rows = tb.with_labels(tb.reports(spark, sf).select("doc_id", "report_id", "description", "p"), spark, sf)
     features = tagging.pathway_feature_columns(rows)
     vectors = tb.load(spark, sf, "embeddings").select("vec_id", "embedding")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
@@ -182,7 +182,7 @@ def hybrid_scores(spark, sf):
 def _structured(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
-    rows = tagging.pathway_feature_columns(tb.reports(spark, sf).select("report_id", "description", "label"))
+    rows = tb.with_labels(tagging.pathway_feature_columns(tb.reports(spark, sf).select("report_id", "description")).drop("description"), spark, sf)
     return VectorAssembler(inputCols=tagging.pathway_feature_names(), outputCol="features").transform(rows).select("report_id", "label", "features").persist()
 
 
@@ -234,7 +234,18 @@ def stream_reviews(spark, sf):
 
 
 def stream_latest_review(spark, sf):
-    return streams.replace_available(streams.latest_stream(_review_stream(spark, sf)), shared_path(spark, "latest"), shared_path(spark, "latest-log"))
+    latest = streams.latest_stream(_review_stream(spark, sf))
+    return streams.upsert_available(latest, shared_path(spark, "latest"), shared_path(spark, "latest-log"), "report_id", "id")
+
+
+def stream_decision_counts(spark, sf):
+    return streams.decision_counts(stream_latest_review(spark, sf))
+
+
+def report_ids_large(spark, sf):
+    """Ids beyond six digits, made and read back."""
+    made = tb.report_id_of(F.col("doc_id") + 10_000_000)
+    return tb.load(spark, sf, "documents").select("doc_id", made.alias("report_id"), tx.normalise_id(made).alias("number"))
 
 
 QUERIES = {
@@ -248,5 +259,5 @@ QUERIES = {
     "attach_embeddings": attach_embeddings, "assembled_features": assembled_features, "logreg_scores": logreg_scores,
     "hybrid_scores": hybrid_scores, "structured_models": structured_models, "top_coefficients": top_coefficients,
     "batch_inference": batch_inference, "stream_triage": stream_triage, "stream_reviews": stream_reviews,
-    "stream_latest_review": stream_latest_review,
+    "stream_latest_review": stream_latest_review, "stream_decision_counts": stream_decision_counts, "report_ids_large": report_ids_large,
 }

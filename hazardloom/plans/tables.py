@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.functions.text import first_non_blank, label_text, norm_for_matching, short_hash
+from hazardloom.functions.text import first_non_blank, label_text, norm_for_matching, padded_id, short_hash
 from hazardloom.operators import extraction, rules, tagging, triage
 from hazardloom.session import shared_path
 
@@ -73,11 +73,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Tagging is CPU bound: hash out an input with fewer splits than the cluster has cores.
-    An input with enough splits, as any large one, is left where it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+#: Setting of a session: tasks to deal a table of few splits out to. Unset, the file splits and adaptive execution decide.
+INPUT_PARTITIONS = "hazardloom.inputPartitions"
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def hash_of(tag: str, key: Column) -> Column:
@@ -89,7 +91,7 @@ def pick(values: list, index: Column) -> Column:
 
 
 def report_id_of(number: Column) -> Column:
-    return F.concat(F.lit("report_"), F.lpad(number.cast("string"), 6, "0"))
+    return padded_id("report_", number)
 
 
 def narrate(documents: DataFrame) -> DataFrame:
@@ -123,15 +125,20 @@ def narrate(documents: DataFrame) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports; their labels come by `with_labels`, after the narrative is no longer needed."""
+    return narrate(dealt(load(spark, sf_dir, "documents"), "doc_id"))
+
+
+def with_labels(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds the label of each report, null where it has none."""
     labels = load(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("label_doc"), F.when(F.col("quality") == 1, "YES").otherwise("NO").alias("label")
+        report_id_of(F.col("doc_id")).alias("report_id"), F.when(F.col("quality") == 1, "YES").when(F.col("quality") == 0, "NO").alias("label")
     )
-    told = narrate(spread(load(spark, sf_dir, "documents"), "doc_id"))
-    return told.join(labels, told.doc_id == labels.label_doc, "left").drop("label_doc")
+    return rows.join(labels, "report_id", "left")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review log: purchases confirm, errors reject, views ask for more."""
+    """Review log: purchases confirm, errors reject, views ask for more; other events are decisions no policy knows."""
     n = load(spark, sf_dir, "documents").select(F.count(F.lit(1)).alias("n"))
     return review_rows(load(spark, sf_dir, "events"), n.scalar())
 
@@ -141,6 +148,7 @@ def review_rows(events: DataFrame, report_count: Column) -> DataFrame:
         F.when(F.col("event_type") == "purchase", "CONFIRMED")
         .when(F.col("event_type") == "error", "REJECTED")
         .when(F.col("event_type") == "view", "NEEDS_MORE_INFO")
+        .otherwise(F.upper("event_type"))
     )
     return events.select(
         F.col("event_id").alias("id"),
@@ -149,7 +157,7 @@ def review_rows(events: DataFrame, report_count: Column) -> DataFrame:
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("reviewer"),
         F.col("props").alias("note"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
-    ).where(F.col("decision").isNotNull())
+    )
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +185,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation batch over all reports; about one field in twenty breaks its rule."""
     key = F.col("doc_id")
     draw = lambda tag: hash_of(tag, key) % 20
-    rows = reports(spark, sf_dir)
+    rows = with_labels(reports(spark, sf_dir), spark, sf_dir)
     return rows.select(
         "report_id", "description", "label",
         short_hash(norm_for_matching(F.col("raw_text"))).alias("duplicate_group_id"),
@@ -206,5 +214,5 @@ def adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a YES/NO label and the 0/1 truth."""
-    rows = reports(spark, sf_dir).where(F.col("label").isNotNull())
+    rows = with_labels(reports(spark, sf_dir), spark, sf_dir).where(F.col("label").isNotNull())
     return rows.withColumn("truth", (label_text(F.col("label")) == "YES").cast("int"))

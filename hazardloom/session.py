@@ -18,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "haz
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("hazardloom.inputPartitions", cores if cores.isdigit() else "8")
         .getOrCreate()
     )
 

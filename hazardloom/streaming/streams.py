@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardloom.operators import preparation, rules, tagging, triage
+from hazardloom.session import materialise
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Parquet files of one table as they arrive in a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    """Parquet files of one table as they arrive: the table is a file, or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    # written as a pattern, the path may be that of a file
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def triage_stream(reports: DataFrame) -> DataFrame:
@@ -30,22 +33,42 @@ def latest_stream(reviews: DataFrame) -> DataFrame:
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run what is there into an append-only Parquet table and read it back."""
+    """Run what is there into an append-only Parquet table and read it back; nothing arrived gives an empty table."""
+    spark = stream.sparkSession
+    # without a finished batch the folder holds this file alone; the sink's log hides it from the first batch on
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)
     query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
-def replace_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Keep the full aggregate current: every batch writes a new version, the last one is read back."""
+BUCKETS = 16
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    query = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    )
+def upsert_available(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> DataFrame:
+    """Keep the newest row per key: each batch rewrites only the buckets that its keys fall in.
+
+    A batch that runs twice changes nothing, as the newest row stays the newest. The buckets are
+    the files' partitions; a bucket holds a hash range of keys, so none is hot."""
+    spark = stream.sparkSession
+    columns = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
+    stored = lambda: spark.read.schema(schema).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        arrived = batch.withColumn("bucket", F.pmod(F.hash(key), F.lit(BUCKETS)))
+        touched = arrived.select("bucket").distinct()
+        old = stored().join(F.broadcast(touched), "bucket", "left_semi").select(*columns, "bucket")
+        newest = arrived.unionByName(old).groupBy("bucket", key).agg(*[F.max_by(c, order).alias(c) for c in columns if c != key])
+        # stored first: the write replaces files that the read side comes from
+        materialise(newest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    versions = stream.sparkSession.read.parquet(path)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    return stored().drop("bucket")
+
+
+def decision_counts(latest: DataFrame) -> DataFrame:
+    """Reports by their latest decision, from the table that the upsert keeps current."""
+    return latest.groupBy("decision").agg(F.count(F.lit(1)).alias("reports"))

@@ -31,12 +31,12 @@ def density(column: str, source: str = "predictions", ctes: str = PREDICTIONS) -
   count(*) FILTER (p >= 0.5) / count(*)::double AS rate FROM {source} WHERE {column} IS NOT NULL AND trim({column}) <> '' GROUP BY 1 ORDER BY rate DESC, records DESC, 1 LIMIT 15)"""
 
 
-def counts_long(columns, source: str, top_n: int, empty: str, blank: bool = False) -> str:
+def counts_long(columns, source: str, top_n: int | None, empty: str, blank: bool = False) -> str:
     parts = " UNION ALL ".join(
         f"SELECT {q(c)} AS \"column\", coalesce({'nullif(trim(' + c + chr(41) + ', ' + chr(39) * 2 + ')' if blank else c}, {q(empty)}) AS value FROM {source}" for c in columns
     )
     return f"""SELECT "column", value, records FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY records DESC, value) AS rn FROM (
-  SELECT "column", value, count(*)::bigint AS records FROM ({parts}) GROUP BY 1, 2)) WHERE rn <= {top_n}"""
+  SELECT "column", value, count(*)::bigint AS records FROM ({parts}) GROUP BY 1, 2)) WHERE rn <= {1 << 60 if top_n is None else top_n}"""
 
 
 def _pct(cond: str) -> str:
@@ -111,8 +111,8 @@ def oracles() -> dict[str, str]:
   min(length(t))::bigint AS min_characters, max(length(t))::bigint AS max_characters, round(avg(length(t)), 2) AS mean_characters, count(*) FILTER (ts IS NULL)::bigint AS invalid_timestamps,
   strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_timestamp, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_timestamp, median(length(t)) AS median_characters, count(DISTINCT t)::bigint AS unique_description_count,
   (SELECT coalesce(sum(n), 0)::bigint FROM (SELECT count(*) AS n FROM s GROUP BY t) WHERE n > 1) AS duplicate_description_records, (count(*) - count(DISTINCT report_id))::bigint AS duplicate_report_ids FROM s""",
-        "quality_distributions": with_(REPORTS) + counts_long(["actual_level", "potential_level", "site", "location", "department", "risk"], "reports", 10, "<NULL>"),
-        "column_distributions": with_(PREDICTIONS, V12) + counts_long(["review_priority", "model_evidence_conflicts", "sif_context_status", "pathway_assessment"], "v12", 50, "EMPTY", True),
+        "quality_distributions": with_(REPORTS) + counts_long(["actual_level", "potential_level", "site", "location", "department", "risk"], "reports", 20, "<NULL>"),
+        "column_distributions": with_(PREDICTIONS, V12) + counts_long(["review_priority", "model_evidence_conflicts", "sif_context_status", "pathway_assessment"], "v12", None, "EMPTY", True),
         "duplicate_groups": with_(DOCS) + "SELECT sha256(nm) AS group_key, n::bigint AS record_count, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY nm) AS n FROM matched) WHERE n > 1",
         "duplicate_group_ids": with_(DOCS) + """SELECT doc_id, 'DUP_' || CASE WHEN k < 10000 THEN lpad(k::varchar, 4, '0') ELSE k::varchar END AS duplicate_group_id, n::bigint AS duplicate_group_size, n > 1 AS is_duplicate FROM
   (SELECT doc_id, dense_rank() OVER (ORDER BY nm) AS k, count(*) OVER (PARTITION BY nm) AS n FROM matched)""",
@@ -166,6 +166,6 @@ def oracles() -> dict[str, str]:
   UNION ALL SELECT report_id, 'right_only' FROM (SELECT report_id FROM reviews EXCEPT SELECT report_id FROM reports)""",
         "prepare_batch": with_(REPORTS, ADJUDICATIONS) + """SELECT a.report_id, r.site, r.department, 'pending' AS annotation_status, 'active_learning' AS annotation_round, 'v0.2' AS annotation_version, '' AS sif_potential, '' AS sif_reason, '' AS evidence_text,
   '' AS annotator_confidence, '' AS annotator_id FROM adjudications a LEFT JOIN reports r USING (report_id)""",
-        "canonical_reports": with_(REPORTS) + """SELECT 'industrial_safety_' || lpad(doc_id::varchar, 6, '0') AS report_id, 'industrial_safety' AS source, 'incident' AS report_type, strftime(try_cast(raw_date AS timestamp), '%Y-%m-%dT%H:%M:%S') AS timestamp,
+        "canonical_reports": with_(REPORTS) + """SELECT 'industrial_safety_' || printf('%06d', doc_id) AS report_id, 'industrial_safety' AS source, 'incident' AS report_type, strftime(try_cast(raw_date AS timestamp), '%Y-%m-%dT%H:%M:%S') AS timestamp,
   site, location, department, actual_level AS actual_outcome, potential_level AS potential_accident_level, NULL::varchar AS source_gender, 'Employee' AS source_actor_type, length(trim(raw_text, ' '))::int AS chars, risk || '|' || site AS hazards, 0 AS barriers, NULL::boolean AS near_miss, NULL::varchar AS sif_potential FROM reports""",
     }

@@ -18,7 +18,7 @@ def h(tag: str, key: str = "doc_id") -> str:
 
 
 REPORTS = f"""reports AS (
-  SELECT d.doc_id, 'report_' || lpad(d.doc_id::varchar, 6, '0') AS report_id,
+  SELECT d.doc_id, 'report_' || printf('%06d', d.doc_id) AS report_id,
     {qlist(t.SETTINGS)}[({h('a', 'd.doc_id')} % 24) + 1] || ' ' || {qlist(t.OUTCOMES)}[({h('b', 'd.doc_id')} % 16) + 1]
       || ' Record batch ' || ({h('c', 'd.doc_id')} % 97) || '. ' || translate(d.text, {q(t.ACCENTED)}, {q(t.PLAIN)}) AS description, d.text AS raw_text,
     d.lang AS department, d.source AS site,
@@ -34,11 +34,10 @@ REPORTS = f"""reports AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 REVIEWS = """reviews AS (
-  SELECT * FROM (
-    SELECT event_id AS id, 'report_' || lpad((event_id % (SELECT count(*) FROM documents))::varchar, 6, '0') AS report_id,
-      CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'NEEDS_MORE_INFO' END AS decision,
+    SELECT event_id AS id, 'report_' || printf('%06d', (event_id % (SELECT count(*) FROM documents))) AS report_id,
+      CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'NEEDS_MORE_INFO' ELSE upper(event_type) END AS decision,
       'user_' || user_id AS reviewer, props AS note, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at
-    FROM events) WHERE decision IS NOT NULL)"""
+    FROM events)"""
 
 MATCH = "trim(regexp_replace(regexp_replace(lower(raw_text), '\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'))"
 
@@ -55,7 +54,7 @@ ANNOTATIONS = f"""annotations AS (SELECT report_id, description, label, 'derived
   CASE WHEN {d20('g')} = 0 THEN '' ELSE 'annotator' END AS annotator_id,
   CASE WHEN {d20('k')} = 0 THEN NULL ELSE '2024-01-01T00:00:00' END AS annotated_at_utc FROM reports)"""
 
-ADJUDICATIONS = """adjudications AS (SELECT 'report_' || lpad(doc_id::varchar, 6, '0') AS report_id, CASE WHEN toxic = 0 THEN 'completed' ELSE 'pending' END AS adjudication_status,
+ADJUDICATIONS = """adjudications AS (SELECT 'report_' || printf('%06d', doc_id) AS report_id, CASE WHEN toxic = 0 THEN 'completed' ELSE 'pending' END AS adjudication_status,
   CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS adjudication_label, CASE WHEN quality = 1 THEN 'reason' ELSE '' END AS adjudication_reason,
   CASE WHEN quality = 1 THEN 'HIGH' ELSE 'none' END AS adjudication_confidence, 'adjudicator' AS adjudicator_id,
   CASE WHEN toxic = 0 THEN '2024-02-01T00:00:00' END AS adjudicated_at_utc FROM labels)"""

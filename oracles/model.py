@@ -29,7 +29,7 @@ FAMS = {"hazards": "hazard_evidence", "exposures": "exposure_evidence", "consequ
 A, B = f"({h('a')} % 24)", f"({h('b')} % 16)"
 NOTES = f"""notes AS (SELECT report_id, {qlist(tb.SETTINGS)}[{A} + 1] AS hazards_n, CASE WHEN {A} < 10 THEN {qlist(tb.SETTINGS)}[{A} + 1] ELSE '' END AS exposures_n,
   CASE WHEN {B} BETWEEN 1 AND 3 THEN {qlist(tb.OUTCOMES)}[{B} + 1] ELSE '' END AS consequences_n, CASE WHEN {B} BETWEEN 5 AND 10 THEN {qlist(tb.OUTCOMES)}[{B} + 1] ELSE '' END AS barriers_n
-  FROM (SELECT doc_id, 'report_' || lpad(doc_id::varchar, 6, '0') AS report_id FROM documents))"""
+  FROM (SELECT doc_id, 'report_' || printf('%06d', doc_id) AS report_id FROM documents))"""
 
 
 def audit_ctes() -> str:
@@ -91,7 +91,7 @@ def oracles() -> dict[str, str]:
         "coalesce_activity": with_(REPORTS) + "SELECT report_id, CASE WHEN risk = 'Others' THEN site ELSE risk END AS activity FROM reports",
         "join_unique": with_(REPORTS) + "SELECT report_id, risk || '; ' || site || '; ' || department AS joined FROM reports",
         "sentences": with_(DOCS, f"sn AS (SELECT doc_id, {sent.format(t=SQUEEZE)} AS l FROM docs)") + "SELECT doc_id, (generate_subscripts(l, 1) - 1)::int AS position, unnest(l) AS sentence FROM sn",
-        "sentence_offsets": with_("""so AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)') AS hit, string_split_regex(text, '[^.!?\\n]+(?:[.!?]+|$)') AS gap FROM documents),
+        "sentence_offsets": with_("""so AS (SELECT doc_id, text, regexp_extract_all(text, '(?m)[^.!?\\n]+(?:[.!?]+|$)') AS hit, string_split_regex(text, '(?m)[^.!?\\n]+(?:[.!?]+|$)') AS gap FROM documents),
 sp AS (SELECT doc_id, hit[i] AS s, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS o FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM so))""")
         + "SELECT doc_id, (o + length(s) - length(ltrim(s)))::int AS start, (o + length(rtrim(s)))::int AS stop, trim(s) AS sentence FROM sp WHERE trim(s) <> ''",
         "token_sets": f"SELECT doc_id, len({tokens('t')})::int AS tokens, array_to_string(list_sort({first_tokens('t')}), ' ') AS first_tokens FROM (SELECT doc_id, translate(text, {q(tb.ACCENTED)}, {q(tb.PLAIN)}) AS t FROM documents)",
@@ -101,7 +101,7 @@ sp AS (SELECT doc_id, hit[i] AS s, list_sum(list_transform(gap[1:i], lambda x: l
         "max_measure": with_(REPORTS) + f"SELECT report_id, list_max(list_transform(regexp_extract_all({NORM}, {q(HEIGHT)}, 1), lambda x: try_cast(replace(x, ',', '.') AS double))) AS metres FROM reports",
         "number_near_cue": with_(REPORTS, f"nt AS (SELECT report_id, {NORM} AS t FROM reports)") + f"SELECT report_id, {near('t', CUE)} AS number FROM nt",
         "context_snippet": with_(REPORTS, f"sq AS (SELECT report_id, {SQUEEZE} AS t FROM reports)") + f"SELECT report_id, CASE {snippet} END AS snippet FROM sq",
-        "fabricate_ids": "SELECT doc_id, 'input_' || lpad((row_number() OVER (ORDER BY source, doc_id))::varchar, 6, '0') AS report_id FROM documents",
+        "fabricate_ids": "SELECT doc_id, 'input_' || printf('%06d', (row_number() OVER (ORDER BY source, doc_id))) AS report_id FROM documents",
         "audit_hints": with_(ad) + "SELECT report_id, family, token_recall, audit_hint, recall_hint, count_hint FROM ad",
         "extraction_audit": with_(ad) + """SELECT family, count(*) FILTER (human <> '')::bigint AS human_present, count(*) FILTER (found <> '')::bigint AS extracted_present, count(*) FILTER (evidence <> '')::bigint AS evidence_present,
   count(*) FILTER (human <> '' AND found = '')::bigint AS missed_when_human_present, count(*) FILTER (human = '' AND found <> '')::bigint AS possible_false_positive, count(*) FILTER (human <> '' AND found <> '' AND token_recall > 0)::bigint AS partial_or_better,
@@ -113,4 +113,6 @@ sp AS (SELECT doc_id, hit[i] AS s, list_sum(list_transform(gap[1:i], lambda x: l
   (SELECT report_id, string_agg({RENDER}, '; ' ORDER BY rn) AS s FROM candidates GROUP BY report_id) c USING (report_id)""",
         "stream_reviews": with_(REPORTS, REVIEWS) + "SELECT id, report_id, decision, trim(reviewer) AS reviewer, trim(note) AS note, created_at FROM reviews WHERE report_id IN (SELECT report_id FROM reports)",
         "stream_latest_review": with_(REVIEWS, LATEST) + "SELECT report_id, id, decision FROM latest",
+        "stream_decision_counts": with_(REVIEWS, LATEST) + "SELECT decision, count(*) AS reports FROM latest GROUP BY decision",
+        "report_ids_large": "SELECT doc_id, 'report_' || printf('%d', doc_id + 10000000) AS report_id, printf('%d', doc_id + 10000000) AS number FROM documents",
     }

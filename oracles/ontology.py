@@ -7,7 +7,7 @@ from hazardloom.banks import ontology_v02 as v02
 from hazardloom.banks import ontology_v03 as v03
 from oracles.base import REPORTS, q, qlist, with_
 
-SENTENCE = "[^.!?\\n]+(?:[.!?]+|$)"
+SENTENCE = "(?m)[^.!?\\n]+(?:[.!?]+|$)"
 OFFSETS = f"""so AS (SELECT report_id, regexp_extract_all(description, {q(SENTENCE)}) AS hit, string_split_regex(description, {q(SENTENCE)}) AS gap FROM reports),
 sp AS (SELECT report_id, hit[i] AS s, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS o FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM so)),
 sents AS MATERIALIZED (SELECT report_id, (o + length(s) - length(ltrim(s)))::int AS start, trim(s) AS s FROM sp WHERE trim(s) <> '')"""
