@@ -1,5 +1,6 @@
 """Matches against all windows and items: nothing false, and the target recall."""
 
+import itertools
 import random
 
 import numpy as np
@@ -22,6 +23,7 @@ def distance(a, b):
 
 
 def brute(texts, items, percent=20, least=8):
+    """Fewest edits over all windows; windows with too few of the item's words can't be within the limit."""
     out = {}
     for d, text in enumerate(texts):
         words = (text or "").lower().split()
@@ -30,7 +32,9 @@ def brute(texts, items, percent=20, least=8):
             if len(own) < least:
                 continue
             k = len(own) * percent // 100
-            near = min((distance(words[s : s + len(own)], own) for s in range(len(words))), default=99)
+            known = [0, *itertools.accumulate(w in set_ for set_ in [set(own)] for w in words)]
+            begins = [s for s in range(len(words)) if known[min(s + len(own), len(words))] - known[s] >= len(own) - k]
+            near = min((distance(words[s : s + len(own)], own) for s in begins), default=99)
             if near <= k:
                 out[d, i] = near
     return out
