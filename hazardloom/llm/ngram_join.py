@@ -8,8 +8,9 @@ Only pairs that matter are counted, and no link between different sets is lost:
 1. A set can have a link only if enough of its first shingles (in the global order) occur in other sets. A
    bitmap of fixed size, made from all documents, holds the shingles seen twice; a false one only lets a
    set through. Sets of equal shingles become one class, with its smallest doc_id.
-2. Classes that agree in one of a few minimum hashes are compared with the smallest class of that
-   agreement: a group of n near copies gives about n pairs, which mostly make it one component.
+   Classes are then looked at in full in the same way.
+2. Classes that agree in one of a few minimum hashes, and in enough of the others, are compared with the smallest
+   class of that agreement: a group of n near copies gives about n pairs, which mostly make it one component.
 3. What is left are links between different components. A shingle matters for them only if it is in
    classes of two components; classes whose share of such shingles is under the threshold go. The rest are
    compared in full where they share one of their rarest shingles and their components differ.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ PERCENT = 80
 BYTES_PER_BIT = 16  # of the bitmap of repeated shingles
 BITS = 26  # of the bitmap of shingles in several components
 FRAGMENTS = 8
-MINIMA = 4
-SPARE = 30  # percent of a set looked at beyond the shortest prefix
+MINIMA = 12  # minimum hashes of a set
+KEYS = 4  # those that classes meet by
+AGREE = 6  # those that must agree before a pair is counted
+SPARE = 20  # percent of a set looked at beyond the shortest prefix
 
 
 def prefix_length(n: int, percent: int, spare: int) -> int:
@@ -47,8 +51,8 @@ def least_hits(n: int, percent: int, spare: int) -> int:
 
 
 def set_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, spare: int = SPARE, bits: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_shingles, a fingerprint of the set (f1, f2), and the set itself, as an array of
-    hashes, where it may have a link, else null."""
+    """Per document: doc_id, n_shingles, a fingerprint of the set (f1, f2), and, where it may have a link, the set
+    itself as an array of hashes and its minimum hashes, else nulls."""
     rows = texts_of(docs)
     bits = bits or bitmap_bits(rows, "text", BYTES_PER_BIT)
 
@@ -58,24 +62,26 @@ def set_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, spare:
             yield np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
     seen = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(rows.select("text"), prefixes, bits))
-    names = ["doc_id", "n_shingles", "f1", "f2", "hashes"]
+    names = ["doc_id", "n_shingles", "f1", "f2", "hashes", "minima"]
+    salts = mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
     turn = np.uint64(0x5851F42D4C957F2D)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                sizes, marks, held = [], [], []
+                sizes, marks, held, minima = [], [], [], []
                 for s in shingle_sets(b.column("text"), words):
                     first = s[: prefix_length(len(s), percent, spare)]
                     kept = len(s) and int(marked(seen.value, first, bits).sum()) >= least_hits(len(s), percent, spare)
                     sizes.append(len(s))
                     marks.append((int(np.bitwise_xor.reduce(mix(s))), int(mix(s * turn).sum(dtype=np.uint64))) if len(s) else (0, 0))
                     held.append(s.view(np.int64) if kept else None)
+                    minima.append(np.array([mix(s ^ k).min() for k in salts]).view(np.int64) if kept else None)
                 prints = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(held, pa.list_(pa.int64()))]
+                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *[pa.array(x, pa.list_(pa.int64())) for x in (held, minima)]]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return mapped(rows, run, "doc_id long, n_shingles long, f1 long, f2 long, hashes array<long>")
+    return mapped(rows, run, "doc_id long, n_shingles long, f1 long, f2 long, hashes array<long>, minima array<long>")
 
 
 def fragment_of(shingle, fragments: int):
@@ -103,34 +109,38 @@ def length_fits(n_a, n_b, percent: int):
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
-def star_pairs(classes: DataFrame, minima: int, percent: int) -> DataFrame:
-    """Classes and the smallest class that has the same minimum under one of a few orders of the shingles."""
-    values = [F.array_min(F.transform("hashes", lambda h, k=k: F.xxhash64(F.lit(k), h))).alias(f"m{k}") for k in range(minima)]
-    signed = classes.select("cls", "n", *values)
-    rows = signed.select("cls", "n", F.posexplode(F.array(*[f"m{k}" for k in range(minima)])).alias("k", "value"))
-    heads = rows.groupBy("k", "value").agg(F.min(F.struct("cls", "n")).alias("head"))
-    pairs = rows.join(heads, ["k", "value"]).where(F.col("cls") != F.col("head.cls")).where(length_fits(F.col("n"), F.col("head.n"), percent))
+def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes and the smallest class that has the same minimum under one of a few orders of the shingles, where
+    enough of the other minima agree as well. Pairs passed over here are left to `cross_pairs`."""
+    keys = F.posexplode(F.slice("minima", 1, KEYS)).alias("k", "value")
+    rows = classes.select("cls", "n", "minima", keys)
+    heads = rows.groupBy("k", "value").agg(F.min(F.struct("cls", "n", "minima")).alias("head"))
+    agree = F.size(F.filter(F.zip_with("minima", "head.minima", lambda x, y: x == y), lambda same: same))
+    pairs = rows.join(heads, ["k", "value"]).where(F.col("cls") != F.col("head.cls")).where(length_fits(F.col("n"), F.col("head.n"), percent) & (agree >= AGREE))
     return pairs.select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Pairs of classes of different components that share one of their rarest shingles."""
-    spark = classes.sparkSession
-    # a shingle counts once for each component that has it
-    seen = classes.select("component", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    twice = lambda b: [np.repeat(b.column("h").to_numpy().view(np.uint64), 2)]
-    shared = spark.sparkContext.broadcast(repeated_bitmap(seen.where("least <> most").select("h"), twice, bits))
+def with_enough(classes: DataFrame, bitmap: np.ndarray, bits: int, percent: int) -> DataFrame:
+    """Classes of which the threshold's share of shingles is marked."""
+    sent = classes.sparkSession.sparkContext.broadcast(bitmap)
 
     def keep(batches):
         for b in batches:
             flat = b.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = np.array([len(x) for x in b.column("hashes")], np.int64)
-            hits = np.zeros(len(sizes), np.int64)
-            np.add.at(hits, np.repeat(np.arange(len(sizes)), sizes), marked(shared.value, flat, bits).astype(np.int64))
+            sizes = pc.list_value_length(b.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
+            hits = np.bincount(np.repeat(np.arange(len(sizes)), sizes), marked(sent.value, flat, bits), len(sizes))
             yield b.filter(pa.array(100 * hits >= percent * sizes))
 
-    names = classes.select("cls", "n", "component", "hashes")
-    left = staged(mapped(names, keep, "cls long, n long, component long, hashes array<long>"), "open-classes")
+    return classes.mapInArrow(keep, classes.schema)
+
+
+def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Pairs of classes of different components that share one of their rarest shingles."""
+    # a shingle counts once for each component that has it
+    seen = classes.select("component", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    twice = lambda b: [np.repeat(b.column("h").to_numpy().view(np.uint64), 2)]
+    shared = repeated_bitmap(seen.where("least <> most").select("h"), twice, bits)
+    left = staged(with_enough(classes.select("cls", "n", "component", "hashes"), shared, bits, percent), "open-classes")
     held = left.select("cls", "n", "component", F.explode("hashes").alias("h"))
     known = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h", "df")
     ranked = held.join(known, "h").groupBy("cls", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
@@ -145,24 +155,30 @@ def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
     return met.select(F.col("cls").alias("a"), "b").distinct()
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, minima: int = MINIMA, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (f1, f2, cls, n, component), and the links found (a, b, overlap).
+def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (f1, f2, n, least, cls, component), and the links found (a, b, overlap).
 
     cls is the class's smallest doc_id, or its fingerprint where no row has an id or another class has the same."""
+    bits = bits or BITS
     open_sets = sets.where(F.col("hashes").isNotNull())
-    classes = open_sets.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"), F.first("hashes").alias("hashes"))
+    classes = open_sets.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"), F.first("hashes").alias("hashes"), F.first("minima").alias("minima"))
     name = F.coalesce("least", "f1")
     shares = F.count(F.lit(1)).over(Window.partitionBy(name))
-    classes = staged(classes.select("f1", "f2", "n", "least", F.when(shares > 1, F.col("f1")).otherwise(name).alias("cls"), "hashes"), "classes")
-    segments = staged(segments_of(classes, fragments), "segments")
-    found = staged(verified(star_pairs(classes, minima, percent), segments, percent), "links")
-    nodes = classes.select(F.col("cls").alias("node"))
-    grouped = classes.join(components(nodes, found).withColumnRenamed("node", "cls"), "cls")
-    more = staged(verified(cross_pairs(grouped, percent, bits or BITS), segments, percent), "links")
-    if more.isEmpty():
-        return grouped.drop("hashes"), found
-    links = found.union(more)
-    return classes.drop("hashes").join(components(nodes, links).withColumnRenamed("node", "cls"), "cls"), links
+    cls = F.when(shares > 1, F.col("f1")).otherwise(name).alias("cls")
+    classes = staged(classes.select("f1", "f2", "n", "least", cls, "hashes", "minima"), "classes")
+    flat = lambda b: [b.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)]
+    repeated = repeated_bitmap(classes.select("hashes"), flat, bits)
+    near = staged(with_enough(classes.select("cls", "n", "hashes", "minima"), repeated, bits, percent), "near-classes")
+    segments = staged(segments_of(near, fragments), "segments")
+    found = staged(verified(star_pairs(near, percent), segments, percent), "links")
+    nodes = near.select(F.col("cls").alias("node"))
+    grouped = components(nodes, found).withColumnRenamed("node", "cls")
+    more = staged(verified(cross_pairs(near.join(grouped, "cls"), percent, bits), segments, percent), "links")
+    if not more.isEmpty():
+        found = found.union(more)
+        grouped = components(nodes, found).withColumnRenamed("node", "cls")
+    labelled = classes.drop("hashes", "minima").join(grouped, "cls", "left")
+    return labelled.withColumn("component", F.coalesce("component", "cls")), found
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
@@ -172,7 +188,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bit
     classes, links = linked_classes(sets, percent, bits=bits)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     classes = classes.join(degree, "cls", "left").select("f1", "f2", F.col("n").alias("n_shingles"), "least", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = sets.withColumn("open", F.col("hashes").isNotNull()).drop("hashes")
+    rows = sets.withColumn("open", F.col("hashes").isNotNull()).drop("hashes", "minima")
     labelled = rows.where("open").drop("open").join(classes, ["f1", "f2", "n_shingles"])
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     closed = rows.where("not open").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
