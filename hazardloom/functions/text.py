@@ -47,18 +47,27 @@ def norm_key(c: Column) -> Column:
     return F.lower(F.trim(F.translate(F.coalesce(c, F.lit("")), " ", " ")))
 
 
+# Blanks at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def clean(c: Column) -> Column:
     """Trimmed text, null when blank."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def clean_or_empty(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit(""))
+    return F.coalesce(strip(c), F.lit(""))
 
 
 def split_list(c: Column, separator: str = ";") -> Column:
     """Trimmed non-blank parts; null text gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), separator), strip)
     return F.filter(parts, lambda x: x != "")
 
 

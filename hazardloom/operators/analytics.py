@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.functions.ordered import exact_quantiles, keep_first
-from hazardloom.functions.text import clean, lenient_timestamp, level_number, percent, tokens
+from hazardloom.functions.text import clean, lenient_timestamp, level_number, percent, strip, tokens
 from hazardloom.operators.triage import PRIORITIES
 
 
@@ -111,7 +111,7 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None, empty: str
 
 def quality_report(df: DataFrame, text: str, id_column: str, timestamp: str) -> DataFrame:
     """One row: text emptiness, uniqueness and lengths, timestamp and id quality."""
-    trimmed = F.coalesce(F.trim(F.col(text)), F.lit(""))
+    trimmed = F.coalesce(strip(F.col(text)), F.lit(""))
     stamp = lenient_timestamp(F.col(timestamp))
     length = F.length(trimmed)
     base = df.select(trimmed.alias("_s"), stamp.alias("_ts"), F.col(id_column).alias("_id"))

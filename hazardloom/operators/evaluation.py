@@ -4,6 +4,11 @@ Everything works on histograms of scores or on confusion counts, never on thresh
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import accumulate
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,16 +199,21 @@ def score_consistency(a: DataFrame, b: DataFrame, exact: float = 1e-5, tolerance
     return joined.withColumns({"max_abs_diff": F.round("_max", 9), "status": status}).drop("_max")
 
 
-# Cumulative Poisson(1) probabilities up to seven draws.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+#: Cumulative Poisson(1) probabilities, as many as differ from one in a draw of 32 bits.
+POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+DRAWS = 4  # draws of 32 bits in one md5
 
 
 def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps: int) -> DataFrame:
-    """Percentile intervals. Every row draws its Poisson weight per replicate from a hash, so a
+    """Percentile intervals. Every row draws its Poisson weights from hashes, each for a block of replicates, so a
     replicate needs no sampling join and is summed before the shuffle to one row per score."""
-    rows = df.select("report_id", F.col(score).alias("s"), F.col(truth).alias("y")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    draw = hash_number(F.col("rep"), F.col("report_id")) / F.lit(4294967296.0)
-    weight = F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: c <= draw)).cast("bigint")
+    rows = df.select("report_id", F.col(score).alias("s"), F.col(truth).alias("y")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // DRAWS))))
+    digest = F.md5(F.concat_ws("|", F.col("block").cast("string"), "report_id"))
+    rows = rows.select("s", "y", "block", digest.alias("digest"))
+    part = lambda i: F.struct((F.col("block") * DRAWS + i + 1).alias("rep"), F.substring("digest", 8 * i + 1, 8).alias("hex"))
+    rows = rows.select("s", "y", F.inline(F.array(*[part(i) for i in range(DRAWS)]))).where(F.col("rep") <= reps)
+    rows = rows.select("rep", "s", "y", (F.conv("hex", 16, 10).cast("bigint") / F.lit(4294967296.0)).alias("draw"))
+    weight = reduce(add, [(F.col("draw") >= c).cast("bigint") for c in POISSON])
     weighted = rows.withColumn("w", weight).groupBy("rep", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum("w").alias("all"))
     running = with_running_sums(weighted, [F.col("rep"), F.desc("s")], {"cum_pos": "pos", "cum_all": "all"})
     totals = weighted.groupBy("rep").agg(F.sum("pos").alias("P"), F.sum("all").alias("N"))

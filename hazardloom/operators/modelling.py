@@ -48,15 +48,18 @@ def tfidf(df: DataFrame, id_column: str, text: str, accents: str, plain: str, fe
 
 
 def attach_embeddings(df: DataFrame, vectors: DataFrame, id_column: str, vector_id: str, column: str = "embedding") -> DataFrame:
-    """Precomputed vectors joined by id, never by position."""
-    return df.join(vectors.select(F.col(vector_id).alias(id_column), column), id_column)
+    """Precomputed vectors joined by id, never by position; rows without one keep a null vector."""
+    return df.join(vectors.select(F.col(vector_id).alias(id_column), column), id_column, "left")
 
 
 def assemble(df: DataFrame, vector: str, columns: list[str], width: int) -> DataFrame:
-    """Vector plus feature columns; rows whose embedding has another width fail loudly."""
-    checked = F.when(F.size(vector) == width, F.col(vector)).otherwise(F.raise_error(F.lit(f"embedding width is not {width}")))
+    """Vector, a flag for rows without one (whose vector is zeros), and feature columns; rows whose
+    embedding has another width fail loudly."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
+    df = df.withColumn(f"{vector}_missing", F.col(vector).isNull().cast("int"))
+    checked = F.when(F.col(vector).isNull(), zeros).when(F.size(vector) == width, F.col(vector)).otherwise(F.raise_error(F.lit(f"embedding width is not {width}")))
     with_vector = df.withColumn("_v", array_to_vector(checked))
-    return VectorAssembler(inputCols=["_v", *columns], outputCol="features").transform(with_vector).drop("_v")
+    return VectorAssembler(inputCols=["_v", f"{vector}_missing", *columns], outputCol="features").transform(with_vector).drop("_v")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -71,13 +74,13 @@ def logistic(train: DataFrame, label: str, c: float, l1: float = 0.0):
     n = train.count()
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=l1,
-        standardization=False, maxIter=50,
+        standardization=False, maxIter=5000,
     ).fit(balanced(train, label))
 
 
 def forest(train: DataFrame, label: str):
     return RandomForestClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", numTrees=50, maxDepth=4, minInstancesPerNode=2, seed=42
+        featuresCol="features", labelCol=label, weightCol="weight", numTrees=300, maxDepth=4, minInstancesPerNode=2, seed=42
     ).fit(balanced(train, label))
 
 

@@ -21,7 +21,7 @@ OOF_GRID = [round(0.2 + 0.001 * i, 6) for i in range(601)]
 FLOOR_GRID = [round(0.2 + 0.005 * i, 6) for i in range(121)]
 WIDE_GRID = [round(0.005 * i, 6) for i in range(201)]
 TABLE_GRID = [round(0.2 + 0.01 * i, 6) for i in range(61)]
-REPEATS, FOLDS, REPS = 10, 5, 200
+REPEATS, FOLDS, REPS = 10, 5, 5000
 
 
 def _narrow(spark, sf):

@@ -145,13 +145,15 @@ def attach_embeddings(spark, sf):
     return rows.select("doc_id", F.size("embedding").alias("width"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
 
 
+EMBEDDING_WIDTH = 64
+
+
 def _assembled(spark, sf):
     rows = tb.with_labels(tb.reports(spark, sf).select("doc_id", "report_id", "description", "p"), spark, sf)
     features = tagging.pathway_feature_columns(rows)
     vectors = tb.load(spark, sf, "embeddings").select("vec_id", "embedding")
-    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     joined = modelling.attach_embeddings(features, vectors, "doc_id", "vec_id")
-    return modelling.assemble(joined, "embedding", tagging.pathway_feature_names(), width)
+    return modelling.assemble(joined, "embedding", tagging.pathway_feature_names(), EMBEDDING_WIDTH)
 
 
 def assembled_features(spark, sf):
@@ -205,7 +207,7 @@ def top_coefficients(spark, sf):
 
 
 def batch_inference(spark, sf):
-    """Score, tag, prioritise and order every report that has a vector."""
+    """Score, tag, prioritise and order every report; one without a vector is scored by its other features."""
     scored = logreg_scores(spark, sf)
     tagged = tagging.evidence_v15_tags(tb.reports(spark, sf).drop("p")).join(scored.withColumnRenamed("score", "p"), "report_id")
     out = triage.priority_v12(tagged)

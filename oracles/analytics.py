@@ -107,7 +107,7 @@ def oracles() -> dict[str, str]:
         "report_detail": with_(REPORTS, REVIEWS) + "SELECT r.report_id, site, location, department, v.id AS review_id, v.decision, v.reviewer, v.created_at FROM reports r LEFT JOIN reviews v ON v.report_id = r.report_id",
         "append_reviews_valid": with_(REPORTS, REVIEWS) + "SELECT id, report_id, decision, trim(reviewer) AS reviewer, trim(note) AS note, created_at FROM reviews WHERE report_id IN (SELECT report_id FROM reports)",
         "top_high_score": top_sql("true", "DESC"), "top_no_pathway": top_sql("p >= 0.75 AND len(pw) = 0", "DESC"), "top_low_with_evidence": top_sql("p < 0.5 AND pathway_signal_strength > 0", "ASC"),
-        "quality_report": with_(REPORTS, "s AS (SELECT report_id, trim(raw_text) AS t, try_cast(raw_date AS timestamp) AS ts FROM reports)") + """SELECT count(*)::bigint AS records, count(*) FILTER (t = '')::bigint AS empty_description_count,
+        "quality_report": with_(REPORTS, "s AS (SELECT report_id, regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') AS t, try_cast(raw_date AS timestamp) AS ts FROM reports)") + """SELECT count(*)::bigint AS records, count(*) FILTER (t = '')::bigint AS empty_description_count,
   min(length(t))::bigint AS min_characters, max(length(t))::bigint AS max_characters, round(avg(length(t)), 2) AS mean_characters, count(*) FILTER (ts IS NULL)::bigint AS invalid_timestamps,
   strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_timestamp, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_timestamp, median(length(t)) AS median_characters, count(DISTINCT t)::bigint AS unique_description_count,
   (SELECT coalesce(sum(n), 0)::bigint FROM (SELECT count(*) AS n FROM s GROUP BY t) WHERE n > 1) AS duplicate_description_records, (count(*) - count(DISTINCT report_id))::bigint AS duplicate_report_ids FROM s""",

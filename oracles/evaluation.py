@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from hazardloom.banks import audits, precursors
 from hazardloom.functions.text import LEVELS
 from hazardloom.operators import evaluation as ev
@@ -92,6 +94,9 @@ ft AS MATERIALIZED (SELECT *, (coalesce(max_height_m, 0) >= 2)::int AS significa
 LABELLED = "labelled AS (SELECT *, (label = 'YES')::int AS truth FROM reports WHERE label IS NOT NULL)"
 
 
+CUMULATIVE = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
 def hn(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint"
 
@@ -156,7 +161,7 @@ gp AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY rd > 1, df, cf, "
 c1 AS (SELECT *, row_number() OVER (PARTITION BY stratum, department ORDER BY department, risk, chars, report_id) = 1 AS a FROM c0),
 c2 AS (SELECT *, NOT a AND row_number() OVER (PARTITION BY stratum, risk, a ORDER BY department, risk, chars, report_id) = 1 AS b FROM c1),
 c3 AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN a THEN 1 WHEN b THEN 2 ELSE 3 END, department, risk, chars, report_id) AS rn FROM c2)"""
-    boot = f"""bt AS (SELECT rep, p, truth, list_sum(list_transform({qlist(ev.POISSON)}, lambda c: (c <= u)::int)) AS w FROM (SELECT rep, p, truth, {hn('rep', 'report_id')} / 4294967296.0::double AS u FROM labelled, range(1, {eq.REPS + 1}) r(rep))),
+    boot = f"""bt AS (SELECT rep, p, truth, list_sum(list_transform({qlist(CUMULATIVE)}, lambda c: (c <= u)::int)) AS w FROM (SELECT rep, p, truth, ('0x' || substr(md5(concat_ws('|', (rep - 1) // 4, report_id)), ((rep - 1) % 4) * 8 + 1, 8))::bigint / 4294967296.0::double AS u FROM labelled, range(1, 5001) r(rep))),
 bc AS (SELECT rep, sum(w) FILTER (p >= 0.5 AND truth = 1) AS tp, sum(w) FILTER (p >= 0.5 AND truth = 0) AS fp, sum(w) FILTER (p < 0.5 AND truth = 1) AS fn, sum(w) FILTER (p < 0.5 AND truth = 0) AS tn FROM bt GROUP BY rep),
 bm AS (SELECT rep, {RATES} FROM bc), bh AS (SELECT rep, p, sum(w * truth) AS pos, sum(w) AS al FROM bt GROUP BY 1, 2),
 bw AS (SELECT rep, pos, sum(pos) OVER s AS cp, sum(al) OVER s AS ca FROM bh WINDOW s AS (PARTITION BY rep ORDER BY p DESC)),
