@@ -5,8 +5,8 @@ edits at most has one of its k + 1 pieces unchanged, so plain substring searches
 candidates, and the regex library's bounded-error matching verifies the stretch around a seed, counts the edits and
 reports the span.
 
-Defined results: a null or empty text has no words, places or labels and scores 0; overlapping matches of a notice
-are one span, the one with the fewest edits; rows with equal ids stay separate; a null doc_id stays null; an empty table
+Defined results: a null or empty text has no words, places or labels and scores 0; matches of a notice
+don't overlap, and each is the one with the fewest edits where it stands; rows with equal ids stay separate; a null doc_id stays null; an empty table
 gives an empty one; other columns are neither read nor returned."""
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ class Notice:
         k = len(data) // ERROR_SHARE
         edges = [len(data) * i // (k + 1) for i in range(k + 2)]
         seeds = tuple((data[a:b], a) for a, b in zip(edges[:-1], edges[1:], strict=True))
-        return cls(data, label, k, seeds, regex.compile(rb"(?<![^ ])(?b)(?:%s){e<=%d}(?![^ ])" % (regex.escape(data, special_only=True), k)))
+        return cls(data, label, k, seeds, regex.compile(rb"(?<![^ ])(?e)(?:%s){e<=%d}(?![^ ])" % (regex.escape(data, special_only=True), k)))
 
     def candidates(self, text: bytes) -> list[tuple[int, int]]:
         """Stretches of text around the seeds, joined where they overlap."""
@@ -110,11 +110,14 @@ _SQL = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 
 def scan_text(text: bytes, phrases, notices: list[Notice]) -> tuple:
     """Base places (as word numbers), labels and the notices' spans of one squeezed text."""
-    at_word = lambda place: text.count(b" ", 0, place)
-    base = [(at_word(p), label) for phrase, label in phrases for p in phrase_places(text, phrase)]
-    spans = []
-    for n in notices:
-        spans += [(n.label, at_word(a), at_word(b) + 1, edits, 1 - edits / len(n.text)) for a, b, edits in n.places(text)]
+    found = [(p, label) for phrase, label in phrases for p in phrase_places(text, phrase)]
+    near = [(n, *place) for n in notices for place in n.places(text)]
+    if not found and not near:
+        return 0, None, None, "", "", 0.0, []
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    at_word = lambda place: int(np.searchsorted(blanks, place))
+    base = [(at_word(p), label) for p, label in found]
+    spans = [(n.label, at_word(a), at_word(b) + 1, edits, 1 - edits / len(n.text)) for n, a, b, edits in near]
     starts = [w for w, _ in base]
     own = sorted({label for _, label in base})
     labels = sorted({*own, *(s[0] for s in spans)})

@@ -66,5 +66,14 @@ def test_every_seed_split_finds_its_notice():
             assert n.places(b"before " + bytes(t) + b" after"), bytes(t)
 
 
+def test_many_places_in_a_long_text():
+    import time
+
+    notices = [ls.Notice.of(t, n) for t, n in ls.NOTICES]
+    began = time.time()
+    out = ls.scan_text(ls.squeezed(b"All rights reserved. Released under the MIT License. " * 5000), [(p.encode(), n) for p, n in ls.PHRASES], notices)
+    assert out[:3] == (5000, 0, 8 * 4999) and time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert ls.op10(documents(spark, [])).collect() == []
