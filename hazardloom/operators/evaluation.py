@@ -240,6 +240,13 @@ def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps:
     )
 
 
+def grid_metrics(scores: DataFrame, grid: list[float], threshold: float = 0.5) -> DataFrame:
+    """Per C of the scored rows (c, truth, score): precision, recall, F2 and average precision."""
+    rates = binary_metrics(scores, "score", "truth", threshold, ["c"]).select("c", "precision", "recall", "f2")
+    ranked = [average_precision(scores.where(F.col("c") == c), "score", "truth").select(F.lit(c).alias("c"), F.col("average_precision").alias("pr_auc")) for c in grid]
+    return rates.join(reduce(DataFrame.unionByName, ranked), "c")
+
+
 def select_best_c(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.desc("f2"), F.desc("recall"), F.desc("pr_auc"), F.desc("precision"), "c").limit(1)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +80,19 @@ def logistic(train: DataFrame, label: str, c: float, l1: float = 0.0):
     ).fit(balanced(train, label))
 
 
+def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """All tables with features centred and scaled by the training rows' mean and deviation; a constant becomes zero."""
+    model = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True).fit(train)
+    return [model.transform(df).drop("features").withColumnRenamed("_scaled", "features") for df in (train, *others)]
+
+
+def grid_scores(train: DataFrame, held: DataFrame, label: str, grid: list[float]) -> DataFrame:
+    """Scores of the held rows by the model of each C, fitted on the training rows alone: c and the held rows' columns but features."""
+    train, held = scaled(train, held)
+    parts = [score(logistic(train, label, c), held).select(F.lit(c).alias("c"), *[x for x in held.columns if x != "features"], "score") for c in grid]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def forest(train: DataFrame, label: str):
     return RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=300, maxDepth=4, minInstancesPerNode=2, seed=42

@@ -268,15 +268,6 @@ def score_consistency(spark, sf):
     return ev.score_consistency(rows.select("report_id", F.col("p").alias("a")), rows.select("report_id", F.col("p2").alias("b")))
 
 
-def select_best_c(spark, sf):
-    """One candidate per repeat of the first model: mean fold metrics stand for the validation row of each C."""
-    rows = _fold_metrics(spark, sf).where("model = 'first'")
-    grid = rows.groupBy((F.col("repeat") / 10.0).alias("c")).agg(
-        *[F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f2")], F.round(F.avg("accuracy"), 9).alias("pr_auc")
-    )
-    return ev.select_best_c(grid)
-
-
 NUMERIC = ["max_height_m", "max_voltage_v", "narrative_words"]
 
 
@@ -340,7 +331,7 @@ QUERIES = {
         "oof_scores": oof_scores, "fold_summary": fold_summary, "model_deltas": model_deltas, "bootstrap_ci": bootstrap_ci,
         "group_safe_split": group_safe_split, "split_profile": split_profile, "split_leakage": split_leakage,
         "split_overlap": split_overlap, "unsplit_ids": unsplit_ids, "band_rule_eval": band_rule_eval,
-        "score_consistency": score_consistency, "select_best_c": select_best_c, "train_all_missing": train_all_missing,
+        "score_consistency": score_consistency, "train_all_missing": train_all_missing,
         "impute_with_indicator": impute_with_indicator, "standardize": standardize,
         "feature_manifest": feature_manifest, "tfidf_weights": tfidf_weights,
     }.items()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazardloom.functions import matching as m
 from hazardloom.functions import text as tx
 from hazardloom.functions.ordered import with_row_number
-from hazardloom.operators import audit, extraction, modelling, structured, tagging, triage
+from hazardloom.operators import audit, evaluation, extraction, modelling, structured, tagging, triage
 from hazardloom.operators import rules
 from hazardloom.plans import tables as tb
 from hazardloom.session import shared_path
@@ -206,6 +206,35 @@ def top_coefficients(spark, sf):
     return modelling.top_coefficients(modelling.coefficient_table(model, tb.load(spark, sf, "labels"), tagging.pathway_feature_names()), 10)
 
 
+# The candidates of the inverse penalty.
+C_GRID = [0.1, 0.25, 0.5, 1.0]
+
+
+def c_grid_scores(spark, sf):
+    """Validation rows scored by the model of each C, fitted on the training split; stored once for the metrics."""
+    from hazardloom.plans.evaluation_queries import group_safe_split
+
+    split = group_safe_split(spark, sf).select("report_id", F.col("truth").cast("double").alias("truth"), "split")
+    path = shared_path(spark, "split-features")
+    _assembled(spark, sf).select("report_id", "features").join(split, "report_id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    train, held = (rows.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
+    scores = shared_path(spark, "grid-scores")
+    modelling.grid_scores(train, held, "truth", C_GRID).select("c", "report_id", F.col("truth").cast("int").alias("truth"), F.round("score", 9).alias("score")).write.parquet(scores)
+    return spark.read.parquet(scores)
+
+
+def c_grid_coverage(spark, sf):
+    """Every validation row is scored once for each C."""
+    missing = F.count_if(F.col("score").isNull())
+    return c_grid_scores(spark, sf).groupBy("c").agg(F.count("report_id").alias("scored"), F.sum("truth").alias("positives"), missing.alias("without_score"))
+
+
+def select_best_c(spark, sf):
+    """The C whose model does best on the validation split, by F2, recall, average precision, precision and the smaller C."""
+    return evaluation.select_best_c(evaluation.grid_metrics(c_grid_scores(spark, sf), C_GRID))
+
+
 def batch_inference(spark, sf):
     """Score, tag, prioritise and order every report; one without a vector is scored by its other features."""
     scored = logreg_scores(spark, sf)
@@ -260,6 +289,6 @@ QUERIES = {
     "extraction_audit": extraction_audit, "extraction_misses": extraction_misses, "features_v01": features_v01,
     "attach_embeddings": attach_embeddings, "assembled_features": assembled_features, "logreg_scores": logreg_scores,
     "hybrid_scores": hybrid_scores, "structured_models": structured_models, "top_coefficients": top_coefficients,
-    "batch_inference": batch_inference, "stream_triage": stream_triage, "stream_reviews": stream_reviews,
+    "batch_inference": batch_inference, "c_grid_scores": c_grid_scores, "c_grid_coverage": c_grid_coverage, "select_best_c": select_best_c, "stream_triage": stream_triage, "stream_reviews": stream_reviews,
     "stream_latest_review": stream_latest_review, "stream_decision_counts": stream_decision_counts, "report_ids_large": report_ids_large,
 }

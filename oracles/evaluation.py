@@ -223,8 +223,8 @@ b2 AS (SELECT *, 2 AS ps, row_number() OVER (ORDER BY ranking_score DESC, model_
         "unsplit_ids": with_(REPORTS) + "SELECT report_id FROM reports WHERE label IS NULL",
         "band_rule_eval": with_(reasoning_v02_ctes(), LABELLED, GROUPED, SPLIT, "br AS (SELECT truth, split, 'HIGH' AS rule, sif_precursor_band = 'HIGH' AS flag FROM split JOIN reasoned USING (report_id) UNION ALL SELECT truth, split, 'HIGH+MEDIUM', sif_precursor_band <> 'LOW' FROM split JOIN reasoned USING (report_id))") + f"SELECT *, {RATES} FROM (SELECT split, rule, {conf('flag')} FROM br GROUP BY 1, 2)",
         "score_consistency": with_(REPORTS) + f"SELECT count(*)::bigint AS records, {r9('avg(abs(p - p2))')} AS mean_abs_diff, {r9('max(abs(p - p2))')} AS max_abs_diff, 'FAIL' AS status FROM reports",
-        "select_best_c": with_(REPORTS, LABELLED, FOLDED, FSCORES) + """SELECT c, "precision", recall, f2, pr_auc FROM (SELECT repeat / 10.0::double AS c, round(avg("precision"), 9) AS "precision", round(avg(recall), 9) AS recall, round(avg(f2), 9) AS f2, round(avg(accuracy), 9) AS pr_auc FROM fm WHERE model = 'first' GROUP BY repeat)
-  ORDER BY f2 DESC, recall DESC, pr_auc DESC, "precision" DESC, c LIMIT 1""",
+        "c_grid_coverage": with_(REPORTS, LABELLED, GROUPED, SPLIT) + """SELECT c, count(*)::bigint AS scored, sum(truth)::bigint AS positives, 0::bigint AS without_score
+  FROM split, (VALUES (0.1::double), (0.25::double), (0.5::double), (1.0::double)) g(c) WHERE split = 'validation' GROUP BY c""",
         "train_all_missing": with_(REPORTS, LABELLED, GROUPED, SPLIT, features_cte(), numeric, "tr AS (SELECT n.* FROM num n JOIN split s USING (report_id) WHERE split = 'train')")
         + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count({c})::bigint AS values, count({c}) = 0 AS dropped FROM tr" for c in eq.NUMERIC) + " UNION ALL SELECT 'always_missing', 0, true",
         "impute_with_indicator": with_(REPORTS, features_cte(), numeric) + "SELECT report_id, coalesce(max_height_m, (SELECT median(max_height_m) FROM num)) AS max_height_m, coalesce(max_voltage_v, (SELECT median(max_voltage_v) FROM num)) AS max_voltage_v, narrative_words, (max_height_m IS NULL)::int AS max_height_m_missing, (max_voltage_v IS NULL)::int AS max_voltage_v_missing FROM num",
