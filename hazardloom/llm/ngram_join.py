@@ -9,8 +9,9 @@ Only pairs that matter are counted, and no link between different sets is lost:
    bitmap of fixed size, made from all documents, holds the shingles seen twice; a false one only lets a
    set through. Sets of equal shingles become one class, with its smallest doc_id.
    Classes are then looked at in full in the same way.
-2. Classes that agree in one of a few minimum hashes, and in enough of the others, are compared with the smallest
-   class of that agreement: a group of n near copies gives about n pairs, which mostly make it one component.
+2. Classes that agree in one of a few minimum hashes, and in enough of the others, are compared with two heads of
+   that agreement, for a few rounds with other heads and only where components still differ: a group of n near copies
+   gives some n pairs a round and is mostly one component after it.
 3. What is left are links between different components. A shingle matters for them only if it is in
    classes of two components; classes whose share of such shingles is under the threshold go. The rest are
    compared in full where they share one of their rarest shingles and their components differ.
@@ -36,7 +37,7 @@ BYTES_PER_BIT = 16  # of the bitmap of repeated shingles
 BITS = 26  # of the bitmap of shingles in several components
 FRAGMENTS = 8
 MINIMA = 12  # minimum hashes of a set
-KEYS = 4  # those that classes meet by
+TURNS = 4  # rounds of stars
 AGREE = 6  # those that must agree before a pair is counted
 SPARE = 20  # percent of a set looked at beyond the shortest prefix
 
@@ -109,15 +110,17 @@ def length_fits(n_a, n_b, percent: int):
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
-def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Classes and the smallest class that has the same minimum under one of a few orders of the shingles, where
-    enough of the other minima agree as well. Pairs passed over here are left to `cross_pairs`."""
-    keys = F.posexplode(F.slice("minima", 1, KEYS)).alias("k", "value")
-    rows = classes.select("cls", "n", "minima", keys)
-    heads = rows.groupBy("k", "value").agg(F.min(F.struct("cls", "n", "minima")).alias("head"))
+def star_pairs(classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Classes of different components that have the same minimum under one of a few orders of the shingles, where
+    enough of the other minima agree as well: each class with two heads of the agreement, which a hash of the class
+    and the turn picks. Pairs passed over here are left to `cross_pairs`."""
+    rows = classes.select("cls", "n", "component", "minima", F.posexplode("minima").alias("k", "value"))
+    row = F.struct(F.xxhash64("cls", F.lit(turn)).alias("order"), "cls", "n", "component", "minima")
+    heads = rows.groupBy("k", "value").agg(F.min(row).alias("head"), F.max(row).alias("other"))
     agree = F.size(F.filter(F.zip_with("minima", "head.minima", lambda x, y: x == y), lambda same: same))
-    pairs = rows.join(heads, ["k", "value"]).where(F.col("cls") != F.col("head.cls")).where(length_fits(F.col("n"), F.col("head.n"), percent) & (agree >= AGREE))
-    return pairs.select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    pairs = rows.join(heads.select("k", "value", F.explode(F.array("head", "other")).alias("head")), ["k", "value"])
+    pairs = pairs.where((F.col("component") != F.col("head.component")) & length_fits(F.col("n"), F.col("head.n"), percent) & (agree >= AGREE))
+    return pairs.select(F.least("head.cls", "cls").alias("a"), F.greatest("head.cls", "cls").alias("b")).distinct()
 
 
 def with_enough(classes: DataFrame, bitmap: np.ndarray, bits: int, percent: int) -> DataFrame:
@@ -170,13 +173,15 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRA
     repeated = repeated_bitmap(classes.select("hashes"), flat, bits)
     near = staged(with_enough(classes.select("cls", "n", "hashes", "minima"), repeated, bits, percent), "near-classes")
     segments = staged(segments_of(near, fragments), "segments")
-    found = staged(verified(star_pairs(near, percent), segments, percent), "links")
     nodes = near.select(F.col("cls").alias("node"))
-    grouped = components(nodes, found).withColumnRenamed("node", "cls")
-    more = staged(verified(cross_pairs(near.join(grouped, "cls"), percent, bits), segments, percent), "links")
-    if not more.isEmpty():
-        found = found.union(more)
-        grouped = components(nodes, found).withColumnRenamed("node", "cls")
+    found, grouped = None, near.select("cls", F.col("cls").alias("component"))
+    for turn in range(TURNS + 1):
+        open_classes = near.join(grouped, "cls")
+        pairs = star_pairs(open_classes, percent, turn) if turn < TURNS else cross_pairs(open_classes, percent, bits)
+        more = staged(verified(pairs, segments, percent), "links")
+        found = more if found is None else found.union(more)
+        if turn == 0 or not more.isEmpty():
+            grouped = components(nodes, found).withColumnRenamed("node", "cls")
     labelled = classes.drop("hashes", "minima").join(grouped, "cls", "left")
     return labelled.withColumn("component", F.coalesce("component", "cls")), found
 
