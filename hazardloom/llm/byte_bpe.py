@@ -20,6 +20,7 @@ import codecs
 import gc
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from hazardloom.llm.common import load, mapped, slices, texts_of
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
-CACHED_PIECES = 600_000
+ENDS = (",", ".")
+LATIN_END = "\u0250"
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+CACHED_PIECES = 700_000
 LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
@@ -55,7 +59,7 @@ def parts_of(lead: str, piece: str):
         yield from parts_of(lead, head)
         yield "", "\n"
         yield from parts_of("", tail)
-    elif piece[-1:] in (",", ".") and piece[:-1].isalpha() and max(piece) < "\u0250":
+    elif piece[-1:] in ENDS and piece[:-1].isalpha() and max(piece) < LATIN_END:
         yield lead, piece[:-1]
         yield "", piece[-1]
     else:
@@ -130,17 +134,43 @@ class Codec:
 
         return cls(Tokenizer.from_str(data.decode()))
 
-    def _learn(self, wanted: list[tuple[str, str]]) -> None:
-        """Adds the ids of (lead, piece), a lead being a space or nothing: its parts are encoded a few at a time and joined."""
-        parts = {w: list(parts_of(*w)) for w in wanted}
-        fresh = list({x for found in parts.values() for x in found if x[1] not in self.known[x[0]]})
-        for at in range(0, len(fresh), LEARNED_AT_ONCE):
-            some = fresh[at : at + LEARNED_AT_ONCE]
-            for (lead, p), e in zip(some, self.tokenizer.encode_batch_fast([a + b for a, b in some], add_special_tokens=False), strict=True):
-                self.known[lead][p] = np.array(e.ids, "<u4").tobytes()
-        for (lead, p), found in parts.items():
-            self.known[lead][p] = b"".join([self.known[a][b] for a, b in found])
-        self.long += [w for w in (*wanted, *fresh) if len(w[1]) > CACHED_LENGTH]
+    def _encode_fresh(self, lead: str, pieces: list[str]) -> None:
+        known = self.known[lead]
+        for at in range(0, len(pieces), LEARNED_AT_ONCE):
+            some = pieces[at : at + LEARNED_AT_ONCE]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some] if lead else some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[p] = PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else np.array(ids, "<u4").tobytes()
+
+    def _learn(self, lead: str, pieces: set[str]) -> None:
+        """Adds the ids of pieces with their lead, a space or nothing: parts are encoded a few at a time and joined."""
+        known = self.known[lead]
+        fresh, marked, broken = set(), [], []
+        for p in pieces:
+            if p[-1:] in ENDS and p[:-1].isalpha() and (p.isascii() or max(p) < LATIN_END):
+                marked.append(p)
+                if p[:-1] not in known:
+                    fresh.add(p[:-1])
+            elif "\n" in p:
+                broken.append(p)
+            else:
+                fresh.add(p)
+        parts = {p: list(parts_of(lead, p)) for p in broken}
+        wanted = {lead: fresh, **({} if lead == "" else {"": set()})}
+        for found in parts.values():
+            for a, b in found:
+                if b not in self.known[a]:
+                    wanted[a].add(b)
+        wanted[""].update(c for c in (*ENDS, "\n") if c not in self.known[""])
+        for a, found in wanted.items():
+            self._encode_fresh(a, list(found))
+            self.long += [(a, p) for p in found if len(p) > CACHED_LENGTH]
+        end = {c: self.known[""][c] for c in ENDS}
+        for p in marked:
+            known[p] = known[p[:-1]] + end[p[-1]]
+        for p, found in parts.items():
+            known[p] = b"".join([self.known[a][b] for a, b in found])
+        self.long += [(lead, p) for p in pieces if len(p) > CACHED_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -157,14 +187,17 @@ class Codec:
         cut = [(t.split(" "), True) if evenly_spaced(t) else (CUT.split(t), False) for t in texts]
         opening = {c[0] for c, _ in cut} | {p for c, even in cut if not even for p in c}
         inner = set().union(*[c[1:] for c, even in cut if even])
-        self._learn([("", p) for p in opening.difference(first)] + [(" ", p) for p in inner.difference(spaced)])
+        self._learn(" ", inner.difference(spaced))
+        self._learn("", opening.difference(first))
         out = [first[c[0]] + b"".join(map((spaced if even else first).__getitem__, c[1:])) for c, even in cut]
         for lead, p in self.long:
             self.known[lead].pop(p, None)
         self.long.clear()
         for known in self.known.values():
             if len(known) > CACHED_PIECES:
-                known.clear()
+                # frequent pieces came first: the later half goes
+                for _ in range(len(known) // 2):
+                    known.popitem()
         return out
 
     def byte_starts(self, ids: bytes) -> np.ndarray:
