@@ -10,10 +10,11 @@ false answer can only raise it. Probabilities are smoothed by orders:
 A level stands for its smallest count above the line and for its largest below it, so that but for false answers the
 probabilities of all words after v sum to one at most.
 
-The filter's size is bounded whatever the corpus: counts are taken in units of N / ENTRIES (one, for a corpus
-smaller than that). A level takes a unit at least, so an order has ENTRIES levels at most, of `BITS_PER_ENTRY` bits
-each. It is built in segments, one per range of hashes, by the tasks that sum up the counts; only finished segments reach the
-driver and the workers.
+The filter holds every n-gram of the corpus, those seen once too. It is built in segments, one per range of hashes, by
+the tasks that sum up the counts, and stored in the shared folder. What is sent to workers is bounded whatever the
+corpus: segments go out in rounds of `ROUND_BYTES`, a round scores the tokens whose grams fall into its ranges, and
+the rounds' sums are added up per row. A filter of that size at most takes one round; each further round
+reads the stored texts again.
 
 Exact word counts, for the base score, stay in storage. Words that make up a millionth of the corpus or more (a million at
 most) are sent to the workers; the others are looked up in a join, bucket by bucket.
@@ -24,6 +25,9 @@ empty table gives an empty one; other columns are neither read nor returned."""
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.llm.common import END, batch, buckets_for, joined_hashes, load, mapped, mix, slices, staged, texts_of, word_hashes
 
-ENTRIES = (1 << 27, 1 << 26)  # most levels of single words, and of each longer order
+ROUND_BYTES = 128 << 20  # of the filters that are sent to workers at a time; a segment at least
 BITS_PER_ENTRY = 10
 PROBES = 6
 GROWTH = 1.15
@@ -188,10 +192,59 @@ def gram_counts(rows: DataFrame, n: int, buckets: int):
 
 
 @dataclass
-class Model:
-    """What a worker needs: the filters by order, the totals, and exact counts of frequent words."""
+class Part:
+    """What a worker needs in a round: filters by order that hold the given ranges of buckets, and the totals."""
 
     filters: list[Filter]
+    ranges: list[tuple[int, int]]
+    n: int
+    v: int
+    texts: int
+    weight: float
+
+    def owned(self, keys: np.ndarray, order: int) -> np.ndarray:
+        bucket = (keys >> np.uint64(64 - (len(self.filters[order - 1].widths).bit_length() - 1))).astype(np.int64)
+        low, high = self.ranges[order - 1]
+        return (bucket >= low) & (bucket < high)
+
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return self.filters[order - 1].levels(distinct)[at]
+
+    def token_scores(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """This part's share of the log10 probability of each token. A token's count belongs to the part that has its grams
+        of every order, the count of its context to the part that has the context and the first range of pairs."""
+        out = np.zeros(len(tokens))
+        words = self.owned(tokens, 1)
+        if not words.any() and self.ranges[0][0] > 0:
+            return out
+        held = self.filters[0]
+        levels = np.zeros(len(tokens), np.int64)
+        levels[words] = self.levels(tokens[words], 1)
+        p = (held.least(levels) + 1.0) / (self.n + self.v + 1.0)
+        if len(self.filters) == 1:
+            out[words] = np.log10(p[words])
+            return out
+        pairs = grams_of(tokens, bounds, 2)
+        own = np.flatnonzero(words & self.owned(pairs, 2))
+        out[own] = np.log10(self.filters[1].least(self.levels(pairs[own], 2)) + self.weight * p[own])
+        if self.ranges[1][0] == 0:
+            first = np.zeros(len(tokens), bool)
+            first[bounds[:-1]] = True
+            known = np.flatnonzero(words[:-1] & ~first[1:])
+            out[known + 1] -= np.log10(held.most(levels[known]) + self.weight)
+            if self.ranges[0][0] == 0:
+                out[first] -= np.log10(self.texts + self.weight)
+        return out
+
+
+@dataclass
+class Model:
+    """The stored segments by order, their ranges by round, the totals, and exact counts of frequent words."""
+
+    segments: list[DataFrame]
+    ranges: list[list[tuple[int, int]]]
+    buckets: int
     n: int
     v: int
     texts: int
@@ -199,23 +252,32 @@ class Model:
     frequent_counts: np.ndarray
     weight: float = WEIGHT
 
+    def parts(self) -> Iterator[Part]:
+        """One part a round; only its segments are read."""
+        for ranges in itertools.product(*self.ranges):
+            filters = []
+            for stored, (low, high) in zip(self.segments, ranges, strict=True):
+                found = stored.where((F.col("bucket") >= low) & (F.col("bucket") < high)).collect()
+                filters.append(Filter.join([(r.bucket, r.width, r.bits) for r in found], self.buckets, 1))
+            yield Part(filters, list(ranges), self.n, self.v, self.texts, self.weight)
+
+    def rounds(self) -> int:
+        return math.prod(len(r) for r in self.ranges)
+
     def token_scores(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
-        p, context = None, None
-        for order, held in enumerate(self.filters, 1):
-            keys, at = np.unique(grams_of(tokens, bounds, order), return_inverse=True)
-            levels = held.levels(keys)
-            if order == 1:
-                p = ((held.least(levels) + 1.0) / (self.n + self.v + 1.0))[at]
-            else:
-                p = (held.least(levels)[at] + self.weight * p) / (context + self.weight)
-            if order < len(self.filters):
-                # the context of the next order is this order's gram one token before
-                most = held.most(levels)[at].astype(float)
-                context = np.empty(len(tokens))
-                context[1:] = most[:-1]
-                context[bounds[:-1]] = self.texts
-        return np.log10(p)
+        return sum(part.token_scores(tokens, bounds) for part in self.parts())
+
+
+def ranges_of(sizes: dict[int, int], buckets: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of buckets that cover all, of `most` bytes each or of a single bucket."""
+    out, low, size = [], 0, 0
+    for b in range(buckets):
+        if b > low and size + sizes.get(b, 0) > most:
+            out.append((low, b))
+            low, size = b, 0
+        size += sizes.get(b, 0)
+    return [*out, (low, buckets)]
 
 
 def fit(docs: DataFrame, order: int = 2, weight: float = WEIGHT) -> tuple[Model, DataFrame]:
@@ -233,28 +295,30 @@ def fit(docs: DataFrame, order: int = 2, weight: float = WEIGHT) -> tuple[Model,
     total = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("ends").alias("ends")).first()
     n, v, texts = (total[k] or 0 for k in ("n", "v", "ends"))
 
-    def segment(keys, counts, unit, bucket):
-        width, bits = Filter.build(keys, level_of(counts, unit))
+    def segment(keys, counts, bucket):
+        width, bits = Filter.build(keys, level_of(counts, 1))
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([width], pa.int64()), pa.array([bits], pa.binary())], ["bucket", "width", "bits"])
 
     shape = "bucket int, width long, bits binary"
-    unit = -(-max(n, 1) // ENTRIES[0])
 
     def word_segments(batches):
         for b in batches:
             for bucket, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
-                yield segment(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8"), unit, bucket)
+                yield segment(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8"), bucket)
 
-    collect = lambda df: [(r.bucket, r.width, r.bits) for r in df.collect()]
-    filters = [Filter.join(collect(mapped(words.select("bucket", "keys", "counts"), word_segments, shape)), buckets, unit)]
+    segments = [staged(mapped(words.select("bucket", "keys", "counts"), word_segments, shape), "word-segments")]
     if order > 1:
-        pair_unit = -(-max(n, 1) // ENTRIES[1])
 
         def pair_segments(table: pa.Table) -> pa.Table:
             keys, counts = _totals(table)
-            return pa.Table.from_batches([segment(keys, counts, pair_unit, table.column("bucket")[0].as_py())])
+            return pa.Table.from_batches([segment(keys, counts, table.column("bucket")[0].as_py())])
 
-        filters.append(Filter.join(collect(gram_counts(rows, 2, buckets).applyInArrow(pair_segments, shape)), buckets, pair_unit))
+        segments.append(staged(gram_counts(rows, 2, buckets).applyInArrow(pair_segments, shape), "pair-segments"))
+    ranges, room = [], ROUND_BYTES
+    for left, stored in zip(range(order, 0, -1), segments, strict=True):
+        sizes = {r.bucket: r.width // 8 for r in stored.select("bucket", "width").collect()}
+        ranges.append(ranges_of(sizes, buckets, room // left))
+        room -= max(sum(sizes.get(b, 0) for b in range(*r)) for r in ranges[-1])
 
     least = max(1, -(-n // FREQUENT))
 
@@ -268,32 +332,37 @@ def fit(docs: DataFrame, order: int = 2, weight: float = WEIGHT) -> tuple[Model,
     common = mapped(words.select("keys", "counts"), frequent, "keys binary, counts binary").collect()
     keys = np.frombuffer(b"".join(r["keys"] for r in common), "<u8")
     ranked = np.argsort(keys)
-    model = Model(filters, n, v, texts, keys[ranked], np.frombuffer(b"".join(r["counts"] for r in common), "<i8")[ranked], weight)
+    model = Model(segments, ranges, buckets, n, v, texts, keys[ranked], np.frombuffer(b"".join(r["counts"] for r in common), "<i8")[ranked], weight)
     return model, words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, *more: Column) -> DataFrame:
     """Per row of docs: doc_id, the columns asked for, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    parts = model.parts()
+    sent = spark.sparkContext.broadcast(next(parts))
+    common = spark.sparkContext.broadcast((model.frequent, model.frequent_counts))
     # the row number is stored with the rows, so it names a row for good
     rows = texts_of(docs, *more)
+    several = model.rounds() > 1
+    if several:
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     extra = [f for f in rows.schema.fields if f.name not in ("doc_id", "text")]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
 
     def run(batches):
-        model = sent.value
+        part, (frequent, frequent_counts) = sent.value, common.value
         for whole in batches:
             for b in slices(whole, "text"):
                 tokens, bounds = tokens_of(b.column("text"))
                 texts = len(bounds) - 1
                 keys, at = np.unique(tokens, return_inverse=True)
-                place = np.minimum(np.searchsorted(model.frequent, keys), max(0, len(model.frequent) - 1))
-                often = model.frequent[place] == keys if len(model.frequent) else np.zeros(len(keys), bool)
-                logs = np.where(often, np.log10(1.0 + (model.frequent_counts[place] if len(model.frequent) else 0)), 0.0)
+                place = np.minimum(np.searchsorted(frequent, keys), max(0, len(frequent) - 1))
+                often = frequent[place] == keys if len(frequent) else np.zeros(len(keys), bool)
+                logs = np.where(often, np.log10(1.0 + (frequent_counts[place] if len(frequent) else 0)), 0.0)
                 owner = np.repeat(np.arange(texts), np.diff(bounds))
                 total = lambda x: np.bincount(owner, x, texts)  # noqa: B023, E731
-                scores = total(model.token_scores(tokens, bounds))
+                scores = total(part.token_scores(tokens, bounds))
                 rare = ~often[at]
                 pairs, counts = _pairs(owner[rare], at[rare], len(keys))
                 cuts = np.searchsorted(pairs[0], np.arange(texts + 1))
@@ -306,20 +375,42 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *more: Column) -> Dat
                 )
 
     schema = "doc_id long" + f", {shape}" * bool(extra) + ", n_tokens long, known long, logs double, score double, rare binary, times binary"
-    scored = staged(mapped(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    found = _looked_up(scored, words).groupBy("row").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"))
+    first = mapped(rows, run, schema)
+    scored = staged(first if several else first.withColumn("row", F.monotonically_increasing_id()), "scored")
+    sent.destroy()
+    found = _looked_up(scored, words).withColumn("more", F.lit(0.0))
+    for part in parts:
+        found = found.unionByName(_round(rows, part).selectExpr("row", "0L as known", "0D as logs", "score as more"))
+    found = found.groupBy("row").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"), F.sum("more").alias("more"))
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))
     return scored.drop("rare", "times").join(found, "row", "left").select(
         "doc_id",
-        *[f.name for f in extra],
+        *[f.name for f in extra if not (several and f.name == "row")],
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
+def _round(rows: DataFrame, part: Part) -> DataFrame:
+    """Stored (row, score): a part's share of the score of each row. The part leaves the workers when the round is done."""
+    sent = rows.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                tokens, bounds = tokens_of(b.column("text"))
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                shares = np.bincount(owner, sent.value.token_scores(tokens, bounds), len(bounds) - 1)
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(shares)], ["row", "score"])
+
+    out = staged(mapped(rows.select("row", "text"), run, "row long, score double"), "round")
+    sent.destroy()
+    return out
+
+
 def _pairs(owner: np.ndarray, key: np.ndarray, keys: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct (owner, key) in order, and how often each occurs."""
     both, counts = np.unique(owner * max(1, keys) + key, return_counts=True)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import AWKWARD, SF, documents, with_clashes
 
 from hazardloom.llm import lm_scoring as lm
@@ -88,3 +89,40 @@ def test_empty_table_and_no_training_rows(spark):
     ids = [i for i in range(60) if held(i)][:3]
     rows = lm.op1(documents(spark, ["a b", "c", None], ids)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in rows] == [(0, 0, 0.0)] * 3
+
+
+def plain_scores(rows):
+    """Pair scores from exact counts, quantised as stated; no filter, so nothing false."""
+    single, pairs, texts = Counter(), Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            ws = words(t)
+            single.update(ws)
+            pairs.update(zip(["begin", *ws], ws))
+            texts += 1
+    n, v = sum(single.values()), len(single)
+    level = lambda c: int(lm.level_of(np.array([c]), 1)[0])
+    least = lambda c: int(lm.LEVELS[level(c) - 1]) if c else 0
+    most = lambda c: int(lm.LEVELS[level(c)]) - 1
+    out = {}
+    for i, t in rows:
+        ws = words(t)
+        out[i] = 0.0
+        for k, w in enumerate(ws):
+            context = most(single[ws[k - 1]]) if k else texts
+            seen = pairs[ws[k - 1] if k else "begin", w]
+            out[i] += math.log10((least(seen) + lm.WEIGHT * (least(single[w]) + 1) / (n + v + 1)) / (context + lm.WEIGHT))
+    return out
+
+
+@pytest.mark.parametrize("room", [1 << 20, 400])
+def test_no_gram_is_dropped_whatever_the_size(spark, monkeypatch, room):
+    """Every pair counts, those seen once too, however little may be sent at a time."""
+    monkeypatch.setattr(lm, "ENTRIES", (64, 64), raising=False)
+    monkeypatch.setattr(lm, "ROUND_BYTES", room, raising=False)
+    texts = [" ".join(random.Random(i).choices([f"w{j}" for j in range(40)], k=30)) for i in range(30)]
+    want = plain_scores(list(enumerate(texts)))
+    rows = lm.op1(documents(spark, [*texts, texts[0]], [*range(30), 300])).collect()
+    assert len(rows) == 31 and {r.score for r in rows if r.doc_id == 300} == {r.score for r in rows if r.doc_id == 0}
+    gaps = [abs(r.score - want[r.doc_id]) / r.n_tokens for r in rows if r.doc_id != 300]
+    assert sum(gaps) / len(gaps) < 0.01, sum(gaps) / len(gaps)
