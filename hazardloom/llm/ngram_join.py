@@ -14,6 +14,8 @@ Only pairs that matter are counted, and no link between different sets is lost:
 3. What is left are links between different components. A shingle matters for them only if it is in
    classes of two components; classes whose share of such shingles is under the threshold go. The rest are
    compared in full where they share one of their rarest shingles and their components differ.
+4. Every link lies within a component now. `link_counts` counts them all: a component is cut into blocks of classes, each
+   pair of blocks is a group of its own, and the overlaps of all its pairs are counted there. Only counts leave a group.
 
 Defined results: a null or empty text has an empty set and no link; rows of equal doc_id are separate rows whose
 sets join through equal ids only if they link; a component whose rows have no doc_id gets a null
@@ -21,6 +23,8 @@ component_id; an empty table gives an empty one; other columns are neither read
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +43,8 @@ MINIMA = 12  # minimum hashes of a set
 KEYS = 4  # those that classes meet by
 AGREE = 6  # those that must agree before a pair is counted
 SPARE = 20  # percent of a set looked at beyond the shortest prefix
+BLOCK = 512  # classes of a block
+BLOCK_SHINGLES = 1 << 20
 
 
 def prefix_length(n: int, percent: int, spare: int) -> int:
@@ -155,8 +161,87 @@ def cross_pairs(classes: DataFrame, percent: int, bits: int) -> DataFrame:
     return met.select(F.col("cls").alias("a"), "b").distinct()
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of every set of a with every set of b."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (x, row), (y, col) = flat(a), flat(b)
+    shared = np.intersect1d(x, y)
+    if not len(shared):
+        return out
+    held = []
+    for values, owner in ((x, row), (y, col)):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        own = shared[at] == values
+        order = np.argsort(at[own], kind="stable")
+        held.append((owner[own][order], np.searchsorted(at[own][order], np.arange(len(shared) + 1))))
+    (rows, row_at), (cols, col_at) = held
+    df_a, df_b = np.diff(row_at), np.diff(col_at)
+    # shingles that many pairs share are multiplied as dense columns, the others pair by pair
+    hot = df_a * df_b * 64 > out.size
+    dense = np.flatnonzero(hot)
+    for n in range(0, len(dense), 4096):
+        sides = []
+        for owner, df, at, size in ((rows, df_a, row_at, len(a)), (cols, df_b, col_at, len(b))):
+            part = dense[n : n + 4096]
+            marks = np.zeros((size, len(part)), np.float32)
+            marks[owner[_runs(at[part], df[part])], np.repeat(np.arange(len(part)), df[part])] = 1
+            sides.append(marks)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    rest = np.flatnonzero(~hot)
+    made = np.concatenate([[0], np.cumsum(df_a[rest] * df_b[rest])])
+    cuts = [*np.unique(np.searchsorted(made, np.arange(0, made[-1], 1 << 21))).tolist(), len(rest)]
+    for low, high in itertools.pairwise(cuts):
+        part = rest[low:high]
+        left = _runs(row_at[part], df_a[part])
+        each = np.repeat(df_b[part], df_a[part])
+        right = _runs(np.repeat(col_at[part], df_a[part]), each)
+        out += np.bincount(np.repeat(rows[left], each) * len(b) + cols[right], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, end to end."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def link_counts(members: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(cls, n_links) of classes (cls, n, component, hashes): the other classes of its component that a class is linked
+    with. Components of less than a block are dealt out together, larger ones block against block."""
+    enough = lambda count, shingles: F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(shingles) / block_shingles), F.lit(1))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1").withColumn("blocks", enough("m", "total").cast("int"))
+    buckets = sizes.where("blocks = 1").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).select(enough("m", "total")).first()[0]
+    placed = members.select("cls", "component").join(sizes, "component").select("cls", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("own"))
+    placed = members.join(placed, "cls")
+    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(int(buckets)))).otherwise(F.col("component"))
+    dealt = placed.select("cls", "n", "component", "hashes", "own", (F.col("blocks") > 1).alias("large"), home.alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("other"))
+    dealt = dealt.select("cls", "n", "component", "hashes", "own", "large", "home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def count(table: pa.Table) -> pa.Table:
+        cls, n, own, component = (table.column(c).to_numpy() for c in ("cls", "n", "own", "component"))
+        hashes = table.column("hashes").combine_chunks()
+        flat, ends = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False).astype(np.int64))
+        # equal shingles of different components are different
+        sets = [s ^ k for s, k in zip(np.split(flat, ends[:-1]), mix(component.view(np.uint64)), strict=True)]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = np.zeros(len(cls), np.int64)
+        if len(a) and len(b):
+            shared = overlaps([sets[k] for k in a], [sets[k] for k in b])
+            linked = 100 * shared >= percent * (n[a][:, None] + n[b][None, :] - shared)
+            if i == j:
+                np.fill_diagonal(linked, False)
+            else:
+                found[b] = linked.sum(0)
+            found[a] = linked.sum(1)
+        return pa.table({"cls": cls, "n_links": found})
+
+    partial = dealt.groupBy("large", "home", "i", "j").applyInArrow(count, "cls long, n_links long")
+    return partial.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
 def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (f1, f2, n, least, cls, component), and the links found (a, b, overlap).
+    """Classes of equal sets (f1, f2, n, least, cls, component), and those that may have links (cls, n, component, hashes).
 
     cls is the class's smallest doc_id, or its fingerprint where no row has an id or another class has the same."""
     bits = bits or BITS
@@ -178,21 +263,24 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = FRA
         found = found.union(more)
         grouped = components(nodes, found).withColumnRenamed("node", "cls")
     labelled = classes.drop("hashes", "minima").join(grouped, "cls", "left")
-    return labelled.withColumn("component", F.coalesce("component", "cls")), found
+    return labelled.withColumn("component", F.coalesce("component", "cls")), near.join(grouped, "cls").select("cls", "n", "component", "hashes")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class_id (smallest id with the same set), component_id and a
-    count of the class's links."""
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None, count: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, class_id (smallest id with the same set), component_id and, if asked for,
+    n_links: how many other classes the class is linked with."""
     sets = staged(set_rows(docs, words, percent, bits=bits), "sets")
-    classes, links = linked_classes(sets, percent, bits=bits)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = classes.join(degree, "cls", "left").select("f1", "f2", F.col("n").alias("n_shingles"), "least", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes, members = linked_classes(sets, percent, bits=bits)
+    names = ["doc_id", "n_shingles", "class_id", "component_id"]
+    if count:
+        classes = classes.join(link_counts(members, percent), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        names.append("n_links")
+    classes = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "least", "component", *names[4:])
     rows = sets.withColumn("open", F.col("hashes").isNotNull()).drop("hashes", "minima")
     labelled = rows.where("open").drop("open").join(classes, ["f1", "f2", "n_shingles"])
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     closed = rows.where("not open").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return labelled.join(least, "component").select("doc_id", "n_shingles", F.col("least").alias("class_id"), "component_id", "n_links").unionByName(closed)
+    return labelled.join(least, "component").withColumnRenamed("least", "class_id").select(*names).unionByName(closed.select(*names))
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -202,7 +290,7 @@ def op3(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """docs with one document of each group: the one with the smallest id. Rows without an id, and all rows
     whose set is empty, stay."""
-    groups = near_groups(docs, words, percent, bits)
+    groups = near_groups(docs, words, percent, bits, count=False)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
 

@@ -95,3 +95,31 @@ def test_whole_table_query_and_empty_table(spark):
     rows = ngram_join.query(spark, SF).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(brute(list(table.values()), list(table)))
     assert ngram_join.op3(documents(spark, [])).collect() == []
+
+
+def link_brute(texts):
+    """Per text, the different sets that its own is linked with."""
+    sets = [shingles(t) for t in texts]
+    distinct = set(sets)
+    linked = {a: sum(a != b and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for b in distinct) for a in distinct}
+    return [(i, linked[s]) for i, s in enumerate(sets)]
+
+
+def test_every_link_is_counted(spark):
+    texts = [*planted(random.Random(5)), *AWKWARD]
+    want = link_brute(texts)
+    rows = ngram_join.op3(with_clashes(documents(spark, texts))).collect()
+    assert max(n for _, n in want) > 10
+    assert sorted((r.doc_id, r.n_links) for r in rows) == want
+
+
+def test_links_over_many_blocks(spark):
+    texts = planted(random.Random(6))
+    sets = ngram_join.set_rows(documents(spark, texts))
+    _, members = ngram_join.linked_classes(sets)
+    members = members.cache()
+    want = dict(link_brute(texts))
+    for block, shingles_ in ((4, 1 << 20), (1000, 300)):
+        got = {r.cls: r.n_links for r in ngram_join.link_counts(members, block=block, block_shingles=shingles_).collect()}
+        assert got and all(want[k] == v for k, v in got.items())
+        assert {r.cls for r in members.collect() if want[r.cls]} <= set(got)
