@@ -1,7 +1,7 @@
 """Benchmark items that occur in documents, exactly or with some words changed.
 
-An item of n words occurs in a document if some window of n words (fewer where the document ends first) is within
-n * percent / 100 word edits (insert, delete, replace) of it. Words are folded A-Z and separated by blanks.
+An item of n words occurs in a document if some window of it, of any number of words, is within k = n * percent / 100
+word edits (insert, delete, replace) of it; such a window has n - k to n + k words. Words are folded A-Z and separated by blanks.
 
 * The CGK walk reads a window word by word: step t writes the word under a pointer, which a random bit of (t, word) moves
   on or leaves. Two texts a few edits apart fall into step again, so their written runs differ in few places: edit distance
@@ -9,7 +9,7 @@ n * percent / 100 word edits (insert, delete, replace) of it. Words are folded A
 * Bit sampling: a few places of the run form a key; windows and items with an equal key in any of several tables of several walks are
   candidates. Places lie in the part that the shortest item of a length band fills. Tables are added until an item at
   the edit limit would be found with the target recall (measured in the tests against all windows).
-* Candidates are verified by the exact edit distance.
+* Candidates are verified by the least exact edit distance over all ends of the window.
 
 Windows are placed where an item can begin: of n words with k edits, one of k + 1 pieces is unchanged, so a window
 without a run of n / (k + 1) words of the item can't match, and such a run says where it begins, to k words. This loses no match.
@@ -159,7 +159,7 @@ class Index:
                 begin, i = int(begins[pair // len(members)]), int(members[pair % len(members)])
                 doc = int(np.searchsorted(at, begin, "right") - 1)
                 best = out.get((doc, i), (self.rules.edits(len(self.items[i])) + 1, 0))
-                edits = word_edits(words[begin : min(begin + len(self.items[i]), int(doc_ends[begin]))], self.items[i], best[0] - 1)
+                edits = least_edits(words[begin : min(begin + len(self.items[i]) + best[0] - 1, int(doc_ends[begin]))], self.items[i], best[0] - 1)
                 if edits < best[0]:
                     out[doc, i] = (edits, begin - int(at[doc]))
         return out
@@ -188,6 +188,29 @@ def word_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(row[-1], far)
 
 
+def least_edits(text: np.ndarray, item: np.ndarray, most: int) -> int:
+    """Least edit distance of the item and any run of words that begins the text, or most + 1 where all are larger."""
+    far = most + 1
+    if most < 0 or len(text) < len(item) - most:
+        return far
+    if len(text) >= len(item) and (text[: len(item)] == item).all():
+        return 0
+    if np.isin(item, text).sum() < len(item) - most:
+        return far
+    x, y = item.tolist(), text.tolist()
+    row = [min(j, far) for j in range(len(y) + 1)]
+    for i, w in enumerate(x, 1):
+        low, high = max(1, i - most), min(len(y), i + most)
+        new = [far] * (len(y) + 1)
+        new[0] = min(i, far)
+        for j in range(low, high + 1):
+            new[j] = min(row[j - 1] + (w != y[j - 1]), row[j] + 1, new[j - 1] + 1, far)
+        row = new
+        if min(row) > most:
+            return far
+    return min(row)
+
+
 def blocks_of(items: DataFrame, block_bytes: int):
     """(ids, texts) of the items, block by block of about the given size."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")

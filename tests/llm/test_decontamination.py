@@ -104,3 +104,42 @@ def test_bounded_distance(a, b, most):
     x, y = (np.array(v, np.uint64) for v in (a, b))
     want = distance(a, b)
     assert dc.word_edits(x, y, most) == min(want, most + 1)
+
+
+def any_end(words, own):
+    """Fewest edits of the item over all windows, of any length."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(own, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_words_put_in_or_left_out_cost_one_edit_each(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items, texts = [], []
+    for i, n in enumerate([16] * 6 + [40] * 6):
+        own = [word() for _ in range(n)]
+        items.append((i, " ".join(own)))
+        k = n // 5 * 5 // 8 + 1  # 2 of the 3, 6 of the 8 that are allowed
+        more = [*own[: n // 2], *[word() for _ in range(k)], *own[n // 2 :]]
+        less = [*own[: n // 2], *own[n // 2 + k :]]
+        for changed_ in (more, less):
+            texts.append(" ".join([*[word() for _ in range(12)], *changed_, *[word() for _ in range(12)]]))
+    want = {(d, i): e for d, t in enumerate(texts) for i, x in items if (e := any_end(t.split(), x.split())) <= len(x.split()) // 5}
+    rows = dc.op6(documents(spark, texts), spark.createDataFrame(items, ITEMS)).collect()
+    got = {(x.doc_id, x.item_id): x.edits for x in rows}
+    assert len(want) == 24 and set(got) <= set(want) and len(got) >= 0.95 * len(want), (len(got), len(want))
+    assert all(got[k] >= want[k] for k in got) and sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    kept = dc.clean(documents(spark, texts), spark.createDataFrame(items, ITEMS))
+    assert kept.count() == len(texts) - len({d for d, _ in got})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 6))
+def test_bounded_distance_to_any_end(a, b, most):
+    x, y = (np.array(v, np.uint64) for v in (a, b))
+    assert dc.least_edits(x, y, most) == min(most + 1, *[distance(a[:n], b) for n in range(len(a) + 1)])
