@@ -19,6 +19,7 @@ MODULES = {
     "op8_token_output": "token_output",
     "op9_language_id": "language_id",
     "op10_license_scan": "license_scan",
+    "op11_importance_resampling": "importance_resampling",
 }
 
 
