@@ -20,6 +20,8 @@ MODULES = {
     "op9_language_id": "language_id",
     "op10_license_scan": "license_scan",
     "op11_importance_resampling": "importance_resampling",
+    "op12_source_mixing": "source_mixing",
+    "op13_token_alignment": "token_alignment",
 }
 
 
