@@ -41,6 +41,12 @@ def texts_of(docs: DataFrame, *more: Column | str, text: str = "text") -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that the table doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_own{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def bitmap_bits(rows: DataFrame, text: str, bytes_per_bit: int, most: int = 30) -> int:
     """Size of a bitmap that follows the amount of text up to 2**most bits, which bounds what is sent to workers."""
     size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
