@@ -219,7 +219,8 @@ def bucket_totals(rows: DataFrame, head: Broadcast, buckets: int = BUCKETS) -> D
         some = np.flatnonzero(counts)
         yield batch(schema, bucket=some, n=counts[some])
 
-    return mapped(rows.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = mapped(rows.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return staged(counted, "bucket-totals")  # read twice
 
 
 def gains(spark: SparkSession, ours: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
