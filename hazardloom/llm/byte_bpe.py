@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import load, mapped, slices, texts_of
+from hazardloom.llm.common import load, mapped, slices, texts_of, worker_state
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
 ENDS = (",", ".")
@@ -221,16 +221,11 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec_of(source: tuple) -> Codec:
     """The codec of (broadcast file, pattern or None), made once per Python worker."""
     file, pattern = source
-    key = (hash(file.value), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec.from_json(file.value) if pattern is None else Codec.from_ranks(file.value, pattern)
-    return _CODECS[key]
+    make = lambda: Codec.from_json(file.value) if pattern is None else Codec.from_ranks(file.value, pattern)
+    return worker_state((hash(file.value), pattern), make)
 
 
 def token_table(source: tuple) -> list[bytes]:
@@ -264,7 +259,7 @@ def encode(docs: DataFrame, vocab: tuple, offsets: bool = False) -> DataFrame:
                     columns.append(pa.array([codec.character_spans(i, t) for i, t in zip(ids, texts, strict=True)], schema.field("spans").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return mapped(texts_of(docs), run, "doc_id long, ids binary" + ", spans array<array<int>>" * offsets)
+    return mapped(texts_of(docs), run, "doc_id long, ids binary" + ", spans array<array<int>>" * offsets, state=True)
 
 
 def decode(rows: DataFrame, vocab: tuple) -> DataFrame:
@@ -279,7 +274,7 @@ def decode(rows: DataFrame, vocab: tuple) -> DataFrame:
                 decoded = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return mapped(rows.select("doc_id", "ids"), run, schema)
+    return mapped(rows.select("doc_id", "ids"), run, schema, state=True)
 
 
 def digests(rows: DataFrame, *more: str) -> DataFrame:

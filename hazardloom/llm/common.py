@@ -5,7 +5,8 @@ so no per-word Python objects are made. Hashes have 64 bits and are the same in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,35 @@ def buckets_for(spark: SparkSession) -> int:
     return 1 << max(5, (2 * shuffle_partitions(spark) - 1).bit_length())
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+_STATE: dict = {}
+
+
+def worker_state(key: Hashable, make: Callable):
+    """What a Python worker keeps from task to task, such as a tokenizer with its cache. It holds one such state at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def tidy() -> None:
+    """Gives free memory back: workers live on after their task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, state: bool = False) -> DataFrame:
+    """Batches through fn. A worker drops the state of earlier stages unless these tasks use it."""
+
+    def run(batches):
+        if not state:
+            _STATE.clear()
+        yield from fn(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardloom.llm.byte_bpe import CUT, bytes_by_id, evenly_spaced
-from hazardloom.llm.common import load, mapped, slices, staged, texts_of
+from hazardloom.llm.common import load, mapped, slices, staged, texts_of, worker_state
 
 CACHED = 250_000
 CACHED_LENGTH = 48
@@ -142,15 +142,10 @@ class Aligner:
         return [None if not found or None in found else found for found in out]
 
 
-_ALIGNERS: dict[int, Aligner] = {}
-
-
 def aligner_of(sources: tuple[Broadcast, Broadcast]) -> Aligner:
     """The aligner of two broadcast files, made once per Python worker."""
-    key = hash((sources[0].value, sources[1].value))
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(sources[0].value, sources[1].value)
-    return _ALIGNERS[key]
+    json, model = (s.value for s in sources)
+    return worker_state((hash(json), hash(model)), lambda: Aligner(json, model))
 
 
 def vocabularies(spark: SparkSession, json: str, model: str) -> tuple[Broadcast, Broadcast]:
@@ -187,7 +182,7 @@ def aligned(docs: DataFrame, sources: tuple[Broadcast, Broadcast]) -> DataFrame:
                 row += len(found)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"])
 
-    return mapped(texts_of(docs), run, ALIGNED)
+    return mapped(texts_of(docs), run, ALIGNED, state=True)
 
 
 def codes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

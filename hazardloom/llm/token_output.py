@@ -134,7 +134,7 @@ def write(docs: DataFrame, vocab: tuple, folder: str, length: int = 2048, end_id
             sink.close()
             system.move(f"{inner}.writing", inner)
 
-    return staged(mapped(rows, run, INDEX), "token-index")
+    return staged(mapped(rows, run, INDEX, state=True), "token-index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def read(index: DataFrame) -> DataFrame:
                 out.append(reader.ids(place, n).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return mapped(index.select("path", "doc_id", "place", "n_tokens", "start"), run, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(index.select("path", "doc_id", "place", "n_tokens", "start"), run, "doc_id long, start long, n_tokens long, ids binary", state=True)
 
 
 def op8(docs: DataFrame, vocab: tuple, length: int = 2048) -> DataFrame:
