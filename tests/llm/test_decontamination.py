@@ -1,9 +1,12 @@
 """Matches against all windows and items: nothing false, and the target recall."""
 
-import itertools
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from helpers import AWKWARD, SF, documents, with_clashes
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,19 +25,29 @@ def distance(a, b):
     return row[-1]
 
 
+def any_end(words, own):
+    """Fewest edits of the item over all windows, of any length."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(own, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
 def brute(texts, items, percent=20, least=8):
-    """Fewest edits over all windows; windows with too few of the item's words can't be within the limit."""
+    """Fewest edits over all windows; a text without enough of the item's words has none within the limit."""
     out = {}
     for d, text in enumerate(texts):
         words = (text or "").lower().split()
+        held = Counter(words)
         for i, item in items:
             own = (item or "").lower().split()
-            if len(own) < least:
-                continue
             k = len(own) * percent // 100
-            known = [0, *itertools.accumulate(w in set_ for set_ in [set(own)] for w in words)]
-            begins = [s for s in range(len(words)) if known[min(s + len(own), len(words))] - known[s] >= len(own) - k]
-            near = min((distance(words[s : s + len(own)], own) for s in begins), default=99)
+            if len(own) < least or sum((Counter(own) & held).values()) < len(own) - k:
+                continue
+            near = any_end(words, own)
             if near <= k:
                 out[d, i] = near
     return out
@@ -98,25 +111,6 @@ def test_empty_tables(spark):
     assert dc.clean(documents(spark, ["a"]), spark.createDataFrame([], ITEMS)).count() == 1
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 6))
-def test_bounded_distance(a, b, most):
-    x, y = (np.array(v, np.uint64) for v in (a, b))
-    want = distance(a, b)
-    assert dc.word_edits(x, y, most) == min(want, most + 1)
-
-
-def any_end(words, own):
-    """Fewest edits of the item over all windows, of any length."""
-    row = [0] * (len(words) + 1)
-    for i, x in enumerate(own, 1):
-        new = [i]
-        for j, y in enumerate(words, 1):
-            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
-
-
 def test_words_put_in_or_left_out_cost_one_edit_each(spark):
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
@@ -139,7 +133,66 @@ def test_words_put_in_or_left_out_cost_one_edit_each(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 6))
-def test_bounded_distance_to_any_end(a, b, most):
-    x, y = (np.array(v, np.uint64) for v in (a, b))
-    assert dc.least_edits(x, y, most) == min(most + 1, *[distance(a[:n], b) for n in range(len(a) + 1)])
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), min_size=1, max_size=14))
+def test_closest_window(text, item):
+    mask = {w: sum(1 << n for n, x in enumerate(item) if x == w) for w in set(item)}
+    edits, end = dc.closest_end(text, mask, len(item))
+    each = {(a, b): distance(text[a:b], item) for a in range(len(text) + 1) for b in range(a, len(text) + 1)}
+    assert edits == min(each.values()) == any_end(text, item)
+    begin = dc.window_begin(text[:end], item, edits)
+    assert each[begin, end] == edits and end == min([b for (a, b), e in each.items() if e == edits] if edits < len(item) else [0])
+
+
+def words_of(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def search(items, texts):
+    index = dc.Index(list(range(len(items))), [" ".join(x) for x in items], dc.Rules())
+    return index.search(*dc.word_hashes(pa.array([" ".join(t) for t in texts])))
+
+
+@pytest.mark.parametrize("size", [8, 16, 30, 33, 59, 100, 200, 400])
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_recall_at_the_edit_limit(size, kind):
+    """Every kind of edit on its own, as many as are allowed."""
+    r, g = random.Random(size * 3 + kind), np.random.Generator(np.random.PCG64(size * 3 + kind))
+    items = [words_of(r, size) for _ in range(60)]
+    texts = []
+    for item in items:
+        k, own = size // 5, list(item)
+        spots = sorted(g.choice(size, k, replace=False).tolist(), reverse=True)
+        for at in spots:
+            if kind == 2:
+                del own[at]
+            else:
+                own[at : at + (kind == 0)] = words_of(r, 1)
+        texts.append([*words_of(r, 15), *own, *words_of(r, 15)])
+    found = search(items, texts)
+    assert set(found) <= {(i, i) for i in range(60)} and all(e == any_end(texts[d], items[i]) for (d, i), (e, _) in list(found.items())[:10])
+    assert len(found) >= 0.95 * 60, len(found)
+
+
+def test_many_items_with_one_opening():
+    """Items that begin alike cost no more than their candidates' words."""
+    r = random.Random(5)
+    opening = ["which", "of", "the", "following"]
+    items = [opening + words_of(r, 20) for _ in range(4000)]
+    text = [w for _ in range(100) for w in opening + words_of(r, 5)] + items[7]
+    search(items[:3], [text[:50]])
+    index = dc.Index(list(range(len(items))), [" ".join(x) for x in items], dc.Rules())
+    hashes = dc.word_hashes(pa.array([" ".join(text)]))
+    began = time.process_time()
+    found = index.search(*hashes)
+    assert found == {(0, 7): (0, len(text) - 24)} and time.process_time() - began < 15
+
+
+def test_clean_over_several_blocks_with_clashing_names(spark):
+    r = random.Random(8)
+    items = [words_of(r, 20) for _ in range(6)]
+    texts = [" ".join(words_of(r, 5) + x) for x in items] + [" ".join(words_of(r, 30)) for _ in range(4)] + [None, ""]
+    docs = with_clashes(documents(spark, texts)).selectExpr("*", "1 as _own0", "2 as _OWN1", "3 as _k2")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEMS)
+    for size in (200, 1 << 20):
+        kept = dc.clean(docs, table, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == list(range(6, 12))
