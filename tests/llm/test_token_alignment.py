@@ -92,9 +92,9 @@ def test_pairs_outside_the_head_are_joined(spark, sources, peers):
     texts = SHORT * 2
     from pyspark.sql import functions as F
 
-    rows = token_alignment.alignment(documents(spark, texts), sources, head_pairs=5)
-    rows = rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
-    assert got(rows.collect()) == brute(texts, peers)
+    rows = token_alignment.alignment(documents(spark, texts), sources, head_pairs=5, groups=True)
+    shown = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    assert got(rows.withColumn("n_groups", F.col("n_links")).collect()) == brute(texts, peers) and rows.where(shown != F.col("groups_sha256")).isEmpty()
 
 
 def test_whole_table_query(spark, peers):
@@ -124,7 +124,19 @@ def test_a_vocabulary_whose_pieces_span_blanks_is_not_cut(spark, sources, peers)
     texts = ["plain words here", "é𝔘 ☃ x", "  two  blanks "]
     cut = aligner.texts(texts)
     assert aligner.cuts
-    aligner.cuts, aligner.known = False, {}
+    aligner.forget(0)
+    aligner.cuts = False
     whole = aligner.texts(texts)
-    join = lambda found: (sum(s[0] for s in found), ";".join(s[3] for s in found), b"".join(s[4] for s in found))
-    assert [join(x) for x in cut] == [join(x) for x in whole]
+    assert (cut[0] == whole[0]).all() and cut[1:] == whole[1:]
+
+
+def test_a_small_cache_changes_nothing(sources, monkeypatch):
+    aligner = token_alignment.Aligner(*(s.value for s in sources))
+    texts = [t for t in SHORT if t] * 2
+    want = aligner.texts(texts)
+    monkeypatch.setattr(token_alignment, "CACHED", 6)
+    monkeypatch.setattr(token_alignment, "LEARNED_AT_ONCE", 3)
+    aligner.forget(0)
+    parts = [aligner.texts(texts[n : n + 4]) for n in range(0, len(texts), 4)]
+    assert len(aligner.slot) <= 6 and len(aligner.slot) == len(aligner.groups) == len(aligner.numbers[0])
+    assert [g for p in parts for g in p[1]] == want[1] and [x for p in parts for x in p[2]] == want[2]
