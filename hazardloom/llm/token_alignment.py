@@ -25,7 +25,8 @@ import gc
 import hashlib
 import os
 from array import array
-from itertools import chain
+from bisect import bisect_right
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 from hazardloom.llm.byte_bpe import CUT, bytes_by_id, evenly_spaced
 from hazardloom.llm.common import load, mapped, slices, staged, text_bytes, texts_of, worker_state
 
-CACHED = 300_000
+CACHED = 450_000
 CACHED_LENGTH = 48
 LEARNED_AT_ONCE = 4_000
 HEAD_PAIRS = 1 << 20
 FLUSH = 4 << 20
+MARKS = ",."
 BLANK = "▁"  # fixed value: stands for a space in the pieces
 
 
@@ -73,6 +75,12 @@ class Aligner:
         self.shown = [[np.array([f"{i}{mark}" for i in range(len(table))], object) for mark in marks] for table, marks in zip(self.bytes, (",|", ",;"), strict=True)]
         #: Whether pieces have blanks at their beginning only, which makes the cuts right for B as well.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        #: The alignment of a mark that follows letters: neither tokenizer joins it to them, so its group stands on its own.
+        self.marks: dict[str, tuple[str, bytes]] = {}
+        for mark in MARKS:
+            a, b = self.a.token_to_id(mark), self.b.piece_to_id(mark)
+            if a is not None and self.b.id_to_piece(b) == mark and not any(x.isalpha() and y == mark for p in pieces for x, y in pairwise(p)):
+                self.marks[mark] = f"{a}|{b};", np.array([a, b], self.kind).tobytes()
         self.forget(0)
 
     def forget(self, kept: int) -> None:
@@ -143,6 +151,27 @@ class Aligner:
             store.extend(values.tolist())
         self.slot |= {k: n for n, k in enumerate(keys, len(self.slot))}
 
+    def learn_all(self, keys: set[str]) -> int:
+        """Aligns what is not known yet; stretches too long to keep come last, and their number is returned. Letters with a mark
+        after them take the alignment of the letters."""
+        marked = [k for k in keys if k[-1:] in self.marks and k[:-1].isalpha() and len(k) <= CACHED_LENGTH]
+        plain = keys.difference(marked)
+        plain.update(k for k in [k[:-1] for k in marked] if k not in self.slot)
+        fresh = sorted(plain, key=len)
+        short = bisect_right(fresh, CACHED_LENGTH, key=len)
+        for n in range(0, short, LEARNED_AT_ONCE):
+            self.learn(fresh[n : min(short, n + LEARNED_AT_ONCE)])
+        for k in marked:
+            n, (group, link) = self.slot[k[:-1]], self.marks[k[-1]]
+            self.groups.append(self.groups[n] + group)
+            self.links.append(self.links[n] + link)
+            for store in self.numbers:
+                store.append(store[n] + (self.numbers[0][n] >= 0))
+            self.slot[k] = len(self.slot)
+        for n in range(short, len(fresh), LEARNED_AT_ONCE):
+            self.learn(fresh[n : n + LEARNED_AT_ONCE])
+        return len(fresh) - short
+
     def stretches(self, text: str) -> list[str]:
         if not text:
             return []
@@ -156,9 +185,7 @@ class Aligner:
         gc.disable()  # many small objects are made here, none in cycles
         try:
             cut = [self.stretches(t) for t in texts]
-            fresh = sorted({k for keys in cut for k in keys if k not in self.slot}, key=len)  # those too long to keep come last
-            for n in range(0, len(fresh), LEARNED_AT_ONCE):
-                self.learn(fresh[n : n + LEARNED_AT_ONCE])
+            long = self.learn_all(set().union(*cut).difference(self.slot))
             slot, groups, links = self.slot, self.groups, self.links
             places = [[slot[k] for k in keys] for keys in cut]
             flat = np.fromiter(chain.from_iterable(places), np.int64)
@@ -167,7 +194,6 @@ class Aligner:
             bad = sums_by(sizes, (each[0] < 0).astype(np.int64)) > 0
             numbers = np.stack([np.where(bad, 0, sums_by(sizes, x.astype(np.int64))) for x in each], axis=1)
             out = [("", b"") if b else ("".join([groups[i] for i in p])[:-1], b"".join([links[i] for i in p])) for p, b in zip(places, bad.tolist(), strict=True)]
-            long = sum(len(k) > CACHED_LENGTH for k in fresh)
             if long or len(slot) > CACHED:
                 self.forget(CACHED // 2 if len(slot) - long > CACHED else len(slot) - long)
         finally:

@@ -9,7 +9,7 @@ from helpers import AWKWARD, SF, documents, with_clashes
 from hazardloom.llm import token_alignment
 
 P = pytest.importorskip("public_tokenizers")
-TEXTS = [*AWKWARD, "a<|endoftext|>b", " lead", "trail ", "a \n b", "x\x0b y", "z\xa0 w", "don't  we'll", "é 　中文字 ½²", "tab\tbed \r\n", "in▁side and out", "<0x41> <s> </s>", "𝔘☃é中 𝔘𝔘 ☃☃", "a\x00b", "the cat the cat sat", "́combining é ﬁ ligature"]
+TEXTS = [*AWKWARD, "a<|endoftext|>b", " lead", "trail ", "a \n b", "x\x0b y", "z\xa0 w", "don't  we'll", "é 　中文字 ½²", "tab\tbed \r\n", "in▁side and out", "<0x41> <s> </s>", "𝔘☃é中 𝔘𝔘 ☃☃", "a\x00b", "the cat the cat sat, the mat. sat,, mat.. é. 中, ², 5. a.b. ﬁ, ", "́combining é ﬁ ligature"]
 
 
 @pytest.fixture(scope="module")
