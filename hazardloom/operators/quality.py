@@ -110,5 +110,14 @@ def request_violations(df: DataFrame) -> DataFrame:
         ("error", "unknown_decision", ~F.coalesce(F.col("decision").isin("CONFIRMED", "REJECTED", "NEEDS_MORE_INFO"), F.lit(False))),
         ("error", "reviewer_length", (size("reviewer") < 1) | (size("reviewer") > 120)),
         ("error", "note_length", size("note") > 4000),
+        ("error", "id_length", ~size("report_id").between(1, 200)),
     ]
     return violations(df, rules)
+
+
+BATCH_LIMIT = 500
+
+
+def batch_violations(df: DataFrame, batch: str, limit: int = BATCH_LIMIT) -> DataFrame:
+    """(batch, records, rule) of the request batches that hold more records than a request may; a batch without rows can't arrive."""
+    return df.groupBy(F.col(batch).alias("batch")).agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > limit).withColumn("rule", F.lit("batch_size"))

@@ -292,6 +292,11 @@ def request_violations(spark, sf):
     return quality.request_violations(rows.withColumn("reviewer", F.repeat("reviewer", 16)))
 
 
+def batch_violations(spark, sf):
+    """The review log as one upload for each decision."""
+    return quality.batch_violations(tb.reviews(spark, sf), "decision")
+
+
 def unused_pool(spark, sf):
     used = tb.adjudications(spark, sf)
     return tb.reports(spark, sf).join(used, "report_id", "left_anti").select("report_id")
@@ -389,6 +394,7 @@ QUERIES = {
     "integrity_violations": integrity_violations,
     "split_input_violations": split_input_violations,
     "request_violations": request_violations,
+    "batch_violations": batch_violations,
     "unused_pool": unused_pool,
     "split_members": split_members,
     "repair_group_ids": repair_group_ids,

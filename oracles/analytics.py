@@ -158,7 +158,9 @@ def oracles() -> dict[str, str]:
         + rule_union([("error", "score_range", "p > 1 OR p < 0")], "j") + _duplicates("j"),
         "split_input_violations": with_(REPORTS, ANNOTATIONS) + rule_union([("error", "missing_group", "label IS NULL"), ("error", "invalid_label", "upper(sif_potential) NOT IN ('YES', 'NO')")], "annotations"),
         "request_violations": with_(REPORTS, REVIEWS, "j AS (SELECT r.report_id, description, repeat(v.reviewer, 16) AS reviewer, note, decision FROM reports r JOIN reviews v ON v.report_id = r.report_id)")
-        + rule_union([("error", "text_length", "length(description) > 20000"), ("error", "reviewer_length", "length(reviewer) > 120"), ("error", "note_length", "length(note) > 4000")], "j"),
+        + rule_union([("error", "text_length", "length(coalesce(description, '')) NOT BETWEEN 1 AND 20000"), ("error", "unknown_decision", "decision IS NULL OR decision NOT IN ('CONFIRMED', 'REJECTED', 'NEEDS_MORE_INFO')"),
+            ("error", "reviewer_length", "length(coalesce(reviewer, '')) NOT BETWEEN 1 AND 120"), ("error", "note_length", "length(note) > 4000"), ("error", "id_length", "length(report_id) NOT BETWEEN 1 AND 200")], "j"),
+        "batch_violations": with_(REVIEWS) + "SELECT decision AS batch, count(*)::bigint AS records, 'batch_size' AS rule FROM reviews GROUP BY 1 HAVING count(*) > 500",
         "unused_pool": with_(REPORTS, ADJUDICATIONS) + "SELECT report_id FROM reports EXCEPT SELECT report_id FROM adjudications",
         "split_members": with_(REPORTS, ADJUDICATIONS) + "SELECT report_id, site FROM reports WHERE report_id IN (SELECT report_id FROM adjudications WHERE adjudication_status = 'completed')",
         "repair_group_ids": with_(REPORTS, ANNOTATIONS, ADJUDICATIONS) + "SELECT a.report_id, n.duplicate_group_id, n.report_id IS NULL AS missing FROM adjudications a LEFT JOIN annotations n USING (report_id)",
