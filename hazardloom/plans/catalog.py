@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["evidence_queries", "extraction_queries", "analytics_queries", "evaluation_queries", "model_queries", "ontology_queries"]
+MODULES = ["evidence_queries", "extraction_queries", "analytics_queries", "evaluation_queries", "model_queries", "training_queries", "ontology_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -268,7 +268,9 @@ def score_consistency(spark, sf):
     return ev.score_consistency(rows.select("report_id", F.col("p").alias("a")), rows.select("report_id", F.col("p2").alias("b")))
 
 
-NUMERIC = ["max_height_m", "max_voltage_v", "narrative_words"]
+#: All narrative features, and those that may be null.
+NUMERIC = spans.precursor_feature_names()
+NULLABLE = ["max_height_m", "max_voltage_v"]
 
 
 def _numeric(spark, sf):
@@ -288,7 +290,7 @@ def train_all_missing(spark, sf):
 def impute_with_indicator(spark, sf):
     from hazardloom.operators.modelling import impute_with_indicator as impute
 
-    return impute(_numeric(spark, sf), NUMERIC[:2])
+    return impute(_numeric(spark, sf).select("report_id", *NULLABLE, "narrative_words"), NULLABLE)
 
 
 def standardize(spark, sf):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from hazardloom.functions import matching as m
 from hazardloom.functions import text as tx
 from hazardloom.functions.ordered import with_row_number
-from hazardloom.operators import audit, evaluation, extraction, modelling, structured, tagging, triage
+from hazardloom.operators import audit, evaluation, extraction, modelling, structured, tagging, training, triage
 from hazardloom.operators import rules
+from hazardloom.plans import evaluation_queries
 from hazardloom.plans import tables as tb
+from hazardloom.plans import training_queries as tq
 from hazardloom.session import shared_path
 from hazardloom.streaming import streams
 
@@ -166,11 +168,6 @@ def _train(df):
     return df.where(F.col("label").isNotNull()).withColumn("truth", (F.col("label") == "YES").cast("double"))
 
 
-def logreg_scores(spark, sf):
-    rows = _assembled(spark, sf).select("report_id", "label", "features").persist()
-    return modelling.score(modelling.logistic(_train(rows), "truth", 0.1), rows).select("report_id", F.round("score", 6).alias("score"))
-
-
 def hybrid_scores(spark, sf):
     """Hashed word counts beside the embedding, L1-regularised."""
     from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -211,17 +208,13 @@ C_GRID = [0.1, 0.25, 0.5, 1.0]
 
 
 def c_grid_scores(spark, sf):
-    """Validation rows scored by the model of each C, fitted on the training split; stored once for the metrics."""
-    from hazardloom.plans.evaluation_queries import group_safe_split
-
-    split = group_safe_split(spark, sf).select("report_id", F.col("truth").cast("double").alias("truth"), "split")
-    path = shared_path(spark, "split-features")
-    _assembled(spark, sf).select("report_id", "features").join(split, "report_id").write.parquet(path)
-    rows = spark.read.parquet(path)
-    train, held = (rows.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
-    scores = shared_path(spark, "grid-scores")
-    modelling.grid_scores(train, held, "truth", C_GRID).select("c", "report_id", F.col("truth").cast("int").alias("truth"), F.round("score", 9).alias("score")).write.parquet(scores)
-    return spark.read.parquet(scores)
+    """Validation rows scored by the model of each C, fitted on the training split; the grid is one job. Stored once for the metrics."""
+    rows = tq.model_rows(spark, sf).drop("truth").join(evaluation_queries.group_safe_split(spark, sf).select("report_id", "truth", "split"), "report_id")
+    side = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1)
+    rows = training.stored(rows.where(side.isNotNull()).withColumn("folds", F.array(side)), "split-features")
+    layout = training.layout_of(rows, tq.FEATURES, tq.VECTOR)
+    scores = training.cross_validated(rows, layout, [training.Spec("grid", 0, 1, c) for c in C_GRID], 2)
+    return training.stored(scores.select("c", "report_id", F.col("truth").cast("int").alias("truth"), F.round("score", 9).alias("score")), "grid-scores")
 
 
 def c_grid_coverage(spark, sf):
@@ -237,7 +230,7 @@ def select_best_c(spark, sf):
 
 def batch_inference(spark, sf):
     """Score, tag, prioritise and order every report; one without a vector is scored by its other features."""
-    scored = logreg_scores(spark, sf)
+    scored = tq.logreg_scores(spark, sf)
     tagged = tagging.evidence_v15_tags(tb.reports(spark, sf).drop("p")).join(scored.withColumnRenamed("score", "p"), "report_id")
     out = triage.priority_v12(tagged)
     return out.select("report_id", "p", (F.col("p") >= 0.5).cast("int").alias("prediction_at_0_50"), "review_priority", "model_evidence_conflicts", "hazards", "pathways").orderBy(
@@ -287,7 +280,7 @@ QUERIES = {
     "text_lengths": text_lengths, "max_measure": max_measure, "number_near_cue": number_near_cue,
     "context_snippet": context_snippet, "fabricate_ids": fabricate_ids, "audit_hints": audit_hints,
     "extraction_audit": extraction_audit, "extraction_misses": extraction_misses, "features_v01": features_v01,
-    "attach_embeddings": attach_embeddings, "assembled_features": assembled_features, "logreg_scores": logreg_scores,
+    "attach_embeddings": attach_embeddings, "assembled_features": assembled_features,
     "hybrid_scores": hybrid_scores, "structured_models": structured_models, "top_coefficients": top_coefficients,
     "batch_inference": batch_inference, "c_grid_scores": c_grid_scores, "c_grid_coverage": c_grid_coverage, "select_best_c": select_best_c, "stream_triage": stream_triage, "stream_reviews": stream_reviews,
     "stream_latest_review": stream_latest_review, "stream_decision_counts": stream_decision_counts, "report_ids_large": report_ids_large,

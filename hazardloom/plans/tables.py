@@ -165,22 +165,39 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.priority_v14(tagging.evidence_v15_tags(reports(spark, sf_dir)))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prediction table on storage: tagged, prioritised and mapped to rule candidates once
-    per session and data set, then read by every queue and analytics query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def state_of(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """What tells whether tables have changed: the number of their files, and a sum over paths, sizes and times of change."""
+    out = []
+    for name in names:
+        files = load(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()))
+    return tuple(out)
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build) -> DataFrame:
+    """A table that several queries read, built and written when it is first asked for, and again after its sources change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, state_of(spark, sf_dir, sources))
     if key not in _STORED:
-        path = shared_path(spark, "predictions")
-        full = extraction.with_activities(rules.rule_candidates(predictions(spark, sf_dir)))
-        full = full.drop("raw_text").withColumn("activity", first_non_blank(F.col("activities")))
-        full.write.mode("overwrite").parquet(path)
+        path = shared_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction table on storage: tagged, prioritised and mapped to rule candidates once
+    per session and state of the data, then read by every queue and analytics query."""
+
+    def build() -> DataFrame:
+        full = extraction.with_activities(rules.rule_candidates(predictions(spark, sf_dir)))
+        return full.drop("raw_text").withColumn("activity", first_non_blank(F.col("activities")))
+
+    return stored_once(spark, sf_dir, "predictions", ["documents"], build)
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation batch over all reports; about one field in twenty breaks its rule."""
     key = F.col("doc_id")

@@ -148,7 +148,7 @@ def oracles() -> dict[str, str]:
     base = with_(REPORTS, LABELLED)
     best = lambda grid: with_(REPORTS, LABELLED, grid_ctes(grid)) + """SELECT * FROM gm ORDER BY ("precision" >= 0.5) DESC, f2 DESC, recall DESC, "precision" DESC, threshold LIMIT 1"""
     summ = with_(REPORTS, LABELLED, FOLDED, FSCORES, SUMMARY)
-    numeric = "num AS (SELECT report_id, max_height_m, max_voltage_v, narrative_words::double AS narrative_words FROM ft)"
+    numeric = "num AS (SELECT report_id, " + ", ".join(f"{c}::double AS {c}" for c in ft_names) + " FROM ft)"
     vocab = f"""wd AS (SELECT doc_id, regexp_extract_all(translate(lower(text), {q(tb.ACCENTED.lower())}, {q(tb.PLAIN.lower())}), '\\b\\w\\w+\\b') AS w FROM documents),
 un AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM wd), gr AS (SELECT doc_id, term FROM un UNION ALL SELECT a.doc_id, a.term || ' ' || b.term FROM un a JOIN un b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
 ct AS (SELECT doc_id, term, count(*) AS tf FROM gr GROUP BY 1, 2), vc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM ct GROUP BY 1 HAVING count(*) <= 0.98 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 10000),
@@ -226,9 +226,9 @@ b2 AS (SELECT *, 2 AS ps, row_number() OVER (ORDER BY ranking_score DESC, model_
         "c_grid_coverage": with_(REPORTS, LABELLED, GROUPED, SPLIT) + """SELECT c, count(*)::bigint AS scored, sum(truth)::bigint AS positives, 0::bigint AS without_score
   FROM split, (VALUES (0.1::double), (0.25::double), (0.5::double), (1.0::double)) g(c) WHERE split = 'validation' GROUP BY c""",
         "train_all_missing": with_(REPORTS, LABELLED, GROUPED, SPLIT, features_cte(), numeric, "tr AS (SELECT n.* FROM num n JOIN split s USING (report_id) WHERE split = 'train')")
-        + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count({c})::bigint AS values, count({c}) = 0 AS dropped FROM tr" for c in eq.NUMERIC) + " UNION ALL SELECT 'always_missing', 0, true",
+        + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count({c})::bigint AS values, count({c}) = 0 AS dropped FROM tr" for c in ft_names) + " UNION ALL SELECT 'always_missing', 0, true",
         "impute_with_indicator": with_(REPORTS, features_cte(), numeric) + "SELECT report_id, coalesce(max_height_m, (SELECT median(max_height_m) FROM num)) AS max_height_m, coalesce(max_voltage_v, (SELECT median(max_voltage_v) FROM num)) AS max_voltage_v, narrative_words, (max_height_m IS NULL)::int AS max_height_m_missing, (max_voltage_v IS NULL)::int AS max_voltage_v_missing FROM num",
         "standardize": with_(REPORTS, features_cte(), numeric) + "SELECT report_id, round((narrative_words - avg(narrative_words) OVER ()) / stddev_pop(narrative_words) OVER (), 6) AS narrative_words FROM num",
-        "feature_manifest": with_(REPORTS, features_cte(), numeric) + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count(*)::bigint AS records, (count(*) - count({c}))::bigint AS missing, count(DISTINCT {c})::bigint AS distinct_values, min({c}) AS low, max({c}) AS high, count(DISTINCT {c}) <= 2 AND min({c}) >= 0 AND max({c}) <= 1 AS is_binary FROM num" for c in eq.NUMERIC),
+        "feature_manifest": with_(REPORTS, features_cte(), numeric) + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count(*)::bigint AS records, (count(*) - count({c}))::bigint AS missing, count(DISTINCT {c})::bigint AS distinct_values, min({c}) AS low, max({c}) AS high, count(DISTINCT {c}) <= 2 AND min({c}) >= 0 AND max({c}) <= 1 AS is_binary FROM num" for c in ft_names),
         "tfidf_weights": with_(vocab) + "SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM rw",
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["evidence", "extraction", "analytics", "evaluation", "model", "ontology"]
+MODULES = ["evidence", "extraction", "analytics", "evaluation", "model", "training", "ontology"]
 
 
 def oracle_sql() -> dict[str, str]:
