@@ -4,15 +4,17 @@ Everything works on histograms of scores or on confusion counts, never on thresh
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
-from itertools import accumulate
-from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.functions.ordered import join_groups, with_row_number, with_running_sums
+from hazardloom.session import materialise
 
 
 def f2_score(tp: Column, fp: Column, fn: Column) -> Column:
@@ -199,35 +201,90 @@ def score_consistency(a: DataFrame, b: DataFrame, exact: float = 1e-5, tolerance
     return joined.withColumns({"max_abs_diff": F.round("_max", 9), "status": status}).drop("_max")
 
 
-#: Cumulative Poisson(1) probabilities, as many as differ from one in a draw of 32 bits.
-POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
-DRAWS = 4  # draws of 32 bits in one md5
+#: Arithmetic of the draws: a prime, so that products of two remainders fit a long.
+PRIME = 2**31 - 1
+CELLS = 512  # scores of a block
+SMALL = 200  # mean up to which a count is looked up in its distribution; above, it comes from a normal draw
+_DISTRIBUTIONS: dict[int, np.ndarray] = {}
+
+
+def distribution(n: int) -> np.ndarray:
+    """Cumulative probabilities of a Poisson variable of mean n, as far as they differ from one."""
+    if n not in _DISTRIBUTIONS:
+        last = n + int(12 * math.sqrt(n)) + 20
+        _DISTRIBUTIONS[n] = np.cumsum([math.exp(k * math.log(n) - n - math.lgamma(k + 1)) for k in range(last)])
+    return _DISTRIBUTIONS[n]
+
+
+def replicate_numbers(reps: int) -> np.ndarray:
+    """Four numbers for each replicate."""
+    digests = [hashlib.md5(str(r).encode()).hexdigest() for r in range(1, reps + 1)]
+    return np.array([[int(d[8 * k : 8 * k + 8], 16) % PRIME for k in range(4)] for d in digests], np.int64)
+
+
+def uniforms(seeds: np.ndarray, numbers: np.ndarray, pair: int) -> np.ndarray:
+    """[cell, replicate]: numbers in (0, 1) that a cell's seed and a replicate's numbers give."""
+    x = (seeds[:, None] * numbers[None, :, 2 * pair] + numbers[None, :, 2 * pair + 1]) % PRIME
+    x = (x * x % PRIME * x + seeds[:, None]) % PRIME
+    return (x + 0.5) / PRIME
+
+
+def poisson_counts(n: np.ndarray, seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """[cell, replicate]: how often the n rows of a cell are drawn, a Poisson count of mean n."""
+    out = np.zeros((len(n), len(numbers)), np.int64)
+    for value in np.unique(n[(n > 0) & (n <= SMALL)]).tolist():
+        own = np.flatnonzero(n == value)
+        out[own] = np.searchsorted(distribution(value), uniforms(seeds[own], numbers, 0), "right")
+    own = np.flatnonzero(n > SMALL)
+    if len(own):
+        z = np.sqrt(-2 * np.log(uniforms(seeds[own], numbers, 0))) * np.cos(2 * np.pi * uniforms(seeds[own], numbers, 1))
+        mean = n[own][:, None]
+        out[own] = np.maximum(0, np.rint(mean + np.sqrt(mean) * z + (z * z - 1) / 6)).astype(np.int64)
+    return out
+
+
+def _drawn(table: pa.Table, reps: int):
+    """Cells of a block by falling score, with the draws of class one and of all rows, a part of the replicates at a time."""
+    order = np.argsort(table.column("i").to_numpy())
+    i, pos, rows, s = (table.column(c).to_numpy()[order] for c in ("i", "pos", "all", "s"))
+    numbers, step = replicate_numbers(reps), max(1, (1 << 21) // max(1, len(i)))
+    for at in range(0, reps, step):
+        part = numbers[at : at + step]
+        ones = poisson_counts(pos, (2 * i + 1) % PRIME, part)
+        yield at, s, ones, ones + poisson_counts(rows - pos, 2 * i % PRIME, part)
 
 
 def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps: int) -> DataFrame:
-    """Percentile intervals. Every row draws its Poisson weights from hashes, each for a block of replicates, so a
-    replicate needs no sampling join and is summed before the shuffle to one row per score."""
-    rows = df.select("report_id", F.col(score).alias("s"), F.col(truth).alias("y")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // DRAWS))))
-    digest = F.md5(F.concat_ws("|", F.col("block").cast("string"), "report_id"))
-    rows = rows.select("s", "y", "block", digest.alias("digest"))
-    part = lambda i: F.struct((F.col("block") * DRAWS + i + 1).alias("rep"), F.substring("digest", 8 * i + 1, 8).alias("hex"))
-    rows = rows.select("s", "y", F.inline(F.array(*[part(i) for i in range(DRAWS)]))).where(F.col("rep") <= reps)
-    rows = rows.select("rep", "s", "y", (F.conv("hex", 16, 10).cast("bigint") / F.lit(4294967296.0)).alias("draw"))
-    weight = reduce(add, [(F.col("draw") >= c).cast("bigint") for c in POISSON])
-    weighted = rows.withColumn("w", weight).groupBy("rep", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum("w").alias("all"))
-    running = with_running_sums(weighted, [F.col("rep"), F.desc("s")], {"cum_pos": "pos", "cum_all": "all"})
-    totals = weighted.groupBy("rep").agg(F.sum("pos").alias("P"), F.sum("all").alias("N"))
-    starts = Window.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)  # one row per replicate
-    before = totals.select("rep", "P", "N", *[F.coalesce(F.sum(c).over(starts), F.lit(0)).alias("b" + c) for c in ("P", "N")])
-    inside = running.join(F.broadcast(before), "rep").withColumns({"tp_": F.col("cum_pos") - F.col("bP"), "n_": F.col("cum_all") - F.col("bN")})
-    hit = F.col("s") >= threshold
-    counts = inside.groupBy("rep").agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit, F.col("all") - F.col("pos")).otherwise(0)).alias("fp"),
-        F.max("P").alias("P"),
-        F.max("N").alias("N"),
-        F.sum(F.when(F.col("n_") > 0, F.col("pos") * (F.col("tp_") / F.col("n_"))).otherwise(0.0)).alias("gain"),
-    )
+    """Percentile intervals. The Poisson weights of equal rows add up to a Poisson count, so a replicate draws one number for each score
+    and class, however many rows there are. Scores are numbered from the highest down and cut into blocks; a block draws all its
+    replicates twice, first for its sums, then, with the sums of the blocks before it, for its part of the average precision."""
+    cells = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("all"))
+    ranked = with_row_number(cells, [F.desc("s")], "i")
+    cells = materialise(ranked.select("i", "s", "pos", "all", ((F.col("i") - 1) / CELLS).cast("long").alias("block")))
+
+    def sums(table: pa.Table) -> pa.Table:
+        parts, block = [], table.column("block")[0].as_py()
+        for at, s, ones, rows in _drawn(table, reps):
+            hit = s >= threshold
+            parts.append([np.arange(at + 1, at + 1 + ones.shape[1]), ones.sum(0), rows.sum(0), ones[hit].sum(0), (rows - ones)[hit].sum(0)])
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)]
+        return pa.table([np.full(reps, block, np.int64), *columns], names=["block", "rep", "pos", "all", "tp", "fp"])
+
+    def gains(table: pa.Table, before: pa.Table) -> pa.Table:
+        order = np.argsort(before.column("rep").to_numpy())
+        ahead = [before.column(c).to_numpy()[order] for c in ("before_pos", "before_all")]
+        gain = np.zeros(reps)
+        for at, _, ones, rows in _drawn(table, reps):
+            part = slice(at, at + ones.shape[1])
+            up, down = np.cumsum(ones, axis=0) + ahead[0][part], np.cumsum(rows, axis=0) + ahead[1][part]
+            gain[part] = (ones * (up / np.maximum(down, 1))).sum(0)
+        return pa.table([np.arange(1, reps + 1), gain], names=["rep", "gain"])
+
+    each = materialise(cells.groupBy("block").applyInArrow(sums, "block long, rep long, pos long, all long, tp long, fp long"))
+    ahead = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("block", "rep", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"before_{c}") for c in ("pos", "all")])
+    gained = cells.groupBy("block").cogroup(before.groupBy("block")).applyInArrow(gains, "rep long, gain double").groupBy("rep").agg(F.sum("gain").alias("gain"))
+    counts = each.groupBy("rep").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("pos").alias("P"), F.sum("all").alias("N")).join(gained, "rep")
     counts = counts.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("P") - F.col("fp")})
     both = (F.col("P") > 0) & (F.col("P") < F.col("N"))
     rated = with_metrics(counts).withColumn("pr_auc", F.when(both, F.round(F.col("gain") / F.col("P"), 9)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
-
 from hazardloom.banks import audits, precursors
 from hazardloom.functions.text import LEVELS
 from hazardloom.operators import evaluation as ev
@@ -94,7 +92,8 @@ ft AS MATERIALIZED (SELECT *, (coalesce(max_height_m, 0) >= 2)::int AS significa
 LABELLED = "labelled AS (SELECT *, (label = 'YES')::int AS truth FROM reports WHERE label IS NOT NULL)"
 
 
-CUMULATIVE = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]
+# Fixed value: the prime of the bootstrap's arithmetic.
+PRIME = 2147483647
 
 
 def hn(*parts: str) -> str:
@@ -161,7 +160,15 @@ gp AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY rd > 1, df, cf, "
 c1 AS (SELECT *, row_number() OVER (PARTITION BY stratum, department ORDER BY department, risk, chars, report_id) = 1 AS a FROM c0),
 c2 AS (SELECT *, NOT a AND row_number() OVER (PARTITION BY stratum, risk, a ORDER BY department, risk, chars, report_id) = 1 AS b FROM c1),
 c3 AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN a THEN 1 WHEN b THEN 2 ELSE 3 END, department, risk, chars, report_id) AS rn FROM c2)"""
-    boot = f"""bt AS (SELECT rep, p, truth, list_sum(list_transform({qlist(CUMULATIVE)}, lambda c: (c <= u)::int)) AS w FROM (SELECT rep, p, truth, ('0x' || substr(md5(concat_ws('|', (rep - 1) // 4, report_id)), ((rep - 1) % 4) * 8 + 1, 8))::bigint / 4294967296.0::double AS u FROM labelled, range(1, 5001) r(rep))),
+    number = lambda k: f"('0x' || substr(md5(r::varchar), {8 * k + 1}, 8))::bigint % {PRIME}"
+    boot = f"""sc AS (SELECT p, sum(truth)::bigint AS pos, count(*) AS al, row_number() OVER (ORDER BY p DESC) AS i FROM labelled GROUP BY p),
+cl AS (SELECT p, i, 1 AS y, pos AS n, (2 * i + 1) % {PRIME} AS seed FROM sc UNION ALL SELECT p, i, 0, al - pos, 2 * i % {PRIME} FROM sc),
+pk AS (SELECT n, k, exp(k * ln(n::double) - n - lgamma(k + 1)) AS q FROM (SELECT n, unnest(range(0, n + (12 * sqrt(n))::bigint + 20)) AS k FROM (SELECT DISTINCT n FROM cl WHERE n > 0))),
+ds AS MATERIALIZED (SELECT n, list(c ORDER BY k) AS cdf FROM (SELECT n, k, sum(q) OVER (PARTITION BY n ORDER BY k) AS c FROM pk) GROUP BY n),
+rn AS (SELECT r AS rep, {number(0)} AS a, {number(1)} AS b FROM range(1, 5001) x(r)),
+x1 AS (SELECT rep, p, y, n, seed, (seed * a + b) % {PRIME} AS x FROM cl, rn WHERE n > 0),
+x2 AS (SELECT rep, p, y, n, ((x * x % {PRIME}) * x + seed) % {PRIME} AS x FROM x1),
+bt AS (SELECT rep, p, y AS truth, len(list_filter(cdf, lambda c: c <= (x + 0.5::double) / {PRIME})) AS w FROM x2 JOIN ds USING (n)),
 bc AS (SELECT rep, sum(w) FILTER (p >= 0.5 AND truth = 1) AS tp, sum(w) FILTER (p >= 0.5 AND truth = 0) AS fp, sum(w) FILTER (p < 0.5 AND truth = 1) AS fn, sum(w) FILTER (p < 0.5 AND truth = 0) AS tn FROM bt GROUP BY rep),
 bm AS (SELECT rep, {RATES} FROM bc), bh AS (SELECT rep, p, sum(w * truth) AS pos, sum(w) AS al FROM bt GROUP BY 1, 2),
 bw AS (SELECT rep, pos, sum(pos) OVER s AS cp, sum(al) OVER s AS ca FROM bh WINDOW s AS (PARTITION BY rep ORDER BY p DESC)),
