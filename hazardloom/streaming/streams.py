@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardloom.operators import preparation, rules, tagging, triage
-from hazardloom.session import materialise
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,31 +43,75 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame
     return spark.read.schema(stream.schema).parquet(path)
 
 
-BUCKETS = 16
+EVENTS = "kind string, number long, folder string"
+COMPACT_AFTER = 8  # deltas
+
+
+class NewestTable:
+    """The newest row per key as a log: batches add files of their own rows, and nothing written is ever changed.
+
+    `events` is a small table with a row for each published file set: a delta of batch `number`, or a base that holds all batches up to
+    `number`. A row appears by the commit of one file, so a reader sees a version before it or after it, never half. What a killed
+    batch has written without an event is not read; when it runs again it writes anew, and a batch with an event is not written
+    twice. Compaction makes a base of the newest base and the deltas after it; it can run beside batches and readers, as it only adds
+    files and an event. Files that no version uses are left to the folder's clean-up."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, order: str):
+        self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, order
+        self.log = f"{self.path}/events"
+        spark.createDataFrame([], EVENTS).write.mode("ignore").parquet(self.log)
+
+    def live(self) -> tuple[str | None, list[str], int]:
+        """Folder of the newest base, those of the deltas after it, and the last batch published."""
+        events = self.spark.read.schema(EVENTS).parquet(self.log)
+        base = events.where("kind = 'base'").agg(F.max(F.struct("number", "folder")).alias("b")).first().b
+        after = base.number if base else -1
+        # of a batch that was published twice one delta is enough: both have the same rows
+        deltas = events.where((F.col("kind") == "delta") & (F.col("number") > after)).groupBy("number").agg(F.min("folder").alias("folder")).collect()
+        return base.folder if base else None, [d.folder for d in deltas], max([after, *[d.number for d in deltas]])
+
+    def publish(self, kind: str, number: int, folder: str) -> None:
+        self.spark.createDataFrame([(kind, number, folder)], EVENTS).coalesce(1).write.mode("append").parquet(self.log)
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """A batch of rows; several of a key are allowed."""
+        if number <= self.live()[2]:
+            return
+        folder = f"{self.path}/delta-{number:09d}-{uuid.uuid4().hex}"
+        batch.write.parquet(folder)
+        self.publish("delta", number, folder)
+
+    def newest(self, rows: DataFrame) -> DataFrame:
+        others = [c for c in self.schema.names if c != self.key]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*others), self.order).alias("x")).select(self.key, *[F.col(f"x.{c}").alias(c) for c in others]).select(*self.schema.names)
+
+    def read(self) -> DataFrame:
+        """The table as of now. A base has one row a key, so without deltas nothing is shuffled."""
+        base, deltas, _ = self.live()
+        folders = [*([base] if base else []), *deltas]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*folders)
+        return self.newest(rows) if deltas else rows
+
+    def compact(self, least: int = 1) -> bool:
+        """Publishes a base of all that is there, if so many deltas have come since the last."""
+        base, deltas, last = self.live()
+        if len(deltas) < least:
+            return False
+        folder = f"{self.path}/base-{last:09d}-{uuid.uuid4().hex}"
+        self.newest(self.spark.read.schema(self.schema).parquet(*([base] if base else []), *deltas)).write.parquet(folder)
+        self.publish("base", last, folder)
+        return True
 
 
 def upsert_available(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> DataFrame:
-    """Keep the newest row per key: each batch rewrites only the buckets that its keys fall in.
-
-    A batch that runs twice changes nothing, as the newest row stays the newest. The buckets are
-    the files' partitions; a bucket holds a hash range of keys, so none is hot."""
-    spark = stream.sparkSession
-    columns = stream.columns
-    schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType())])
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
-    stored = lambda: spark.read.schema(schema).parquet(path)
-
-    def write(batch: DataFrame, number: int) -> None:
-        arrived = batch.withColumn("bucket", F.pmod(F.hash(key), F.lit(BUCKETS)))
-        touched = arrived.select("bucket").distinct()
-        old = stored().join(F.broadcast(touched), "bucket", "left_semi").select(*columns, "bucket")
-        newest = arrived.unionByName(old).groupBy("bucket", key).agg(*[F.max_by(c, order).alias(c) for c in columns if c != key])
-        # stored first: the write replaces files that the read side comes from
-        materialise(newest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    """Keep the newest row per key of what has arrived: a batch writes its own rows only. Deltas are merged after the batches."""
+    table = NewestTable(stream.sparkSession, path, stream.schema, key, order)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(table.add).start()
     query.awaitTermination()
-    return stored().drop("bucket")
+    table.compact(COMPACT_AFTER)
+    return table.read()
 
 
 def decision_counts(latest: DataFrame) -> DataFrame:

@@ -27,6 +27,68 @@ def test_folder_of_part_files_and_two_arrivals(spark, tmp_path):
     assert {r.decision: r.reports for r in streams.decision_counts(after).collect()} == {"REJECTED": 2, "CONFIRMED": 2}
 
 
+def newest(rows):
+    return sorted((r.report_id, r.id, r.decision) for r in rows.collect())
+
+
+def log_table(spark, path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return streams.NewestTable(spark, f"{path}/latest", _parse_datatype_string(ROWS), "report_id", "id")
+
+
+def test_readers_see_the_version_before_or_after_a_batch(spark, tmp_path):
+    made = log_table(spark, tmp_path)
+    frame = lambda rows: spark.createDataFrame(rows, ROWS)
+    assert newest(made.read()) == []
+    made.add(frame([("a", 1, "x"), ("b", 2, "x"), ("a", 3, "y")]), 0)
+    first = [("a", 3, "y"), ("b", 2, "x")]
+    assert newest(made.read()) == first
+    seen, publish = [], made.publish
+    made.publish = lambda *event: (seen.append(newest(made.read())), publish(*event))
+    made.add(frame([("b", 1, "late"), ("c", 9, "z")]), 1)
+    assert seen == [first] and newest(made.read()) == [*first, ("c", 9, "z")]
+    # compaction beside a reader and a batch: the version that a reader has stays readable
+    held = made.read()
+    assert made.compact() and not made.compact()
+    made.publish = publish
+    made.add(frame([("a", 4, "w")]), 2)
+    assert newest(held) == [*first, ("c", 9, "z")]
+    assert newest(made.read()) == [("a", 4, "w"), ("b", 2, "x"), ("c", 9, "z")]
+    assert made.live()[0].rsplit("/", 1)[1].startswith("base-000000001") and len(made.live()[1]) == 1
+
+
+def test_a_batch_that_is_killed_runs_again_once(spark, tmp_path, monkeypatch):
+    table(spark, tmp_path, [("a", 1, "x"), ("b", 2, "x")])
+    assert newest(upsert(spark, tmp_path)) == [("a", 1, "x"), ("b", 2, "x")]
+    table(spark, tmp_path, [("a", 5, "y"), ("c", 6, "y")])
+
+    def killed(self, *event):
+        raise RuntimeError("killed before the event")
+
+    with monkeypatch.context() as m:
+        m.setattr(streams.NewestTable, "publish", killed)
+        with pytest.raises(Exception, match="killed"):
+            upsert(spark, tmp_path)
+    assert newest(log_table(spark, tmp_path).read()) == [("a", 1, "x"), ("b", 2, "x")]
+    after = [("a", 5, "y"), ("b", 2, "x"), ("c", 6, "y")]
+    assert newest(upsert(spark, tmp_path)) == after
+    # a batch whose event is there is not written again
+    made = log_table(spark, tmp_path)
+    number = made.live()[2]
+    made.add(spark.createDataFrame([("a", 99, "twice")], ROWS), number)
+    made.publish("delta", number, made.live()[1][-1])
+    assert newest(made.read()) == after
+
+
+def test_deltas_are_merged_after_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_AFTER", 2)
+    for n in range(3):
+        table(spark, tmp_path, [(k, 10 * n + i, f"d{n}") for i, k in enumerate("abc")])
+        assert newest(upsert(spark, tmp_path)) == [(k, 10 * n + i, f"d{n}") for i, k in enumerate("abc")]
+    assert log_table(spark, tmp_path).live()[0] is not None
+
+
 def test_append_reads_all_part_files_and_empty_input(spark, tmp_path):
     table(spark, tmp_path, [])
     source = lambda: streams.file_stream(spark, str(tmp_path), "log")
