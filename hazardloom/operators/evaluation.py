@@ -154,6 +154,70 @@ def group_safe_split(df: DataFrame, group: str, label: str) -> DataFrame:
     return join_groups(df, assigned, group, "_rows").drop("_rows")
 
 
+#: Shares of the splits, in the order in which ties are decided, and weights of the errors of rows, YES and NO.
+GREEDY_SHARES = (("test", 0.15), ("validation", 0.15), ("train", 0.70))
+GREEDY_WEIGHTS = (0.55, 0.25, 0.20)
+STEPS = 4096  # decisions for the groups of a class at most
+
+
+def greedy_runs(classes: list[tuple[int, int, int, int]], shares=GREEDY_SHARES, weights=GREEDY_WEIGHTS, steps: int = STEPS) -> list[tuple[int, int, int, str]]:
+    """(class, first, end, split) over ranks within classes: each group goes to the split whose weighted relative error it makes
+    least. classes: (rows, yes, no, groups), those of large and one-sided groups first. Of a class of more than `steps` groups
+    so many go at once that the decisions stay within that number."""
+    whole = np.array([[c[k] * c[3] for k in range(3)] for c in classes], float).sum(0) if classes else np.zeros(3)
+    targets = np.array([share * whole for _, share in shares])
+    totals, runs = np.zeros_like(targets), []
+    for i, (*size, groups) in enumerate(classes):
+        chunk, at = -(-groups // steps), 0
+        while at < groups:
+            n = min(chunk, groups - at)
+            errors = (np.abs(totals + n * np.array(size) - targets) / np.maximum(targets, 1.0)) @ np.array(weights)
+            best = int(np.argmin(errors))
+            totals[best] += n * np.array(size)
+            if runs and runs[-1][0] == i and runs[-1][3] == shares[best][0]:
+                runs[-1] = (i, runs[-1][1], at + n, shares[best][0])
+            else:
+                runs.append((i, at, at + n, shares[best][0]))
+            at += n
+    # an empty split takes the last group of the fullest one
+    for name, _ in shares[::-1]:
+        held = {s: sum((b - a) * classes[c][0] for c, a, b, t in runs if t == s) for s, _ in shares[::-1]}
+        if runs and not held[name]:
+            donor = max(held, key=held.get)
+            k = max(n for n, r in enumerate(runs) if r[3] == donor)
+            c, a, b, _ = runs[k]
+            runs[k : k + 1] = [(c, a, b - 1, donor)] * (b - a > 1) + [(c, b - 1, b, name)]
+    return runs
+
+
+def greedy_group_split(df: DataFrame, group: str, label: str) -> DataFrame:
+    """Group-safe split by the greedy rule on rows, YES and NO. It runs over classes of groups with equal counts, as a class's groups are
+    alike to it; their number is that of different counts. Within a class, groups are taken in hash order."""
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(label) == "YES").alias("_yes"), F.count_if(F.col(label) == "NO").alias("_no"))
+    size = ["_rows", "_yes", "_no"]
+    known = groups.groupBy(*size).agg(F.count(F.lit(1)).alias("_groups")).orderBy(F.desc("_rows"), F.desc(F.abs(F.col("_yes") - F.col("_no"))), F.desc("_yes")).collect()
+    classes = [tuple(r) for r in known]
+    before = np.concatenate([[0], np.cumsum([c[3] for c in classes])]).tolist()
+    runs = [(*classes[c][:3], before[c] + a, before[c] + b, s) for c, a, b, s in greedy_runs(classes)]
+    order = [F.desc("_rows"), F.desc(F.abs(F.col("_yes") - F.col("_no"))), F.desc("_yes"), F.col("_h"), F.col(group)]
+    numbered = with_row_number(groups.withColumn("_h", hash_number(F.lit("split"), F.col(group))), order, "_no_")
+    table = df.sparkSession.createDataFrame(runs, "_rows long, _yes long, _no long, _from long, _end long, split string")
+    inside = (F.col("_no_") > F.col("_from")) & (F.col("_no_") <= F.col("_end"))
+    assigned = numbered.join(F.broadcast(table), size).where(inside).select(group, "_rows", "split")  # a few runs for each class
+    return join_groups(df, assigned, group, "_rows").drop("_rows")
+
+
+def pairwise_overlap(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """(a, b, shared) for every two tables: keys that both have. A key's tables are bits of one number, keys are counted by that
+    number, and only those few counts are spread to pairs."""
+    names = list(tables)
+    parts = [df.select(F.col(key).alias("k")).where(F.col(key).isNotNull()).withColumn("bit", F.lit(1 << i).cast("long")) for i, df in enumerate(tables.values())]
+    masks = reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1 << i | 1 << j).cast("long").alias("both")) for j, b in enumerate(names) for i, a in enumerate(names[:j])])
+    spread = masks.select(F.explode(pairs).alias("x"), "mask", "n").select("x.a", "x.b", F.when(F.col("mask").bitwiseAND(F.col("x.both")) == F.col("x.both"), F.col("n")).otherwise(0).alias("n"))
+    return spread.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+
+
 def split_profile(df: DataFrame, group: str, label: str) -> DataFrame:
     """Per split: rows, positives, rate, groups, and an order-free signature of the ids. The ids stay
     rows: their digests are added up, so no list of a whole split is ever built."""

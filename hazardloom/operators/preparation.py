@@ -135,6 +135,30 @@ def not_unique(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def validated_join(left: DataFrame, right: DataFrame, key: str, one_to_one: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Left join of which the relation is checked: the rows, and the keys that break it.
+
+    Rows: each left row once; a key without a right row, or with several, gets nulls. Broken keys (key, left_rows, right_rows,
+    problem): 'right_repeated', 'left_repeated' (only one to one), 'missing'. The right side is cut to a row and a count per key
+    before it is shuffled, and the counts travel beside the rows, so rows and report need one shuffle of either side."""
+    counted, first = free_columns([*left.columns, *right.columns], 2)
+    others = [c for c in right.columns if c != key]
+    single = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(counted), F.first(F.struct(*others)).alias(first))
+    joined = left.join(single, key, "left")
+    rows = joined.select(*left.columns, *[F.when(F.col(counted) == 1, F.col(first)[c]).alias(c) for c in others])
+    seen = joined.groupBy(key).agg(F.count(F.lit(1)).alias("left_rows"), F.coalesce(F.max(counted), F.lit(0)).alias("right_rows"))
+    problem = F.when(F.col("right_rows") == 0, "missing").when(F.col("right_rows") > 1, "right_repeated")
+    if one_to_one:
+        problem = problem.when(F.col("left_rows") > 1, "left_repeated")
+    return rows, seen.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
+def free_columns(taken: list[str], n: int) -> list[str]:
+    """Names that no column has, in whatever case."""
+    known = {c.lower() for c in taken}
+    return [x for x in (f"_made{i}" for i in range(n + len(known))) if x not in known][:n]
+
+
 def with_metadata(predictions: DataFrame, metadata: DataFrame) -> DataFrame:
     """Left join on report_id; a blank activity falls back to the extracted activities."""
     joined = predictions.join(metadata, "report_id", "left")

@@ -313,6 +313,50 @@ def repair_group_ids(spark, sf):
     return rows.withColumn("missing", F.col("duplicate_group_id").isNull())
 
 
+def _planted(rows, key, repeated):
+    """The rows, every `repeated`-th of them twice."""
+    return rows.unionByName(rows.where(F.col(key) % repeated == 0))
+
+
+def _joined(spark, sf, one_to_one):
+    """Scores, some twice, with the metadata of their reports, of which some are missing and some there twice."""
+    rows = tb.reports(spark, sf).select("doc_id", "report_id", "p", "site", "department")
+    left = _planted(rows, "doc_id", 97).select("report_id", "p")
+    return pr.validated_join(left, _planted(rows.where("doc_id % 83 <> 1"), "doc_id", 89).select("report_id", "site", "department"), "report_id", one_to_one)
+
+
+def validated_metadata(spark, sf):
+    return _joined(spark, sf, True)[0]
+
+
+def broken_one_to_one(spark, sf):
+    return _joined(spark, sf, True)[1]
+
+
+def broken_many_to_one(spark, sf):
+    return _joined(spark, sf, False)[1]
+
+
+def table_overlap(spark, sf):
+    """Reports that every two working tables share."""
+    from hazardloom.operators import evaluation
+
+    tables = {"reports": tb.reports(spark, sf), "adjudications": tb.adjudications(spark, sf), "reviews": tb.reviews(spark, sf), "predictions": tb.stored_predictions(spark, sf)}
+    return evaluation.pairwise_overlap(tables, "report_id")
+
+
+def list_values(spark, sf):
+    """Parts of a text between ';' or '||'."""
+    joined = F.concat(F.col("risk"), F.lit(" || ;"), F.col("site"), F.lit(";"), F.col("department"), F.lit("||"))
+    return tb.reports(spark, sf).select("report_id", F.explode(tx.split_list(joined, r";|\|\|")).alias("value"))
+
+
+def lenient_numbers(spark, sf):
+    """Numbers read from text, null where it is none."""
+    text = F.when(F.col("risk") == "Others", F.lit("n/a")).when(F.col("risk") == "Cut", F.lit("")).otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".5")))
+    return tb.reports(spark, sf).select("report_id", tx.lenient_double(text).alias("number"))
+
+
 def join_coverage(spark, sf):
     return pr.join_coverage(tb.reports(spark, sf), tb.reviews(spark, sf), "report_id")
 
@@ -399,6 +443,12 @@ QUERIES = {
     "split_members": split_members,
     "repair_group_ids": repair_group_ids,
     "join_coverage": join_coverage,
+    "validated_metadata": validated_metadata,
+    "broken_one_to_one": broken_one_to_one,
+    "broken_many_to_one": broken_many_to_one,
+    "table_overlap": table_overlap,
+    "list_values": list_values,
+    "lenient_numbers": lenient_numbers,
     "prepare_batch": prepare_batch,
     "canonical_reports": canonical_reports,
 }

@@ -235,15 +235,28 @@ def split_profile(spark, sf):
     return ev.split_profile(group_safe_split(spark, sf), "duplicate_group_id", "label")
 
 
-def split_leakage(spark, sf):
+def _naive(spark, sf):
     """A split by report id alone, which lets equal texts leak."""
     h = ev.hash_number(F.lit("naive"), F.col("report_id")) % 20
-    naive = _grouped(spark, sf).withColumn("split", F.when(h < 14, "train").when(h < 17, "validation").otherwise("test"))
-    return ev.split_leakage(naive, ["report_id", "duplicate_group_id"])
+    return _grouped(spark, sf).withColumn("split", F.when(h < 14, "train").when(h < 17, "validation").otherwise("test"))
+
+
+def split_leakage(spark, sf):
+    return ev.split_leakage(_naive(spark, sf), ["report_id", "duplicate_group_id"])
+
+
+def greedy_group_split(spark, sf):
+    return ev.greedy_group_split(_grouped(spark, sf), "duplicate_group_id", "label")
+
+
+def split_pair_overlap(spark, sf):
+    """Groups that every two splits of the naive split share."""
+    rows = _naive(spark, sf)
+    return ev.pairwise_overlap({s: rows.where(F.col("split") == s) for s in ("train", "validation", "test")}, "duplicate_group_id")
 
 
 def split_overlap(spark, sf):
-    """Groups shared by each pair of splits of the naive split."""
+    """Groups of the naive split by the number of splits that share them."""
     leaking = split_leakage(spark, sf).where("key = 'duplicate_group_id'")
     return leaking.groupBy("splits").agg(F.count(F.lit(1)).alias("groups"))
 
@@ -332,7 +345,7 @@ QUERIES = {
         "threshold_table": threshold_table, "stratified_folds": stratified_folds, "group_folds": group_folds,
         "oof_scores": oof_scores, "fold_summary": fold_summary, "model_deltas": model_deltas, "bootstrap_ci": bootstrap_ci,
         "group_safe_split": group_safe_split, "split_profile": split_profile, "split_leakage": split_leakage,
-        "split_overlap": split_overlap, "unsplit_ids": unsplit_ids, "band_rule_eval": band_rule_eval,
+        "split_overlap": split_overlap, "split_pair_overlap": split_pair_overlap, "greedy_group_split": greedy_group_split, "unsplit_ids": unsplit_ids, "band_rule_eval": band_rule_eval,
         "score_consistency": score_consistency, "train_all_missing": train_all_missing,
         "impute_with_indicator": impute_with_indicator, "standardize": standardize,
         "feature_manifest": feature_manifest, "tfidf_weights": tfidf_weights,

@@ -70,6 +70,13 @@ def annotation_rules(who) -> str:
   UNION ALL SELECT duplicate_group_id, 'error', 'group_label_conflict' FROM done GROUP BY 1 HAVING count(DISTINCT upper(trim(sif_potential))) > 1"""
 
 
+PLANTED = """lf AS (SELECT report_id, p FROM reports UNION ALL SELECT report_id, p FROM reports WHERE doc_id % 97 = 0),
+rg AS (SELECT * FROM reports WHERE doc_id % 83 <> 1 UNION ALL SELECT * FROM reports WHERE doc_id % 83 <> 1 AND doc_id % 89 = 0),
+rc AS (SELECT report_id, count(*) AS n, min(site) AS site, min(department) AS department FROM rg GROUP BY 1)"""
+BROKEN = """bk AS (SELECT report_id, count(*)::bigint AS left_rows, coalesce(max(n), 0)::bigint AS right_rows,
+  CASE WHEN max(n) IS NULL THEN 'missing' WHEN max(n) > 1 THEN 'right_repeated' WHEN count(*) > 1 THEN 'left_repeated' END AS problem FROM lf LEFT JOIN rc USING (report_id) GROUP BY 1)"""
+
+
 def oracles() -> dict[str, str]:
     rank = "CASE review_priority WHEN 'P1' THEN 1 WHEN 'P2' THEN 2 WHEN 'P3' THEN 3 WHEN 'P4' THEN 4 WHEN 'P5' THEN 5 ELSE 9 END"
     priorities = ["P1", "P2", "P3", "P4", "P5"]
@@ -164,6 +171,13 @@ def oracles() -> dict[str, str]:
         "unused_pool": with_(REPORTS, ADJUDICATIONS) + "SELECT report_id FROM reports EXCEPT SELECT report_id FROM adjudications",
         "split_members": with_(REPORTS, ADJUDICATIONS) + "SELECT report_id, site FROM reports WHERE report_id IN (SELECT report_id FROM adjudications WHERE adjudication_status = 'completed')",
         "repair_group_ids": with_(REPORTS, ANNOTATIONS, ADJUDICATIONS) + "SELECT a.report_id, n.duplicate_group_id, n.report_id IS NULL AS missing FROM adjudications a LEFT JOIN annotations n USING (report_id)",
+        "validated_metadata": with_(REPORTS, PLANTED) + "SELECT l.report_id, p, CASE WHEN n = 1 THEN site END AS site, CASE WHEN n = 1 THEN department END AS department FROM lf l LEFT JOIN rc ON rc.report_id = l.report_id",
+        "broken_one_to_one": with_(REPORTS, PLANTED, BROKEN) + "SELECT * FROM bk WHERE problem IS NOT NULL",
+        "broken_many_to_one": with_(REPORTS, PLANTED, BROKEN) + "SELECT * FROM bk WHERE problem <> 'left_repeated'",
+        "table_overlap": with_(REPORTS, ADJUDICATIONS, REVIEWS, "tk AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS t, {i} AS o, report_id FROM {src}" for i, (n, src) in enumerate((("reports", "reports"), ("adjudications", "adjudications"), ("reviews", "reviews"), ("predictions", "reports")))) + ")")
+        + "SELECT x.t AS a, y.t AS b, count(*)::bigint AS shared FROM tk x JOIN tk y ON x.report_id = y.report_id AND x.o < y.o GROUP BY 1, 2",
+        "list_values": with_(REPORTS) + "SELECT report_id, unnest([risk, site, department]) AS value FROM reports",
+        "lenient_numbers": with_(REPORTS) + "SELECT report_id, CASE WHEN risk IN ('Others', 'Cut') THEN NULL ELSE doc_id + 0.5::double END AS number FROM reports",
         "join_coverage": with_(REPORTS, REVIEWS) + """SELECT report_id, 'both' AS origin FROM (SELECT report_id FROM reports INTERSECT SELECT report_id FROM reviews) UNION ALL SELECT report_id, 'left_only' FROM (SELECT report_id FROM reports EXCEPT SELECT report_id FROM reviews)
   UNION ALL SELECT report_id, 'right_only' FROM (SELECT report_id FROM reviews EXCEPT SELECT report_id FROM reports)""",
         "prepare_batch": with_(REPORTS, ADJUDICATIONS) + """SELECT a.report_id, r.site, r.department, 'pending' AS annotation_status, 'active_learning' AS annotation_round, 'v0.2' AS annotation_version, '' AS sif_potential, '' AS sif_reason, '' AS evidence_text,

@@ -142,6 +142,22 @@ def boundary() -> str:
     return with_(REPORTS, ANNOTATIONS, DONE) + f"SELECT report_id, CASE {' '.join(whens)} ELSE 7 END AS rule_order, CASE {' '.join(names)} ELSE 'manual_fill' END AS boundary_selection_rule FROM (SELECT *, {text} AS tx FROM done) ORDER BY 2, 1 LIMIT 10"
 
 
+def greedy_split() -> str:
+    """The greedy rule a group at a time; ties go to test, then validation."""
+    shares = {"test": 0.15, "validation": 0.15, "train": 0.70}
+    error = lambda s: " + ".join(f"{w}::double * (abs({s}_{k} + g.{k} - t_{k} * {share}::double) / greatest(t_{k} * {share}::double, 1.0::double))" for w, k in ((0.55, "n"), (0.25, "yes"), (0.2, "no")) for share in (shares[s],))
+    grown = ", ".join(f"CASE WHEN pick = '{s}' THEN {s}_{k} + {k} ELSE {s}_{k} END AS {s}_{k}" for s in shares for k in ("n", "yes", "no"))
+    state = ", ".join(f"{s}_{k}" for s in shares for k in ("n", "yes", "no"))
+    zero = ", ".join(f"0::bigint AS {s}_{k}" for s in shares for k in ("n", "yes", "no"))
+    return "WITH RECURSIVE " + with_(REPORTS, LABELLED, GROUPED, f"""gg AS (SELECT duplicate_group_id, count(*) AS n, count(*) FILTER (label = 'YES') AS yes, count(*) FILTER (label = 'NO') AS no FROM grouped GROUP BY 1),
+go AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, abs(yes - no) DESC, yes DESC, {hn(q('split'), 'duplicate_group_id')}, duplicate_group_id) AS k FROM gg),
+tt AS (SELECT sum(n)::double AS t_n, sum(yes)::double AS t_yes, sum(no)::double AS t_no FROM gg),
+walk AS (SELECT 0::bigint AS k, NULL::varchar AS duplicate_group_id, NULL::varchar AS pick, {zero}
+  UNION ALL SELECT k, duplicate_group_id, pick, {grown} FROM (
+    SELECT g.k, g.duplicate_group_id, g.n, g.yes, g.no, {state}, CASE WHEN e1 <= e2 AND e1 <= e3 THEN 'test' WHEN e2 <= e3 THEN 'validation' ELSE 'train' END AS pick FROM (
+      SELECT g.*, {", ".join("w." + c for c in state.split(", "))}, {error('test')} AS e1, {error('validation')} AS e2, {error('train')} AS e3 FROM walk w JOIN go g ON g.k = w.k + 1, tt) g))""").removeprefix("WITH ") + "SELECT g.report_id, g.label, g.truth, g.duplicate_group_id, pick AS split FROM grouped g JOIN walk USING (duplicate_group_id)"
+
+
 def oracles() -> dict[str, str]:
     ft_names = sp.precursor_feature_names()
     base = with_(REPORTS, LABELLED)
@@ -226,6 +242,9 @@ b2 AS (SELECT *, 2 AS ps, row_number() OVER (ORDER BY ranking_score DESC, model_
         "split_profile": with_(REPORTS, LABELLED, GROUPED, SPLIT) + f"""SELECT split, count(*)::bigint AS records, count(*) FILTER (label = 'YES')::bigint AS yes, count(DISTINCT duplicate_group_id)::bigint AS groups, min(report_id) AS first_id, max(report_id) AS last_id,
   {r9("count(*) FILTER (label = 'YES') / count(*)::double")} AS yes_rate, sha256(sum(('0x' || substr(sha256(report_id), 1, 12))::bigint)::varchar) AS signature FROM split GROUP BY split""",
         "split_leakage": with_(REPORTS, LABELLED, GROUPED, NAIVE) + "SELECT 'duplicate_group_id' AS key, duplicate_group_id AS value, count(DISTINCT split)::bigint AS splits FROM naive GROUP BY 2 HAVING count(DISTINCT split) > 1",
+        "split_pair_overlap": with_(REPORTS, LABELLED, GROUPED, NAIVE, "ps AS (SELECT DISTINCT duplicate_group_id AS g, split FROM naive)")
+        + """SELECT a, b, (SELECT count(*) FROM ps x JOIN ps y USING (g) WHERE x.split = a AND y.split = b)::bigint AS shared FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) v(a, b)""",
+        "greedy_group_split": greedy_split(),
         "split_overlap": with_(REPORTS, LABELLED, GROUPED, NAIVE) + "SELECT splits, count(*)::bigint AS groups FROM (SELECT count(DISTINCT split)::bigint AS splits FROM naive GROUP BY duplicate_group_id) WHERE splits > 1 GROUP BY 1",
         "unsplit_ids": with_(REPORTS) + "SELECT report_id FROM reports WHERE label IS NULL",
         "band_rule_eval": with_(reasoning_v02_ctes(), LABELLED, GROUPED, SPLIT, "br AS (SELECT truth, split, 'HIGH' AS rule, sif_precursor_band = 'HIGH' AS flag FROM split JOIN reasoned USING (report_id) UNION ALL SELECT truth, split, 'HIGH+MEDIUM', sif_precursor_band <> 'LOW' FROM split JOIN reasoned USING (report_id))") + f"SELECT *, {RATES} FROM (SELECT split, rule, {conf('flag')} FROM br GROUP BY 1, 2)",
