@@ -103,12 +103,12 @@ def bytes_by_id(vocab: dict[str, int]) -> list[bytes]:
 
 
 class Codec:
-    """A tokenizer of the library with a piece cache, and its tokens' bytes by id."""
+    """A tokenizer of the library with a piece cache, and its tokens' bytes by id. What a text holds of the strings of special tokens
+    is read as the library reads it by default: a file in its format names such tokens, ranks name none."""
 
     def __init__(self, tokenizer):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizer
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.token_bytes = bytes_by_id(tokenizer.get_vocab())
         self.token_lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         #: Ids of pieces by what leads them: nothing, or a space.

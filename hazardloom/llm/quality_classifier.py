@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import joined_hashes, load, mapped, slices, span_hashes, staged, text_bytes, text_key, texts_of, word_spans
+from hazardloom.llm.common import free_names, joined_hashes, load, mapped, slices, span_hashes, staged, text_bytes, text_key, texts_of, word_spans
 
 FEATURES = 256
 GAMMA = 0.03
@@ -222,9 +222,10 @@ def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all columns; texts are scored by their fingerprint, once for equal texts."""
     rows = staged(with_statistics(docs, fold_column().alias("fold"), *text_key(F.coalesce(F.col("text"), F.lit("")))), "statistics")
-    bad = score(rows, fit_on(rows, labels)).where("predicted = 0").select("_k1", "_k2").distinct()
-    keys = [k.alias(f"_qc{i}") for i, k in enumerate(text_key(F.coalesce(F.col("text"), F.lit(""))))]
-    return docs.select("*", *keys).join(bad, (F.col("_qc0") == bad["_k1"]) & (F.col("_qc1") == bad["_k2"]), "left_anti").select(*docs.columns)
+    own = free_names(docs, 2)
+    bad = score(rows, fit_on(rows, labels)).where("predicted = 0").select("_k1", "_k2").distinct().toDF(*own)
+    keys = [k.alias(n) for n, k in zip(own, text_key(F.coalesce(F.col("text"), F.lit(""))), strict=True)]
+    return docs.select("*", *keys).join(bad, own, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import load
+from hazardloom.llm.common import load, staged
 
 # The characters between words, and the symbols counted.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -143,9 +143,16 @@ def failing_any(book: DataFrame) -> DataFrame:
 
 
 def op5(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
-    """Per document the measurements, the failure bits, base_failed and the policy's verdict."""
-    base = rejected(BASE)
-    return ledger(docs).withColumn("base_failed", base).withColumn("kept", ~(base | rejected(policy)))
+    """Per document the measurements, the failure bits, base_failed, the policy's verdict and those of all versions, and, where a
+    single rule of the policy rejects the document, its name and how many documents are kept without it. The ledger is stored, so
+    texts are read once for all of this."""
+    book = staged(ledger(docs), "ledger")
+    base, own = rejected(BASE), F.col("failed_bits").bitwiseAND(F.lit(mask(policy)))
+    rows = with_policies(book).withColumn("base_failed", base).withColumn("kept", ~(base | rejected(policy)))
+    names = reduce(lambda x, n: x.when(own == mask(Policy("", (n,))), n), policy.rules, F.when(F.lit(False), ""))
+    freed = ablations(book, policy).select(F.col("rule").alias("only_rule"), F.col("n_only").alias("n_freed"))
+    # as many rows as the policy has rules
+    return rows.withColumn("only_rule", names).join(F.broadcast(freed), "only_rule", "left").select(*rows.columns, "only_rule", "n_freed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,5 +188,10 @@ b AS (
     + CASE WHEN n_exclaims * 10 > 3 * n_words THEN 128 ELSE 0 END
     + CASE WHEN n_words > 0 AND n_letters * 2 < word_chars THEN 256 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed_bits = 0 AS kept FROM b
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed_bits = 0 AS kept,
+  failed_bits & 3 = 0 AS kept_base, failed_bits & 15 = 0 AS kept_v1, failed_bits = 0 AS kept_v2,
+  CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words'
+    WHEN 32 THEN 'long_words' WHEN 64 THEN 'upper_case' WHEN 128 THEN 'exclamations' WHEN 256 THEN 'no_letters' END AS only_rule,
+  CASE WHEN failed_bits IN (1, 2, 4, 8, 16, 32, 64, 128, 256) THEN count(*) OVER (PARTITION BY failed_bits) END AS n_freed
+FROM b
 """

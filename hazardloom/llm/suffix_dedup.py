@@ -254,8 +254,9 @@ def covered(intervals: list[tuple[int, int]], length: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", **how) -> DataFrame:
-    """All rows and columns of docs, and `_sd_kept` (bytes left), `_sd_n_bytes`, `_sd_n_removed`, `_sd_n_spans`, `_sd_kept_sha256`."""
+def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", whole_characters: bool = False, **how) -> DataFrame:
+    """All rows and columns of docs, and `_sd_kept` (bytes left; with `whole_characters` without the bytes of characters that a cut
+    went through), `_sd_n_bytes`, `_sd_n_removed`, `_sd_n_spans`, `_sd_kept_sha256`."""
     found = repeated_windows(docs, length, text=text, **how).distinct()
     lists = found.groupBy(F.col("k1").alias("_sd_k1"), F.col("k2").alias("_sd_k2")).agg(F.collect_list(F.struct("first", "last")).alias("_sd_found"))
     rows = _row_keys(docs, text).join(lists, ["_sd_k1", "_sd_k2"], "left").drop("_sd_k1", "_sd_k2")
@@ -270,24 +271,27 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", **how) ->
                     spans = covered([(x["first"], x["last"]) for x in found or ()], length)
                     edges = [0, *[x for span in spans for x in span], e - a]
                     kept = b"".join(data[a + x : a + y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((kept, e - a, e - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+                    shown = kept.decode("utf-8", "ignore").encode() if whole_characters and spans else kept
+                    out.append((shown, e - a, e - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
                 columns = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_sd_found"]
                 names = [n for n in b.schema.names if n != "_sd_found"]
                 made = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(results.values())]
                 yield pa.RecordBatch.from_arrays([*columns, *made], [*names, *["_sd_" + k for k in results]])
 
     kinds = {"kept": "binary", "kept_sha256": "string"}
-    schema = T.StructType(docs.schema.fields)
+    schema = T.StructType(list(docs.schema.fields))
     for k in results:
         schema = schema.add("_sd_" + k, kinds.get(k, "long"))
     return rows.mapInArrow(cut, schema)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text", **how) -> DataFrame:
-    """docs with the repeated bytes taken out of the text; a null text stays null."""
-    rows = remove(docs, length, text, **how)
-    left = F.when(F.col(text).isNotNull(), F.make_valid_utf8(F.col("_sd_kept").cast("string")))
-    return rows.withColumn(text, left).select(*docs.columns)
+    """docs with the repeated bytes taken out of the text; a null text stays null. Columns may have any names."""
+    names = docs.columns
+    inner = docs.toDF(*[n if n in ("doc_id", text) else f"{text}{i}" for i, n in enumerate(names)])
+    rows = remove(inner, length, text, whole_characters=True, **how)
+    left = F.when(F.col(text).isNotNull(), F.col("_sd_kept").cast("string"))
+    return rows.withColumn(text, left).select(*inner.columns).toDF(*names)
 
 
 def op7(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -9,7 +9,7 @@ documents (file, place, number of ids) is a table of its own.
 A file gets its final name when it is whole, and the name holds the attempt, so a task that runs again
 or twice never damages a file that the index names.
 
-Defined results: a null or empty text is its end id alone; rows with equal ids are ordered by text; a
+Defined results: the string of a special token in a text becomes its id, as the library has it; a null or empty text is its end id alone; rows with equal ids are ordered by text; a
 null doc_id comes first; an empty table gives no file and no rows; the last sequence of a file is
 filled up with the end id under a false mask; other columns are neither read nor returned."""
 

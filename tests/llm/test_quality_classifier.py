@@ -70,6 +70,8 @@ def test_awkward_rows(spark):
     assert {r.score for r in qc.op2(docs, none).collect()} == {0.5}
     kept = qc.filtered(docs, none)
     assert kept.columns == docs.columns and kept.count() == len(AWKWARD)
+    clashing = docs.selectExpr("*", "1 as _qc0", "2 as _own0", "3 as _OWN1")
+    assert qc.filtered(clashing, labels).columns == clashing.columns
     assert qc.op2(documents(spark, []), labels).collect() == []
 
 

@@ -72,3 +72,14 @@ def test_whole_table_query_and_cleaning(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.op7(documents(spark, [])).collect() == []
+
+
+def test_cleaned_texts_have_whole_characters_and_any_column_names(spark):
+    shared = "".join(chr(0x4E00 + i * 7 % 900) for i in range(90))
+    texts = ["é" + shared + "ü", "a" + shared + "z", shared.replace(shared[3], "x", 1) + "ö", None, "", "kept \ufffd as it is"]
+    docs = with_clashes(documents(spark, texts)).selectExpr("*", "1 as _sd_k1", "2 as _sd_kept", "3 as _sd_found", "4 as c0", "5 as _text")
+    rows = suffix_dedup.cleaned(docs)
+    assert rows.columns == docs.columns
+    got = {r.doc_id: r.text for r in rows.collect()}
+    assert got[3] is None and got[4] == "" and got[5] == texts[5]
+    assert got[0] == "éü" and got[1] == "az" and "\ufffd" not in "".join(got[i] for i in range(3))

@@ -72,18 +72,30 @@ def test_empty_tables(spark, rank_vocab, json_vocab):
     assert token_output.op8(documents(spark, []), json_vocab).collect() == []
 
 
-def test_files_hold_all_ids_in_order(spark, json_vocab, peer):
-    texts = AWKWARD + SPACES
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def test_files_hold_all_ids_in_order(spark, json_vocab):
+    texts = AWKWARD + SPACES + ["one <|endoftext|> two.<|endoftext|>", "<|endoftext|>"]
+    peer = library()
     ids = [*range(100, 100 + len(texts) - 3), None, 100, 100]
     rows = token_output.op8(with_clashes(documents(spark, texts, ids)), json_vocab, length=64).collect()
     whole, want = 0, []
     for i, t in sorted(zip(ids, [t or "" for t in texts]), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
-        tokens = [*peer.encode_ordinary(t), 0]
+        tokens = [*peer.encode(t, add_special_tokens=False).ids, 0]
         want.append((i, whole, len(tokens), zlib.crc32(packed(tokens))))
         whole += len(tokens)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda r: r[1]) == want
 
 
+def test_a_special_string_is_read_as_the_library_reads_it(spark, json_vocab):
+    row = token_output.op8(documents(spark, ["a<|endoftext|>b"]), json_vocab).first()
+    assert (row.n_tokens, row.ids_crc32) == (4, zlib.crc32(packed([64, 50256, 65, 0])))
+
+
 def test_sequences_and_masks(spark, json_vocab, tmp_path):
     index = token_output.write(documents(spark, ["some words here"] * 40), json_vocab, str(tmp_path / "out"), length=16)
     total = 0
