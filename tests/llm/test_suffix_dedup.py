@@ -82,4 +82,5 @@ def test_cleaned_texts_have_whole_characters_and_any_column_names(spark):
     assert rows.columns == docs.columns
     got = {r.doc_id: r.text for r in rows.collect()}
     assert got[3] is None and got[4] == "" and got[5] == texts[5]
-    assert got[0] == "éü" and got[1] == "az" and "\ufffd" not in "".join(got[i] for i in range(3))
+    # the first byte of the last letter repeats, with the passage before it, in two texts: what is left of the letter goes too
+    assert got[0] == "é" and got[1] == "az" and "\ufffd" not in "".join(got[i] for i in range(3))
