@@ -129,11 +129,11 @@ def places_for(n: int, steps: int, rules: Rules, band: int) -> np.ndarray:
     places = r.integers(0, steps, (MOST_WALKS, rules.tables, rules.samples))
     pieces = [r.integers(0, 2**63, n).astype(np.uint64) for _ in range(3 * TRIALS if k else 0)]
     found = np.zeros((len(pieces), MOST_WALKS), bool)
-    for i, piece in enumerate(pieces):
-        changed = edited(r, piece, k, i % 3)
-        both, begins, ends = np.concatenate([piece, changed]), np.array([0, n]), np.array([n, n + len(changed)])
-        keys = keys_of(both, begins, ends, steps, places)
-        found[i] = np.array([x[0] == x[1] for x in keys]).reshape(MOST_WALKS, -1).any(1)
+    if pieces:
+        both = [x for i, piece in enumerate(pieces) for x in (piece, edited(r, piece, k, i % 3))]
+        ends = np.cumsum([len(x) for x in both])
+        keys = np.array(keys_of(np.concatenate(both), np.concatenate([[0], ends[:-1]]), ends, steps, places))
+        found = (keys[:, ::2] == keys[:, 1::2]).reshape(MOST_WALKS, -1, len(pieces)).any(1).T
     walks = FIRST_WALKS
     while walks < MOST_WALKS and len(pieces) and min(found[kind::3, :walks].any(1).mean() for kind in range(3)) < rules.recall:
         walks += 1
