@@ -202,7 +202,9 @@ class Index:
 
     def candidates(self, words: np.ndarray, at: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Document, item, begin and end of stretches in which an item may occur; those of an item that overlap are one."""
-        parts = [np.zeros((4, 0), np.int64)]
+        shift = int(self.item_sizes.max())
+        wide = len(words) + shift + 1
+        parts = [np.zeros(0, np.int64)]
         for band, begins in self.windows(words, doc_ends, at).items():
             members = self.bands[band]
             for key, own in zip(keys_of(words, begins, doc_ends[begins], self.steps[band], self.places[band]), self.keys[band], strict=True):
@@ -212,14 +214,13 @@ class Index:
                 sizes = high - low
                 row = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 piece, begin = members[order[row]], np.repeat(begins, sizes)
-                item = self.piece_item[piece]
-                start, k = begin - self.piece_at[piece], self.item_edits[item]
                 doc = np.searchsorted(at, begin, "right") - 1
-                low, high = np.maximum(start - 2 * k - 1, at[doc]), np.minimum(start + self.item_sizes[item] + 2 * k + 1, at[doc + 1])
-                parts.append(np.unique(np.stack([doc, item, low, high]), axis=1))
-        doc, item, low, high = np.concatenate(parts, axis=1)
-        order = np.lexsort((low, item, doc))
-        doc, item, low, high = doc[order], item[order], low[order], high[order]
+                # document, item and where the item would begin, as one number
+                parts.append(np.unique((doc * len(self.items) + self.piece_item[piece]) * wide + begin - self.piece_at[piece] + shift))
+        pair, start = np.divmod(np.unique(np.concatenate(parts)), wide)
+        (doc, item), start = np.divmod(pair, len(self.items)), start - shift
+        k = self.item_edits[item]
+        low, high = np.maximum(start - 2 * k - 1, at[doc]), np.minimum(start + self.item_sizes[item] + 2 * k + 1, at[doc + 1])
         if not len(doc):
             return doc, item, low, high
         # stretches of an item in a document all have about its length, so the end before is the furthest so far
