@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hazardloom.functions.ordered import exact_quantiles
+from hazardloom.operators.training import stored
+from hazardloom.session import shared_path
 
 
 def impute_with_indicator(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,22 +33,60 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def tfidf(df: DataFrame, id_column: str, text: str, accents: str, plain: str, features: int, max_share: float = 0.98) -> DataFrame:
-    """Word and word-pair weights: sublinear term frequency, smooth idf, unit rows, most frequent terms."""
+def term_counts(df: DataFrame, id_column: str, text: str, accents: str, plain: str) -> DataFrame:
+    """(id, term, tf) of words and word pairs, stored: the vocabulary and the weights both come from it."""
     folded = F.translate(F.lower(F.col(text)), accents.lower(), plain.lower())
     words = F.regexp_extract_all(folded, F.lit(r"\b\w\w+\b"), 0)
     rows = df.select(F.col(id_column), words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     grams = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    counts = rows.select(id_column, F.explode(grams).alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1))).scalar()
+    return stored(rows.select(id_column, F.explode(grams).alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+
+
+def vocabulary(counts: DataFrame, n: int, features: int, max_share: float = 0.98) -> DataFrame:
+    """(term, idf, position) of the most frequent terms, those in nearly all rows left out; positions follow the order of frequency."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocabulary = terms.where(F.col("df") <= max_share * n).orderBy(F.desc("total"), "term").limit(features)
-    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    # the vocabulary is cut to `features` rows, so it may be broadcast
-    weighted = counts.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term").withColumn("raw", (F.log(F.col("tf").cast("double")) + 1) * F.col("idf"))
-    norms = weighted.groupBy(id_column).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, id_column).select(id_column, "term", F.round(F.col("raw") / F.col("norm"), 6).alias("weight"))
+    kept = terms.where(F.col("df") <= max_share * n).orderBy(F.desc("total"), "term").limit(features)
+    idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
+    # at most `features` rows
+    return kept.select("term", idf.alias("idf"), (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("position"))
+
+
+def term_weights(counts: DataFrame, terms: DataFrame, id_column: str) -> DataFrame:
+    """(id, term, position, weight): sublinear term frequency, smooth idf, unit rows."""
+    raw = (F.log(F.col("tf").cast("double")) + 1) * F.col("idf")
+    weighted = counts.join(F.broadcast(terms), "term").withColumn("raw", raw)
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_column)))
+    return weighted.select(id_column, "term", "position", (F.col("raw") / norm).alias("weight"))
+
+
+def tfidf(df: DataFrame, id_column: str, text: str, accents: str, plain: str, features: int, max_share: float = 0.98) -> DataFrame:
+    """Word and word-pair weights over the most frequent terms."""
+    counts = term_counts(df, id_column, text, accents, plain)
+    weights = term_weights(counts, vocabulary(counts, df.count(), features, max_share), id_column)
+    return weights.select(id_column, "term", F.round("weight", 6).alias("weight"))
+
+
+def sparse_vectors(weights: DataFrame, id_column: str, width: int, name: str = "sparse", plain: bool = False) -> DataFrame:
+    """(id, vector) from weights at positions, stored. A vector is written as the struct that its type is kept as, and read back
+    under that type, so no row passes through Python; with `plain` it is read back as the struct."""
+    entries = F.sort_array(F.collect_list(F.struct("position", "weight")))  # at most `width` for a row
+    rows = weights.groupBy(id_column).agg(entries.alias("x"))
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"),
+        F.col("x.position").cast("array<int>").alias("indices"), F.col("x.weight").cast("array<double>").alias("values"),
+    )
+    path = shared_path(weights.sparkSession, "sparse-vectors")
+    rows.select(id_column, parts.alias(name)).write.parquet(path)
+    if plain:
+        return weights.sparkSession.read.parquet(path)
+    schema = StructType([weights.schema[id_column], StructField(name, VectorUDT())])
+    return weights.sparkSession.read.schema(schema).parquet(path)
+
+
+def empty_vector(spark, width: int, name: str = "none") -> DataFrame:
+    """One row with a vector of zeros."""
+    return spark.createDataFrame([(Vectors.sparse(width, [], []),)], StructType([StructField(name, VectorUDT())]))
 
 
 def attach_embeddings(df: DataFrame, vectors: DataFrame, id_column: str, vector_id: str, column: str = "embedding") -> DataFrame:

@@ -168,13 +168,41 @@ def _train(df):
     return df.where(F.col("label").isNotNull()).withColumn("truth", (F.col("label") == "YES").cast("double"))
 
 
-def hybrid_scores(spark, sf):
-    """Hashed word counts beside the embedding, L1-regularised."""
-    from pyspark.ml.feature import HashingTF, VectorAssembler
+TERMS = 10_000
+
+
+def _term_vectors(spark, sf, plain):
+    docs = _docs(spark, sf)
+    counts = modelling.term_counts(docs, "doc_id", "text", tb.ACCENTED, tb.PLAIN)
+    weights = modelling.term_weights(counts, modelling.vocabulary(counts, docs.count(), TERMS), "doc_id")
+    return modelling.sparse_vectors(weights, "doc_id", TERMS, plain=plain)
+
+
+def _hybrid(spark, sf):
+    """Per report its term weights as a sparse vector with the embedding and its flag, and the label."""
+    from pyspark.ml.feature import VectorAssembler
 
-    words = _assembled(spark, sf).withColumn("words", F.split(tx.norm(F.col("description")), " ")).withColumnRenamed("features", "dense")
-    hashed = HashingTF(inputCol="words", outputCol="sparse", numFeatures=1 << 14).transform(words)
-    rows = VectorAssembler(inputCols=["sparse", "dense"], outputCol="features").transform(hashed).select("report_id", "label", "features").persist()
+    rows = tb.with_labels(tb.reports(spark, sf).select("doc_id", "report_id"), spark, sf).join(_term_vectors(spark, sf, False), "doc_id", "left")
+    joined = modelling.attach_embeddings(rows, tb.load(spark, sf, "embeddings").select("vec_id", "embedding"), "doc_id", "vec_id")
+    filled = joined.join(F.broadcast(modelling.empty_vector(spark, TERMS))).withColumn("sparse", F.coalesce("sparse", "none"))  # one row
+    dense = modelling.assemble(filled, "embedding", [], EMBEDDING_WIDTH)
+    whole = VectorAssembler(inputCols=["sparse", "features"], outputCol="all").transform(dense)
+    return whole.select("report_id", "label", F.col("all").alias("features"))
+
+
+def hybrid_vectors(spark, sf):
+    """Per report the width of its hybrid vector, and the non-zero entries and squared length of its term part as stored."""
+    terms = _term_vectors(spark, sf, True).select("doc_id", F.col("sparse.size").alias("size"), F.size(F.filter("sparse.values", lambda x: x != 0)).alias("entries"), F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x * x).alias("length"))
+    rows = tb.reports(spark, sf).select("doc_id", "report_id").join(terms, "doc_id", "left")
+    return rows.select(
+        "report_id", (F.coalesce("size", F.lit(TERMS)) + EMBEDDING_WIDTH + 1).alias("width"), F.coalesce("entries", F.lit(0)).alias("entries"),
+        F.round(F.coalesce("length", F.lit(0.0)), 6).alias("squared_length"),
+    )
+
+
+def hybrid_scores(spark, sf):
+    """Term weights beside the embedding, balanced logistic regression."""
+    rows = training.stored(_hybrid(spark, sf), "hybrid-rows")
     return modelling.score(modelling.logistic(_train(rows), "truth", 0.25), rows).select("report_id", F.round("score", 6).alias("score"))
 
 
@@ -182,7 +210,7 @@ def _structured(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     rows = tb.with_labels(tagging.pathway_feature_columns(tb.reports(spark, sf).select("report_id", "description")).drop("description"), spark, sf)
-    return VectorAssembler(inputCols=tagging.pathway_feature_names(), outputCol="features").transform(rows).select("report_id", "label", "features").persist()
+    return training.stored(VectorAssembler(inputCols=tagging.pathway_feature_names(), outputCol="features").transform(rows).select("report_id", "label", "features"), "structured-rows")
 
 
 def structured_models(spark, sf):
@@ -281,7 +309,7 @@ QUERIES = {
     "context_snippet": context_snippet, "fabricate_ids": fabricate_ids, "audit_hints": audit_hints,
     "extraction_audit": extraction_audit, "extraction_misses": extraction_misses, "features_v01": features_v01,
     "attach_embeddings": attach_embeddings, "assembled_features": assembled_features,
-    "hybrid_scores": hybrid_scores, "structured_models": structured_models, "top_coefficients": top_coefficients,
+    "hybrid_scores": hybrid_scores, "hybrid_vectors": hybrid_vectors, "structured_models": structured_models, "top_coefficients": top_coefficients,
     "batch_inference": batch_inference, "c_grid_scores": c_grid_scores, "c_grid_coverage": c_grid_coverage, "select_best_c": select_best_c, "stream_triage": stream_triage, "stream_reviews": stream_reviews,
     "stream_latest_review": stream_latest_review, "stream_decision_counts": stream_decision_counts, "report_ids_large": report_ids_large,
 }

@@ -256,5 +256,7 @@ b2 AS (SELECT *, 2 AS ps, row_number() OVER (ORDER BY ranking_score DESC, model_
         "impute_with_indicator": with_(REPORTS, features_cte(), numeric) + "SELECT report_id, coalesce(max_height_m, (SELECT median(max_height_m) FROM num)) AS max_height_m, coalesce(max_voltage_v, (SELECT median(max_voltage_v) FROM num)) AS max_voltage_v, narrative_words, (max_height_m IS NULL)::int AS max_height_m_missing, (max_voltage_v IS NULL)::int AS max_voltage_v_missing FROM num",
         "standardize": with_(REPORTS, features_cte(), numeric) + "SELECT report_id, round((narrative_words - avg(narrative_words) OVER ()) / stddev_pop(narrative_words) OVER (), 6) AS narrative_words FROM num",
         "feature_manifest": with_(REPORTS, features_cte(), numeric) + " UNION ALL ".join(f"SELECT {q(c)} AS feature, count(*)::bigint AS records, (count(*) - count({c}))::bigint AS missing, count(DISTINCT {c})::bigint AS distinct_values, min({c}) AS low, max({c}) AS high, count(DISTINCT {c}) <= 2 AND min({c}) >= 0 AND max({c}) <= 1 AS is_binary FROM num" for c in ft_names),
+        "hybrid_vectors": with_(vocab, "nz AS (SELECT doc_id, count(*) AS n FROM rw WHERE raw <> 0 GROUP BY 1)")
+        + "SELECT 'report_' || printf('%06d', d.doc_id) AS report_id, 10000 + 64 + 1 AS width, coalesce(n, 0)::int AS entries, CASE WHEN n > 0 THEN 1.0::double ELSE 0.0::double END AS squared_length FROM documents d LEFT JOIN nz USING (doc_id)",
         "tfidf_weights": with_(vocab) + "SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM rw",
     }

@@ -7,6 +7,7 @@ from hazardloom.banks import structured_features as sf
 from hazardloom.banks.precursors import BODY_PARTS
 from hazardloom.functions.text import FIRST_STOP_WORDS, STOP_WORDS
 from hazardloom.operators import structured
+from hazardloom.operators.tagging import pathway_feature_names
 from hazardloom.plans import tables as tb
 from hazardloom.plans.model_queries import CUE, HEIGHT
 from oracles.base import MATCH, NORM, REPORTS, REVIEWS, SQUEEZE, h, present, q, qlist, r9, with_
@@ -108,6 +109,7 @@ sp AS (SELECT doc_id, hit[i] AS s, list_sum(list_transform(gap[1:i], lambda x: l
   count(*) FILTER (human <> '' AND evidence = '')::bigint AS evidence_missing_when_human_present, round(100.0 * count(*) FILTER (human <> '' AND found = '') / count(*) FILTER (human <> ''), 2) AS miss_rate_pct, round(avg(token_recall) FILTER (human <> ''), 4) AS mean_token_recall FROM ad GROUP BY family""",
         "extraction_misses": with_(ad) + "SELECT report_id, count(*)::bigint AS missed_count, string_agg(family, ', ' ORDER BY family) AS missed_families FROM ad WHERE human <> '' AND found = '' GROUP BY 1",
         "features_v01": features_v01(),
+        "assembled_features": with_(REPORTS) + f"SELECT report_id, 64 + 1 + {len(pathway_feature_names())} AS width FROM reports",
         "attach_embeddings": "SELECT doc_id, len(embedding)::int AS width, round(embedding[1]::double, 6) AS first, round(embedding[-1]::double, 6) AS last FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
         "stream_triage": with_(PREDICTIONS, cand) + f"""SELECT p0.report_id, p, review_priority, review_priority_reason, coalesce(c.s, '') AS rules FROM predictions p0 LEFT JOIN
   (SELECT report_id, string_agg({RENDER}, '; ' ORDER BY rn) AS s FROM candidates GROUP BY report_id) c USING (report_id)""",
