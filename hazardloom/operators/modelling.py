@@ -111,12 +111,12 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
 
 
-def logistic(train: DataFrame, label: str, c: float, l1: float = 0.0):
-    """Balanced logistic regression with the strength of an inverse-C penalty over n rows."""
+def logistic(train: DataFrame, label: str, c: float, l1: float = 0.0, steps: int = 5000):
+    """Balanced logistic regression with the strength of an inverse-C penalty over n rows, in so many steps at most."""
     n = train.count()
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=l1,
-        standardization=False, maxIter=5000,
+        standardization=False, maxIter=steps,
     ).fit(balanced(train, label))
 
 

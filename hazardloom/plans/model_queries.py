@@ -201,9 +201,9 @@ def hybrid_vectors(spark, sf):
 
 
 def hybrid_scores(spark, sf):
-    """Term weights beside the embedding, balanced logistic regression."""
+    """Term weights beside the embedding, balanced logistic regression; the steps are bounded, as each is a pass over the rows."""
     rows = training.stored(_hybrid(spark, sf), "hybrid-rows")
-    return modelling.score(modelling.logistic(_train(rows), "truth", 0.25), rows).select("report_id", F.round("score", 6).alias("score"))
+    return modelling.score(modelling.logistic(_train(rows), "truth", 0.25, steps=100), rows).select("report_id", F.round("score", 6).alias("score"))
 
 
 def _structured(spark, sf):
