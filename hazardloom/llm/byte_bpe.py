@@ -33,7 +33,7 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 ENDS = (",", ".")
 LATIN_END = "\u0250"
 PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1_000_000
 LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
