@@ -103,6 +103,16 @@ def _scaled(df: DataFrame, column: str) -> Column:
     return F.when(high == low, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low))
 
 
+# Why a report is selected.
+SELECTION_REASONS = {
+    "first": "TF-IDF YES / Transformer NO disagreement",
+    "second": "TF-IDF NO / Transformer YES disagreement",
+    "boundary": "Near decision boundary",
+    "apart": "Strong model disagreement",
+    "unsure": "High combined uncertainty",
+}
+
+
 def active_learning_scores(df: DataFrame, first: str = "p", second: str = "p2") -> DataFrame:
     """Mean of two models, disagreement, boundary uncertainty, weighted ranking score and reason."""
     a, b = F.col(first), F.col(second)
@@ -112,11 +122,11 @@ def active_learning_scores(df: DataFrame, first: str = "p", second: str = "p2")
     spread = _scaled(base, "model_disagreement")
     ranking = F.lit(0.45) * spread + F.lit(0.35) * _scaled(base, "boundary_uncertainty") + F.lit(0.20) * spread
     reason = (
-        F.when((a >= 0.5) & (b < 0.5), "TF-IDF YES / Transformer NO disagreement")
-        .when((a < 0.5) & (b >= 0.5), "TF-IDF NO / Transformer YES disagreement")
-        .when(F.abs(F.col("hybrid_probability") - 0.5) <= 0.08, "Near decision boundary")
-        .when(F.col("model_disagreement") >= 0.2, "Strong model disagreement")
-        .otherwise("High combined uncertainty")
+        F.when((a >= 0.5) & (b < 0.5), SELECTION_REASONS["first"])
+        .when((a < 0.5) & (b >= 0.5), SELECTION_REASONS["second"])
+        .when(F.abs(F.col("hybrid_probability") - 0.5) <= 0.08, SELECTION_REASONS["boundary"])
+        .when(F.col("model_disagreement") >= 0.2, SELECTION_REASONS["apart"])
+        .otherwise(SELECTION_REASONS["unsure"])
     )
     return base.withColumns({"ranking_score": F.round(ranking, 9), "selection_reason": reason})
 

@@ -11,6 +11,7 @@ from hazardloom.banks import evidence_v13, evidence_v14, evidence_v15, pathway_f
 from hazardloom.functions import matching as m
 from hazardloom.functions.text import norm
 
+# The reasons of a context status.
 CONTEXT_REASONS = {
     "against": "Narrative explicitly states that personnel were not affected or at risk.",
     "severe": "Mechanism evidence is present together with explicit severe-consequence context.",

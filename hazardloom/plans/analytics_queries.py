@@ -91,8 +91,7 @@ def report_detail(spark, sf):
     """Every report's metadata beside each of its reviews; reports without one keep a row."""
     meta = tb.reports(spark, sf).select("report_id", "site", "location", "department")
     log = tb.reviews(spark, sf).select("report_id", F.col("id").alias("review_id"), "decision", "reviewer", "created_at")
-    found = log.join(meta, "report_id")
-    return found.unionByName(meta.join(log, "report_id", "left_anti"), allowMissingColumns=True)
+    return meta.join(log, "report_id", "left").select(*log.columns, *[c for c in meta.columns if c != "report_id"])
 
 
 def append_reviews_valid(spark, sf):
