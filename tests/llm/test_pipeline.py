@@ -41,6 +41,25 @@ def test_stages_one_by_one(spark, peer, tmp_path):  # noqa: F811
     assert set(tokens) == set(leak)
 
 
+def test_rows_are_judged_one_by_one(spark):
+    """Equal, missing and repeated ids, repeated rows, and columns with the names that stages use inside."""
+    from helpers import with_clashes
+
+    word = lambda i: f"w{i * 7919 % 9973}"
+    base, clean = (" ".join(word(i) for i in range(a, a + 80)) for a in (0, 500))
+    texts = [base, base + " x", clean, "short text", "short text", None, "", base, clean + " " + base[:30]]
+    ids = [1, 5, 5, 3, 3, None, None, None, 9]
+    docs = with_clashes(documents(spark, texts, ids)).selectExpr("*", "1 as _gone", "2 as _sd_k1", "3 as _qc0", "4 as _own0", "5 as _sd_found")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert rows == sorted([(1, base), (3, "short text"), (5, clean), (None, None), (None, "")], key=str)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert "_gone" in docs.columns and "_sd_found" in docs.columns
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count()
+
+
 def test_awkward_rows_pass_through(spark):
     docs = documents(spark, AWKWARD, [None, *range(1, len(AWKWARD))])
     for _, stage in corpus_pipeline.STAGES:
