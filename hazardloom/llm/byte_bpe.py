@@ -34,6 +34,7 @@ ENDS = (",", ".")
 LATIN_END = "\u0250"
 PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 CACHED_PIECES = 1_000_000
+FILE_CACHED_PIECES = 1_500_000  # of a tokenizer file
 LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
@@ -106,7 +107,8 @@ class Codec:
     """A tokenizer of the library with a piece cache, and its tokens' bytes by id. What a text holds of the strings of special tokens
     is read as the library reads it by default: a file in its format names such tokens, ranks name none."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, cached: int = CACHED_PIECES):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizer
         self.token_bytes = bytes_by_id(tokenizer.get_vocab())
@@ -132,7 +134,7 @@ class Codec:
     def from_json(cls, data: bytes) -> Codec:
         from tokenizers import Tokenizer
 
-        return cls(Tokenizer.from_str(data.decode()))
+        return cls(Tokenizer.from_str(data.decode()), FILE_CACHED_PIECES)
 
     def _encode_fresh(self, lead: str, pieces: list[str]) -> None:
         known = self.known[lead]
@@ -194,7 +196,7 @@ class Codec:
             self.known[lead].pop(p, None)
         self.long.clear()
         for known in self.known.values():
-            if len(known) > CACHED_PIECES:
+            if len(known) > self.cached:
                 # frequent pieces came first: the later half goes
                 for _ in range(len(known) // 2):
                     known.popitem()
