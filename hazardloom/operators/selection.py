@@ -141,8 +141,8 @@ def select_active_batch(scored: DataFrame, risk: str | None = "risk", size: int
     one = capped.orderBy(*strong).limit(size).withColumn("_pass", F.lit(1))
     two = scored.orderBy(*ranked).limit(2 * size).join(one.select("report_id"), "report_id", "left_anti").withColumn("_pass", F.lit(2))
     both = one.unionByName(two)
-    lead = F.when(F.col("_pass") == 1, F.col("model_disagreement")).otherwise(F.col("ranking_score"))
-    order = [F.col("_pass"), F.desc(lead), *ranked[1:]]
-    best = both.withColumn("_lead", lead).orderBy(*order).limit(size)
+    first = lambda c: F.when(F.col("_pass") == 2, F.col(c))  # noqa: E731  only the second pass goes by it
+    order = [F.col("_pass"), F.desc(first("ranking_score")), F.desc("model_disagreement"), F.desc(first("boundary_uncertainty")), F.col("report_id")]
+    best = both.orderBy(*order).limit(size)
     place = F.row_number().over(Window.orderBy(*order))  # at most size rows
-    return best.withColumn("active_learning_rank", place).drop("_pass", "_lead")
+    return best.withColumn("active_learning_rank", place).drop("_pass")
