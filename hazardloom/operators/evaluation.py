@@ -157,53 +157,132 @@ def group_safe_split(df: DataFrame, group: str, label: str) -> DataFrame:
 #: Shares of the splits, in the order in which ties are decided, and weights of the errors of rows, YES and NO.
 GREEDY_SHARES = (("test", 0.15), ("validation", 0.15), ("train", 0.70))
 GREEDY_WEIGHTS = (0.55, 0.25, 0.20)
-STEPS = 4096  # decisions for the groups of a class at most
-
-
-def greedy_runs(classes: list[tuple[int, int, int, int]], shares=GREEDY_SHARES, weights=GREEDY_WEIGHTS, steps: int = STEPS) -> list[tuple[int, int, int, str]]:
-    """(class, first, end, split) over ranks within classes: each group goes to the split whose weighted relative error it makes
-    least. classes: (rows, yes, no, groups), those of large and one-sided groups first. Of a class of more than `steps` groups
-    so many go at once that the decisions stay within that number."""
-    whole = np.array([[c[k] * c[3] for k in range(3)] for c in classes], float).sum(0) if classes else np.zeros(3)
-    targets = np.array([share * whole for _, share in shares])
-    totals, runs = np.zeros_like(targets), []
-    for i, (*size, groups) in enumerate(classes):
-        chunk, at = -(-groups // steps), 0
+STRETCH = 1 << 16  # decisions that are worked out at a time
+SURE = 1e-9  # far above the rounding of an error
+
+
+def greedy_errors(totals: np.ndarray, size: np.ndarray, targets: np.ndarray, first: int, n: int, weights=GREEDY_WEIGHTS) -> np.ndarray:
+    """[split, i]: the weighted relative error of a split that holds first + i + 1 groups of a class more than `totals`."""
+    grown = totals[:, :, None] + size[None, :, None] * np.arange(first + 1, first + n + 1)[None, None, :]
+    each = np.abs(grown - targets[:, :, None]) / np.maximum(targets, 1.0)[:, :, None]
+    return weights[0] * each[:, 0] + weights[1] * each[:, 1] + weights[2] * each[:, 2]
+
+
+def greedy_picks(totals: np.ndarray, size: np.ndarray, targets: np.ndarray, n: int, weights=GREEDY_WEIGHTS) -> np.ndarray:
+    """The splits that the next n groups of a class go to. A split's error depends on its own groups only, so the decisions are a merge
+    of one list of errors for each split: in the order of the largest error so far, then of the split."""
+    peaks = np.maximum.accumulate(greedy_errors(totals, size, targets, 0, n, weights), axis=1)
+    split = np.repeat(np.arange(len(totals)), n)
+    return split[np.lexsort((split, peaks.ravel()))[:n]]
+
+
+def greedy_stretches(classes: list[tuple[int, int, int, int]], shares=GREEDY_SHARES, weights=GREEDY_WEIGHTS) -> tuple[list[tuple], np.ndarray]:
+    """(class, first, end, split, totals before) over ranks within classes, and the targets; split is -1 where the decisions change
+    within a stretch, which `greedy_picks` tells from the totals. As an error is convex in the groups a split has, many alike groups
+    go to a split at once while its error stays clearly below the others'."""
+    whole = np.array([[c[k] * c[3] for k in range(3)] for c in classes], np.int64).sum(0).astype(float) if classes else np.zeros(3)
+    targets = np.array([whole * share for _, share in shares])
+    totals, out = np.zeros(targets.shape, np.int64), []
+    for i, (*counts, groups) in enumerate(classes):
+        size, at = np.array(counts, np.int64), 0
         while at < groups:
-            n = min(chunk, groups - at)
-            errors = (np.abs(totals + n * np.array(size) - targets) / np.maximum(targets, 1.0)) @ np.array(weights)
-            best = int(np.argmin(errors))
-            totals[best] += n * np.array(size)
-            if runs and runs[-1][0] == i and runs[-1][3] == shares[best][0]:
-                runs[-1] = (i, runs[-1][1], at + n, shares[best][0])
+            n = min(STRETCH, groups - at)
+            picks = greedy_picks(totals, size, targets, n, weights)
+            best = int(picks[0])
+            if (picks != best).any():
+                out.append((i, at, at + n, -1, totals.copy()))
+                totals += np.bincount(picks, minlength=len(shares))[:, None] * size
             else:
-                runs.append((i, at, at + n, shares[best][0]))
+                error = lambda k: greedy_errors(totals, size, targets, k - 1, 1, weights)[best, 0]
+                others = np.delete(greedy_errors(totals, size, targets, 0, 1, weights)[:, 0], best).min() - SURE
+                if error(n) < others:
+                    low, high = n, groups - at
+                    while low < high:
+                        middle = (low + high + 1) // 2
+                        low, high = (middle, high) if error(middle) < others else (low, middle - 1)
+                    n = low
+                out.append((i, at, at + n, best, totals.copy()))
+                totals[best] += n * size
             at += n
-    # an empty split takes the last group of the fullest one
-    for name, _ in shares[::-1]:
-        held = {s: sum((b - a) * classes[c][0] for c, a, b, t in runs if t == s) for s, _ in shares[::-1]}
-        if runs and not held[name]:
-            donor = max(held, key=held.get)
-            k = max(n for n, r in enumerate(runs) if r[3] == donor)
-            c, a, b, _ = runs[k]
-            runs[k : k + 1] = [(c, a, b - 1, donor)] * (b - a > 1) + [(c, b - 1, b, name)]
+    return out, targets
+
+
+def _runs_of(stretch: tuple, classes: list, targets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    c, first, end, split, totals = stretch
+    if split >= 0:
+        return [(c, first, end, split)]
+    picks = greedy_picks(totals, np.array(classes[c][:3], np.int64), targets, end - first)
+    cuts = [0, *(np.flatnonzero(np.diff(picks)) + 1).tolist(), len(picks)]
+    return [(c, first + a, first + b, int(picks[a])) for a, b in zip(cuts, cuts[1:])]
+
+
+def greedy_plan(classes: list[tuple[int, int, int, int]], shares=GREEDY_SHARES) -> tuple[list[tuple], np.ndarray]:
+    """The stretches, after which an empty split takes the last group of the fullest one."""
+    plan, targets = greedy_stretches(classes, shares)
+    held = np.zeros(len(shares), np.int64)
+    for c, a, b, split, totals in plan:
+        picked = np.bincount(greedy_picks(totals, np.array(classes[c][:3], np.int64), targets, b - a), minlength=len(shares)) if split < 0 else (b - a) * np.eye(len(shares), dtype=np.int64)[split]
+        held += picked * classes[c][0]
+    for empty in range(len(shares))[::-1]:
+        if not plan or held[empty]:
+            continue
+        donor = max(range(len(shares))[::-1], key=lambda s: held[s])
+        for k in range(len(plan))[::-1]:
+            runs = _runs_of(plan[k], classes, targets)
+            if any(r[3] == donor for r in runs):
+                break
+        j = max(n for n, r in enumerate(runs) if r[3] == donor)
+        c, a, b, _ = runs[j]
+        runs[j : j + 1] = [(c, a, b - 1, donor)] * (b - a > 1) + [(c, b - 1, b, empty)]
+        plan[k : k + 1] = [(*r, None) for r in runs]
+        held[donor], held[empty] = held[donor] - classes[c][0], classes[c][0]
+    return plan, targets
+
+
+def greedy_runs(classes: list[tuple[int, int, int, int]], shares=GREEDY_SHARES) -> list[tuple[int, int, int, str]]:
+    """(class, first, end, split) over ranks within classes: each group goes to the split whose weighted relative error it makes
+    least. classes: (rows, yes, no, groups), those of large and one-sided groups first."""
+    plan, targets = greedy_plan(classes, shares)
+    runs = []
+    for c, a, b, split in (r for stretch in plan for r in _runs_of(stretch, classes, targets)):
+        if runs and runs[-1][0] == c and runs[-1][3] == shares[split][0]:
+            runs[-1] = (c, runs[-1][1], b, shares[split][0])
+        else:
+            runs.append((c, a, b, shares[split][0]))
     return runs
 
 
 def greedy_group_split(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Group-safe split by the greedy rule on rows, YES and NO. It runs over classes of groups with equal counts, as a class's groups are
-    alike to it; their number is that of different counts. Within a class, groups are taken in hash order."""
+    """Group-safe split by the greedy rule on rows, YES and NO, a group at a time. The driver walks over classes of groups with equal
+    counts, as a class's groups are alike to the rule, and keeps totals only; stretches in which the decisions change are worked out
+    again by the tasks. Within a class, groups are taken in hash order."""
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(label) == "YES").alias("_yes"), F.count_if(F.col(label) == "NO").alias("_no"))
     size = ["_rows", "_yes", "_no"]
     known = groups.groupBy(*size).agg(F.count(F.lit(1)).alias("_groups")).orderBy(F.desc("_rows"), F.desc(F.abs(F.col("_yes") - F.col("_no"))), F.desc("_yes")).collect()
     classes = [tuple(r) for r in known]
-    before = np.concatenate([[0], np.cumsum([c[3] for c in classes])]).tolist()
-    runs = [(*classes[c][:3], before[c] + a, before[c] + b, s) for c, a, b, s in greedy_runs(classes)]
+    before = np.concatenate([[0], np.cumsum([c[3] for c in classes])]).astype(int).tolist()
+    plan, targets = greedy_plan(classes)
+    names = [s for s, _ in GREEDY_SHARES]
+    plain = [(*classes[c][:3], before[c] + a, before[c] + b, names[s]) for c, a, b, s, _ in plan if s >= 0]
+    mixed = [(before[c] + a, b - a, list(classes[c][:3]), totals.ravel().tolist()) for c, a, b, s, totals in plan if s < 0]
+
+    def picked(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                picks = greedy_picks(np.array(x["totals"], np.int64).reshape(targets.shape), np.array(x["size"], np.int64), targets, x["n"])
+                numbers = x["first"] + 1 + np.arange(x["n"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(names).take(pa.array(picks))], ["_no_", "split"])
+
     order = [F.desc("_rows"), F.desc(F.abs(F.col("_yes") - F.col("_no"))), F.desc("_yes"), F.col("_h"), F.col(group)]
     numbered = with_row_number(groups.withColumn("_h", hash_number(F.lit("split"), F.col(group))), order, "_no_")
-    table = df.sparkSession.createDataFrame(runs, "_rows long, _yes long, _no long, _from long, _end long, split string")
+    spark = df.sparkSession
+    table = spark.createDataFrame(plain, "_rows long, _yes long, _no long, _from long, _end long, split string")
     inside = (F.col("_no_") > F.col("_from")) & (F.col("_no_") <= F.col("_end"))
-    assigned = numbered.join(F.broadcast(table), size).where(inside).select(group, "_rows", "split")  # a few runs for each class
+    assigned = numbered.join(F.broadcast(table), size).where(inside).select(group, "_rows", "split")  # a few stretches for each class
+    if mixed:
+        rest = spark.createDataFrame(mixed, "first long, n long, size array<long>, totals array<long>")
+        rest = rest.repartition(min(len(mixed), 64)).mapInArrow(picked, "_no_ long, split string")
+        assigned = assigned.unionByName(numbered.join(rest, "_no_").select(group, "_rows", "split"))
     return join_groups(df, assigned, group, "_rows").drop("_rows")
 
 
