@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -397,10 +398,20 @@ def _drawn(table: pa.Table, reps: int):
         yield at, s, ones, ones + poisson_counts(rows - pos, 2 * i % PRIME, part)
 
 
-def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps: int) -> DataFrame:
-    """Percentile intervals. The Poisson weights of equal rows add up to a Poisson count, so a replicate draws one number for each score
-    and class, however many rows there are. Scores are numbered from the highest down and cut into blocks; a block draws all its
-    replicates twice, first for its sums, then, with the sums of the blocks before it, for its part of the average precision."""
+def _ahead(each: DataFrame) -> DataFrame:
+    """Per block and replicate the sums of the blocks before it."""
+    ahead = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"before_{c}") for c in ("pos", "all")])
+
+
+def _before(table: pa.Table) -> list[np.ndarray]:
+    order = np.argsort(table.column("rep").to_numpy())
+    return [table.column(c).to_numpy()[order] for c in ("before_pos", "before_all")]
+
+
+def _cells_drawn(df: DataFrame, score: str, truth: str, threshold: float, reps: int) -> tuple[DataFrame, DataFrame]:
+    """Sums and gains of the replicates for rows without an id: one number for each score and class, as the Poisson weights of equal rows
+    add up to a Poisson count. Scores are numbered from the highest down and cut into blocks."""
     cells = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("all"))
     ranked = with_row_number(cells, [F.desc("s")], "i")
     cells = materialise(ranked.select("i", "s", "pos", "all", ((F.col("i") - 1) / CELLS).cast("long").alias("block")))
@@ -414,9 +425,7 @@ def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps:
         return pa.table([np.full(reps, block, np.int64), *columns], names=["block", "rep", "pos", "all", "tp", "fp"])
 
     def gains(table: pa.Table, before: pa.Table) -> pa.Table:
-        order = np.argsort(before.column("rep").to_numpy())
-        ahead = [before.column(c).to_numpy()[order] for c in ("before_pos", "before_all")]
-        gain = np.zeros(reps)
+        ahead, gain = _before(before), np.zeros(reps)
         for at, _, ones, rows in _drawn(table, reps):
             part = slice(at, at + ones.shape[1])
             up, down = np.cumsum(ones, axis=0) + ahead[0][part], np.cumsum(rows, axis=0) + ahead[1][part]
@@ -424,9 +433,124 @@ def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps:
         return pa.table([np.arange(1, reps + 1), gain], names=["rep", "gain"])
 
     each = materialise(cells.groupBy("block").applyInArrow(sums, "block long, rep long, pos long, all long, tp long, fp long"))
-    ahead = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = each.select("block", "rep", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"before_{c}") for c in ("pos", "all")])
-    gained = cells.groupBy("block").cogroup(before.groupBy("block")).applyInArrow(gains, "rep long, gain double").groupBy("rep").agg(F.sum("gain").alias("gain"))
+    return each, cells.groupBy("block").cogroup(_ahead(each).groupBy("block")).applyInArrow(gains, "rep long, gain double")
+
+
+#: Bounds of a draw of 32 bits from which on a row counts 1, 2, ... times.
+POISSON = np.array([math.ceil(c * 2**32) for c in accumulate(math.exp(-1) / math.factorial(k) for k in range(12)) if c * 2**32 <= 2**32 - 1], np.uint32)
+DRAWS = 4  # draws of 32 bits in one md5
+BLOCK_ROWS = 1024
+
+
+TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel().astype(np.uint32)
+SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+
+
+def md5_words(texts: np.ndarray) -> np.ndarray:
+    """[4, n]: the four words of each text's md5, as big-endian numbers. texts: [n, 64] bytes, padded as md5 has it (55 bytes of text at most)."""
+    m = np.ascontiguousarray(texts.view("<u4").T)
+    first = [np.full(m.shape[1], x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = first
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += m[g]
+        f += SINES[i]
+        turn = TURNS[i]
+        a, d, c, b = d, c, b, b + ((f << turn) | (f >> np.uint32(32 - turn)))
+    return np.stack([x + y for x, y in zip(first, (a, b, c, d), strict=True)]).byteswap()
+
+
+def row_weights(names: list[str], reps: int) -> np.ndarray:
+    """[row, replicate]: Poisson weights from the digests of "block|id", each of which serves the replicates of a block."""
+    own, blocks = [f"|{x}".encode() for x in names], -(-reps // DRAWS)
+    draws = np.empty((len(own), blocks, DRAWS), np.uint32)
+    for digits in range(1, len(str(blocks)) + 1):
+        low, high = 10 ** (digits - 1) if digits > 1 else 0, min(10**digits, blocks)
+        fits = [k for k, x in enumerate(own) if digits + len(x) < 56]
+        texts = np.zeros((len(fits), high - low, 64), np.uint8)
+        texts[:, :, :digits] = np.frombuffer(b"".join(b"%d" % k for k in range(low, high)), np.uint8).reshape(-1, digits)
+        for at, k in enumerate(fits):
+            n = digits + len(own[k])
+            texts[at, :, digits:n] = np.frombuffer(own[k], np.uint8)
+            texts[at, :, n] = 0x80
+            texts[at, :, 56:58] = (8 * n & 255, 8 * n >> 8)
+        if fits:
+            draws[fits, low:high] = md5_words(texts.reshape(-1, 64)).T.reshape(len(fits), high - low, DRAWS)
+        for k in set(range(len(own))).difference(fits):  # longer than one step of md5
+            digests = b"".join([hashlib.md5(b"%d" % block + own[k]).digest() for block in range(low, high)])
+            draws[k, low:high] = np.frombuffer(digests, ">u4").reshape(-1, DRAWS)
+    flat = draws.reshape(len(own), -1)[:, :reps]
+    out = np.zeros(flat.shape, np.uint8)
+    for bound in POISSON:
+        out += flat >= bound
+    return out
+
+
+def _weighed(names: list[str], reps: int, rows: int = 32):
+    """Each row's weights, some rows at a time."""
+    for at in range(0, len(names), rows):
+        yield from row_weights(names[at : at + rows], reps)
+
+
+def _rows_drawn(df: DataFrame, score: str, truth: str, threshold: float, reps: int, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Sums and gains of the replicates, every row drawn in each of them. Scores are cut into blocks of about `BLOCK_ROWS` rows from the
+    highest down; a score of more rows is a block of its own, which is spread over slices and whose gain follows from its sums."""
+    rows = df.select(F.col(id_column).cast("string").alias("id"), F.col(score).cast("double").alias("s"), F.col(truth).cast("long").alias("y"))
+    cells = with_running_sums(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")), [F.desc("s")], {"to": "n"})
+    hot = F.col("n") > BLOCK_ROWS
+    cells = cells.select("s", "n", (2 * F.floor((F.col("to") - F.col("n")) / BLOCK_ROWS) + hot.cast("long")).alias("block"))
+    part = F.when(hot, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS))).otherwise(0)
+    rows = materialise(join_groups(rows, cells, "s", "n").select("id", "s", "y", "block", part.alias("part"), hot.alias("hot")))
+
+    def sums(table: pa.Table) -> pa.Table:
+        s, y = (table.column(c).to_numpy() for c in ("s", "y"))
+        sums = np.zeros((4, reps), np.int64)
+        for w, high, one in zip(_weighed(table.column("id").to_pylist(), reps), s >= threshold, y == 1, strict=True):
+            sums[1] += w
+            if one:
+                sums[0] += w
+            if high:
+                sums[2 if one else 3] += w
+        same = [np.full(reps, table.column(c)[0].as_py()) for c in ("block", "hot")]
+        return pa.table([*same, np.arange(1, reps + 1), *sums], names=["block", "hot", "rep", "pos", "all", "tp", "fp"])
+
+    def gains(table: pa.Table, before: pa.Table) -> pa.Table:
+        up, down = (x.copy() for x in _before(before))
+        s, y, names = table.column("s").to_numpy(), table.column("y").to_numpy(), table.column("id").to_pylist()
+        order = np.argsort(-s, kind="stable")
+        weights, gain = _weighed([names[k] for k in order], reps), np.zeros(reps)
+        for cell in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
+            ones = np.zeros(reps, np.int64)
+            for k, w in zip(cell.tolist(), weights):  # noqa: B905
+                down += w
+                if y[k] == 1:
+                    ones += w
+            up += ones
+            gain += ones * (up / np.maximum(down, 1))
+        return pa.table([np.arange(1, reps + 1), gain], names=["rep", "gain"])
+
+    drawn = rows.groupBy("block", "part").applyInArrow(sums, "block long, hot boolean, rep long, pos long, all long, tp long, fp long")
+    each = materialise(drawn.groupBy("block", "hot", "rep").agg(*[F.sum(c).alias(c) for c in ("pos", "all", "tp", "fp")]))
+    whole = _ahead(each)
+    mixed = rows.where(~F.col("hot")).groupBy("block").cogroup(whole.where(~F.col("hot")).groupBy("block")).applyInArrow(gains, "rep long, gain double")
+    share = (F.col("before_pos") + F.col("pos")) / F.greatest(F.col("before_all") + F.col("all"), F.lit(1))
+    return each, mixed.unionByName(whole.where("hot").select("rep", (F.col("pos") * share).alias("gain")))
+
+
+def bootstrap_ci(df: DataFrame, score: str, truth: str, threshold: float, reps: int, id_column: str | None = None) -> DataFrame:
+    """Percentile intervals. With an id column every row draws its own Poisson weight in each replicate; rows without ids draw a count
+    for each score and class. Blocks of scores draw all their replicates twice, first for their sums, then, with the sums of the
+    blocks before them, for their part of the average precision."""
+    each, gained = _rows_drawn(df, score, truth, threshold, reps, id_column) if id_column else _cells_drawn(df, score, truth, threshold, reps)
+    gained = gained.groupBy("rep").agg(F.sum("gain").alias("gain"))
     counts = each.groupBy("rep").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("pos").alias("P"), F.sum("all").alias("N")).join(gained, "rep")
     counts = counts.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("P") - F.col("fp")})
     both = (F.col("P") > 0) & (F.col("P") < F.col("N"))

@@ -224,7 +224,7 @@ def model_deltas(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return ev.bootstrap_ci(tb.labelled(spark, sf), "p", "truth", 0.5, REPS)
+    return ev.bootstrap_ci(tb.labelled(spark, sf), "p", "truth", 0.5, REPS, "report_id")
 
 
 def group_safe_split(spark, sf):
