@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import END, batch, buckets_for, joined_hashes, load, mapped, mix, slices, staged, texts_of, word_hashes
+from hazardloom.llm.common import END, batch, buckets_for, joined_hashes, load, mapped, mix, slices, staged, texts_of, tidy, word_hashes
 
 ROUND_BYTES = 128 << 20  # of the filters that are sent to workers at a time; a segment at least
+READ_BYTES = 16 << 20  # of the filters that the driver reads at a time; a segment at least
 BITS_PER_ENTRY = 10
 PROBES = 6
 GROWTH = 1.15
@@ -102,6 +103,15 @@ class Filter:
             at += width
         return cls(np.frombuffer(b"".join(parts), np.uint8), begins, widths, unit)
 
+    @classmethod
+    def empty(cls, sizes: dict[int, int], buckets: int) -> Filter:
+        """Room for the segments of the given bytes by bucket."""
+        widths, begins, at = np.zeros(buckets, np.uint64), np.zeros(buckets, np.int64), 0
+        for bucket in sorted(sizes):
+            widths[bucket], begins[bucket] = 8 * sizes[bucket], at
+            at += 8 * sizes[bucket]
+        return cls(np.zeros(at >> 3, np.uint8), begins, widths, 1)
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, read by probing one level after another."""
         out = np.zeros(len(keys), np.int64)
@@ -253,13 +263,23 @@ class Model:
     weight: float = WEIGHT
 
     def parts(self) -> Iterator[Part]:
-        """One part a round; only its segments are read."""
+        """One part a round; only its segments are read. Nothing of a part is kept here once it is given out."""
         for ranges in itertools.product(*self.ranges):
-            filters = []
-            for stored, (low, high) in zip(self.segments, ranges, strict=True):
-                found = stored.where((F.col("bucket") >= low) & (F.col("bucket") < high)).collect()
-                filters.append(Filter.join([(r.bucket, r.width, r.bits) for r in found], self.buckets, 1))
-            yield Part(filters, list(ranges), self.n, self.v, self.texts, self.weight)
+            yield Part([self._filter(stored, *r) for stored, r in zip(self.segments, ranges, strict=True)], list(ranges), self.n, self.v, self.texts, self.weight)
+
+    def _filter(self, stored: DataFrame, low: int, high: int) -> Filter:
+        """The segments of a range of buckets, read some at a time into one array, so that the driver holds them once."""
+        sizes = {r.bucket: r.width // 8 for r in stored.where(F.col("bucket").between(low, high - 1)).select("bucket", "width").collect()}
+        whole = Filter.empty(sizes, self.buckets)
+        for a, b in ranges_of(sizes, self.buckets, READ_BYTES):
+            if not any(a <= k < b for k in sizes):
+                continue
+            found = stored.where(F.col("bucket").between(max(a, low), min(b, high) - 1)).select("bucket", "bits").collect()
+            for bucket, bits in found:
+                begin = int(whole.begins[bucket]) >> 3
+                whole.bits[begin : begin + len(bits)] = np.frombuffer(bits, np.uint8)
+            del found
+        return whole
 
     def rounds(self) -> int:
         return math.prod(len(r) for r in self.ranges)
@@ -341,6 +361,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *more: Column) -> Dat
     spark = docs.sparkSession
     parts = model.parts()
     sent = spark.sparkContext.broadcast(next(parts))
+    tidy()
     common = spark.sparkContext.broadcast((model.frequent, model.frequent_counts))
     # the row number is stored with the rows, so it names a row for good
     rows = texts_of(docs, *more)
@@ -380,6 +401,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *more: Column) -> Dat
     sent.destroy()
     found = _looked_up(scored, words).withColumn("more", F.lit(0.0))
     for part in parts:
+        tidy()
         found = found.unionByName(_round(rows, part).selectExpr("row", "0L as known", "0D as logs", "score as more"))
     found = found.groupBy("row").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"), F.sum("more").alias("more"))
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))
