@@ -20,12 +20,15 @@ def sentence_rows(df: DataFrame, text: str = "description", squeeze: bool = True
 
 def evidence_spans(df: DataFrame, text: str = "description") -> DataFrame:
     """(id, evidence type, sentence index, name, sentence, terms) for every family that hits a sentence."""
-    entries = []
+    needed, entries = m.bank_patterns(*precursors.SPANS.values()), []
     for kind, bank in precursors.SPANS.items():
         for name, patterns in bank.items():
-            terms = F.array_sort(F.array_distinct(m.all_terms(F.col("_low"), patterns)))
+            terms = F.array_sort(F.array_distinct(m.all_terms(F.col("_low"), patterns, F.col("_seen"))))
             entries.append(F.struct(F.lit(kind).alias("evidence_type"), F.lit(name).alias("name"), terms.alias("terms")))
-    rows = sentence_rows(df, text).withColumn("_spans", m.staged(F.filter(F.array(*entries), lambda x: F.size(x.terms) > 0)))
+    rows = sentence_rows(df, text).withColumn("_seen", m.staged(m.seen_words(F.col("_low"), needed)))
+    if all(m.required_words(p) for p in needed):  # a sentence without any of the words has no hit
+        rows = rows.where("_seen <> ''")
+    rows = rows.withColumn("_spans", m.staged(F.filter(F.array(*entries), lambda x: F.size(x.terms) > 0)))
     return rows.select("report_id", "sentence_index", "sentence", F.explode("_spans").alias("x")).select(
         "report_id", "x.evidence_type", "sentence_index", "x.name", "sentence", F.array_join("x.terms", " | ").alias("matched_terms")
     )
@@ -86,6 +89,8 @@ def pathway_inspection(df: DataFrame, text: str = "description") -> DataFrame:
         entries = [F.struct(F.lit(c).alias("category"), _spelled(bank[c]).alias("terms")) for c in sorted(bank)]
         return F.filter(F.array(*entries), lambda x: F.size(x.terms) > 0)
 
+    needed = [*m.bank_patterns(*families.values()), *audits.NEGATIONS]
+    rows = rows.withColumn("_seen", m.staged(m.seen_words(F.col("_low"), needed)))
     rows = rows.withColumns({"_" + k: m.staged(family(b)) for k, b in families.items()})
     rows = rows.withColumn("_gaps", m.staged(_spelled(audits.NEGATIONS)))
     out = {}
@@ -108,7 +113,7 @@ def _spelled(patterns: list[str]) -> Column:
 
     def one(p: str) -> Column:
         found = F.nullif(F.regexp_extract(F.col("_t"), m.any_case(p), 0), F.lit(""))
-        guard = m.may_hit(F.col("_low"), p)
+        guard = m.may_hit(F.col("_seen"), p)
         return found if guard is None else F.when(guard, found)
 
     return F.array_compact(F.array(*[one(p) for p in patterns]))
@@ -123,16 +128,17 @@ def precursor_feature_names() -> list[str]:
 
 def precursor_features(df: DataFrame, text: str = "description") -> DataFrame:
     """The narrative-only feature table; heights and voltages stay null where none is given."""
-    low = F.col("_text")
-    flags = {p + k: m.staged(m.any_of(low, pats).cast("int")) for p, bank in precursors.FEATURES.items() for k, pats in bank.items()}
-    flags |= {f"body_{b}_mentioned": m.staged(m.hits(low, rf"\b{b}\b").cast("int")) for b in precursors.BODY_PARTS}
+    low, seen = F.col("_text"), F.col("_seen")
+    needed = [*m.bank_patterns(*precursors.FEATURES.values()), *[rf"\b{b}\b" for b in precursors.BODY_PARTS]]
+    flags = {p + k: m.staged(m.any_of(low, pats, seen).cast("int")) for p, bank in precursors.FEATURES.items() for k, pats in bank.items()}
+    flags |= {f"body_{b}_mentioned": m.staged(m.hits(low, rf"\b{b}\b", seen).cast("int")) for b in precursors.BODY_PARTS}
     flags |= {
         "narrative_chars": m.staged(F.length(low)),
         "narrative_words": m.staged(tx.word_count(low)),
         "max_height_m": m.staged(tx.max_number(low, precursors.HEIGHT)),
         "max_voltage_v": m.staged(tx.max_number(low, precursors.VOLTAGE)),
     }
-    rows = df.withColumn("_text", m.staged(tx.norm(F.col(text)))).withColumns(flags)
+    rows = df.withColumn("_text", m.staged(tx.norm(F.col(text)))).withColumn("_seen", m.staged(m.seen_words(low, needed))).withColumns(flags)
     extra = {
         "significant_height_signal": F.coalesce(F.col("max_height_m") >= 2.0, F.lit(False)),
         "low_height_signal": F.coalesce(F.col("max_height_m") < 1.0, F.lit(False)),

@@ -46,16 +46,16 @@ def activity_metadata(spark, sf):
 
 def collect_hits(spark, sf):
     """Capped hits of the hazard bank in long form."""
-    rows = x._staged_text(_narrow(spark, sf), "description")
-    found = rows.withColumn("_h", m.staged(m.collect_hits(F.col("_t"), F.col("_low"), v04.HAZARDS, 8)))
+    rows = x._staged_text(_narrow(spark, sf), "description", v04.HAZARDS)
+    found = rows.withColumn("_h", m.staged(m.collect_hits(F.col("_t"), F.col("_seen"), v04.HAZARDS, 8)))
     return found.select("report_id", F.posexplode("_h").alias("pos", "hit")).select(
         "report_id", F.col("pos").alias("position"), "hit.label", "hit.evidence"
     )
 
 
 def dedup_longest(spark, sf):
-    rows = x._staged_text(_narrow(spark, sf), "description")
-    hits = m.collect_hits(F.col("_t"), F.col("_low"), v06.HAZARDS, 20)
+    rows = x._staged_text(_narrow(spark, sf), "description", v06.HAZARDS)
+    hits = m.collect_hits(F.col("_t"), F.col("_seen"), v06.HAZARDS, 20)
     found = rows.withColumn("_h", m.staged(hits)).withColumn(
         "_best", m.staged(m.longest_per_label(F.col("_h"), list(dict(v06.HAZARDS))))
     )
@@ -63,7 +63,7 @@ def dedup_longest(spark, sf):
 
 
 def barrier_negation(spark, sf):
-    rows = x._staged_text(_narrow(spark, sf), "description").withColumn("_b", m.staged(x._barriers_v04()))
+    rows = x._staged_text(_narrow(spark, sf), "description", v04.FAILURES, v04.BARRIERS).withColumn("_b", m.staged(x._barriers_v04()))
     return rows.select("report_id", F.explode("_b").alias("b")).select("report_id", "b.label", "b.status", "b.evidence")
 
 
@@ -72,8 +72,8 @@ BURN = r"\b(?:burn(?:ed)?|scald(?:ed)?|redness)\b"
 
 def context_guard(spark, sf):
     """Burn wording kept only where steam, heat or a severe degree stands within 40 characters."""
-    rows = x._staged_text(_narrow(spark, sf), "description")
-    hits = m.collect_hits(F.col("_t"), F.col("_low"), [("Burn", BURN)], 10)
+    rows = x._staged_text(_narrow(spark, sf), "description", [("Burn", BURN)])
+    hits = m.collect_hits(F.col("_t"), F.col("_seen"), [("Burn", BURN)], 10)
     kept = x.guard_by_context(F.col("_h"), F.col("_t"), "Burn", BURN, 40, lambda c: c.rlike("steam|hot|severe"))
     found = rows.withColumn("_h", m.staged(hits)).withColumn("_k", m.staged(kept))
     return found.select("report_id", F.explode("_k").alias("k")).select("report_id", "k.label", "k.evidence")
