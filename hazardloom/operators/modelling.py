@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from hazardloom.functions.ordered import exact_quantiles
-from hazardloom.operators.training import stored
 from hazardloom.session import shared_path
 
 
@@ -34,13 +33,14 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def term_counts(df: DataFrame, id_column: str, text: str, accents: str, plain: str) -> DataFrame:
-    """(id, term, tf) of words and word pairs, stored: the vocabulary and the weights both come from it."""
+    """(id, term, tf) of words and word pairs. Rows dealt by id stay where they are: neither these counts nor a row's weights are
+    shuffled, and the vocabulary and the weights share the exchange that dealt the texts."""
     folded = F.translate(F.lower(F.col(text)), accents.lower(), plain.lower())
     words = F.regexp_extract_all(folded, F.lit(r"\b\w\w+\b"), 0)
     rows = df.select(F.col(id_column), words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     grams = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return stored(rows.select(id_column, F.explode(grams).alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    return rows.select(id_column, F.explode(grams).alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n: int, features: int, max_share: float = 0.98) -> DataFrame:

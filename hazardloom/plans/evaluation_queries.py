@@ -325,7 +325,7 @@ def tfidf_weights(spark, sf):
     from hazardloom.operators.modelling import tfidf
 
     documents = tb.load(spark, sf, "documents")
-    return tfidf(tb.dealt(documents, "doc_id"), "doc_id", "text", tb.ACCENTED, tb.PLAIN, 10000)
+    return tfidf(tb.dealt(documents.select("doc_id", "text"), "doc_id", tb.TERM_TASK_BYTES), "doc_id", "text", tb.ACCENTED, tb.PLAIN, 10000)
 
 
 QUERIES = {

@@ -172,9 +172,9 @@ TERMS = 10_000
 
 
 def _term_vectors(spark, sf, plain):
-    docs = _docs(spark, sf)
+    docs = tb.dealt(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id", tb.TERM_TASK_BYTES)
     counts = modelling.term_counts(docs, "doc_id", "text", tb.ACCENTED, tb.PLAIN)
-    weights = modelling.term_weights(counts, modelling.vocabulary(counts, docs.count(), TERMS), "doc_id")
+    weights = modelling.term_weights(counts, modelling.vocabulary(counts, tb.load(spark, sf, "documents").count(), TERMS), "doc_id")
     return modelling.sparse_vectors(weights, "doc_id", TERMS, plain=plain)
 
 
