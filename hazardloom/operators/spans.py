@@ -25,7 +25,7 @@ def evidence_spans(df: DataFrame, text: str = "description") -> DataFrame:
         for name, patterns in bank.items():
             terms = F.array_sort(F.array_distinct(m.all_terms(F.col("_low"), patterns, F.col("_seen"))))
             entries.append(F.struct(F.lit(kind).alias("evidence_type"), F.lit(name).alias("name"), terms.alias("terms")))
-    rows = sentence_rows(df, text).withColumn("_seen", m.staged(m.seen_words(F.col("_low"), needed)))
+    rows = sentence_rows(df, text).withColumn("_seen", m.staged(m.begun_words(F.col("_low"), needed)))
     if all(m.required_words(p) for p in needed):  # a sentence without any of the words has no hit
         rows = rows.where("_seen <> ''")
     rows = rows.withColumn("_spans", m.staged(F.filter(F.array(*entries), lambda x: F.size(x.terms) > 0)))
@@ -90,7 +90,7 @@ def pathway_inspection(df: DataFrame, text: str = "description") -> DataFrame:
         return F.filter(F.array(*entries), lambda x: F.size(x.terms) > 0)
 
     needed = [*m.bank_patterns(*families.values()), *audits.NEGATIONS]
-    rows = rows.withColumn("_seen", m.staged(m.seen_words(F.col("_low"), needed)))
+    rows = rows.withColumn("_seen", m.staged(m.begun_words(F.col("_low"), needed)))
     rows = rows.withColumns({"_" + k: m.staged(family(b)) for k, b in families.items()})
     rows = rows.withColumn("_gaps", m.staged(_spelled(audits.NEGATIONS)))
     out = {}
@@ -135,10 +135,10 @@ def precursor_features(df: DataFrame, text: str = "description") -> DataFrame:
     flags |= {
         "narrative_chars": m.staged(F.length(low)),
         "narrative_words": m.staged(tx.word_count(low)),
-        "max_height_m": m.staged(tx.max_number(low, precursors.HEIGHT)),
+        "max_height_m": m.staged(F.when(m.may_hit(low, precursors.HEIGHT), tx.max_number(low, precursors.HEIGHT))),
         "max_voltage_v": m.staged(tx.max_number(low, precursors.VOLTAGE)),
     }
-    rows = df.withColumn("_text", m.staged(tx.norm(F.col(text)))).withColumn("_seen", m.staged(m.seen_words(low, needed))).withColumns(flags)
+    rows = df.withColumn("_text", m.staged(tx.norm(F.col(text)))).withColumn("_seen", m.staged(m.begun_words(low, needed))).withColumns(flags)
     extra = {
         "significant_height_signal": F.coalesce(F.col("max_height_m") >= 2.0, F.lit(False)),
         "low_height_signal": F.coalesce(F.col("max_height_m") < 1.0, F.lit(False)),
