@@ -32,6 +32,7 @@ from hazardloom.session import shared_path
 PASSES = 40
 CLOSE = 1e-8  # largest change of a weight in the last step
 PARTS = 32  # of the first step of adding up
+BLOCK = 1024  # rows of a product that stay in the cache
 
 
 @dataclass(frozen=True)
@@ -100,6 +101,28 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def evenly(rows: DataFrame, key: str) -> DataFrame:
+    """One part a core, by key: a pass of a fit costs far more a byte than the join that made the rows, which adaptive execution
+    would leave in as few parts as their bytes fill."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def curvatures(z: np.ndarray, bend: np.ndarray, views: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
+    """Adds to each model's row of sums its z' diag(bend) z, over the columns of z that its view names: others are never used."""
+    size = z.shape[1]
+    root = np.sqrt(bend)
+    for columns, models in views:
+        own = np.zeros((len(models), len(columns), len(columns)))
+        for start in range(0, len(z), BLOCK):
+            part = np.ascontiguousarray(z[start : start + BLOCK, columns])
+            for i, m in enumerate(models):
+                scaled = part * root[start : start + BLOCK, m : m + 1]
+                own[i] += scaled.T @ scaled
+        at = (columns[:, None] * size + columns[None, :]).ravel()
+        for i, m in enumerate(models):
+            sums[m, at] += own[i].ravel()
+
+
 def added(rows: DataFrame, run, shape: str = "key int, part int, sums binary") -> DataFrame:
     """Per key the sum of the vectors that the tasks give, added up in two steps."""
 
@@ -250,10 +273,14 @@ def fit_all(rows: DataFrame, layout: Layout, specs: list[Spec], folds: int = 1)
             break
         rows_open = np.flatnonzero(open_)
         raw = np.stack([made[m].matrix.T @ weights[m] for m in rows_open], axis=1)
-        sent = spark.sparkContext.broadcast((raw, repeat[rows_open], out_fold[rows_open], weight[rows_open]))
+        alike: dict[bytes, list[int]] = {}
+        for i, m in enumerate(rows_open):
+            alike.setdefault((made[m].matrix != 0).any(0).tobytes(), []).append(i)
+        views = [(np.flatnonzero(np.frombuffer(k, bool)), np.array(v)) for k, v in alike.items()]
+        sent = spark.sparkContext.broadcast((raw, repeat[rows_open], out_fold[rows_open], weight[rows_open], views))
 
         def run(batches, sent=sent):
-            v, r, o, w = sent.value
+            v, r, o, w, views = sent.value
             sums = np.zeros((v.shape[1], size * size + size + 1))
             for b in batches:
                 z, y, fold = layout.numbers(b), b.column("truth").to_numpy(zero_copy_only=False).astype(np.int64), folds_of(b)
@@ -262,8 +289,7 @@ def fit_all(rows: DataFrame, layout: Layout, specs: list[Spec], folds: int = 1)
                 each = np.where(fold[:, r] != o, w[:, y].T, 0.0)
                 slope, bend = each * (p - y[:, None]), each * p * (1 - p)
                 loss = each * (np.logaddexp(0, margin) - y[:, None] * margin)
-                for m in range(v.shape[1]):
-                    sums[m, : size * size] += ((z * bend[:, m : m + 1]).T @ z).ravel()
+                curvatures(z, bend, views, sums)
                 sums[:, size * size : -1] += (z.T @ slope).T
                 sums[:, -1] += loss.sum(0)
             yield emitted(sums)

@@ -186,8 +186,16 @@ def stratified_folds(spark, sf):
 
 
 def _grouped(spark, sf):
-    rows = tb.labelled(spark, sf)
-    return pr.hashed_groups(rows, "raw_text").select("report_id", "label", "truth", F.col("derived_group_id").alias("duplicate_group_id"))
+    """Labelled reports with the group of their text; only their texts are hashed, once for all that reads the groups. Stored once."""
+
+    def build() -> DataFrame:
+        wanted = tb.load(spark, sf, "labels").where("quality is not null").select("doc_id")
+        docs = tb.dealt(tb.load(spark, sf, "documents"), "doc_id").join(wanted, "doc_id", "left_semi")
+        groups = pr.hashed_groups(tb.narrate(docs).select("report_id", "raw_text"), "raw_text").select("report_id", "derived_group_id")
+        rows = tb.with_labels(groups, spark, sf).where(F.col("label").isNotNull())
+        return rows.select("report_id", "label", (F.col("label") == "YES").cast("int").alias("truth"), F.col("derived_group_id").alias("duplicate_group_id"))
+
+    return tb.stored_once(spark, sf, "grouped", ["documents", "labels"], build)
 
 
 def group_folds(spark, sf):

@@ -74,7 +74,7 @@ def _folded(spark, sf) -> DataFrame:
     """Labelled rows with their group and their fold in each repeat."""
     dealt = eq.group_folds(spark, sf).groupBy("report_id", "duplicate_group_id").agg(F.sort_array(F.collect_list(F.struct("repeat", "fold"))).alias("x"))
     folds = dealt.select("report_id", "duplicate_group_id", F.col("x.fold").alias("folds"))  # one entry a repeat
-    return training.stored(model_rows(spark, sf).where("truth is not null").join(folds, "report_id"), "folded-rows")
+    return training.stored(training.evenly(model_rows(spark, sf).where("truth is not null").join(folds, "report_id"), "report_id"), "folded-rows")
 
 
 def cv_scores(spark, sf) -> DataFrame:
