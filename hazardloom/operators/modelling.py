@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from hazardloom.functions.matching import staged
 from hazardloom.functions.ordered import exact_quantiles
 from hazardloom.session import shared_path
 
@@ -37,10 +38,10 @@ def term_counts(df: DataFrame, id_column: str, text: str, accents: str, plain: s
     shuffled, and the vocabulary and the weights share the exchange that dealt the texts."""
     folded = F.translate(F.lower(F.col(text)), accents.lower(), plain.lower())
     words = F.regexp_extract_all(folded, F.lit(r"\b\w\w+\b"), 0)
-    rows = df.select(F.col(id_column), words.alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    rows = df.select(F.col(id_column), staged(words).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return rows.select(id_column, F.explode(grams).alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(id_column, staged(grams).alias("g")).select(id_column, F.explode("g").alias("term")).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n: int, features: int, max_share: float = 0.98) -> DataFrame:
