@@ -5,9 +5,11 @@ back by the reversed table, give each token's bytes, from which offsets and deco
 token may hold part of a character: offsets then name the character it lies in, and decoding
 joins bytes before it reads characters.
 
-A text is cut before each single space that stands between two visible characters. No match of the
-splitting pattern crosses such a cut, so the pieces are encoded on their own and those seen before
-come from a cache (of bounded size; it changes no result).
+Texts are cut before each single space that stands between two visible characters, around such a line
+break, and before a comma or full stop after a letter. No match of the splitting pattern crosses such a
+cut, so the distinct pieces of a batch are encoded on their own, many in one call, and those seen before
+come from a cache (of bounded size; it changes no result). The ids of whole batches are put together as
+arrays.
 
 Defined results: a null or empty text has no tokens; texts of any length are encoded whole; rows
 with equal ids stay separate rows; a null doc_id stays null; an empty table gives an empty one;
@@ -17,24 +19,23 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gc
 import os
 import re
-import struct
+import string
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import load, mapped, slices, texts_of, worker_state
+from hazardloom.llm.common import load, mapped, slices, text_bytes, texts_of, worker_state
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
-ENDS = (",", ".")
-LATIN_END = "\u0250"
-PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+AFTER_SPACE = re.compile(r" \S(?:[^ ]*\S)?")
+IN_LINE = re.compile(r"\S(?:[^\n]*\S)?")
+ENDS = b",."
 CACHED_PIECES = 1_000_000
-FILE_CACHED_PIECES = 1_500_000  # of a tokenizer file
 LEARNED_AT_ONCE = 5_000
 CACHED_LENGTH = 48
 
@@ -42,6 +43,9 @@ CACHED_LENGTH = 48
 # White space other than the plain space, by any library's reading.
 OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = np.isin(np.arange(256), list(f" {OTHER_BLANKS}".encode()))
+WIDE_CODES = {n: np.array([int.from_bytes(c.encode()) for c in WIDE_BLANKS if len(c.encode()) == n], np.uint32) for n in (2, 3)}
+LETTERS = np.isin(np.arange(256), list(string.ascii_letters.encode()))
 UNEVEN = ["  ", *[" " + c for c in OTHER_BLANKS], *[c + " " for c in OTHER_BLANKS]]
 
 
@@ -52,19 +56,47 @@ def evenly_spaced(text: str) -> bool:
     return text.isascii() or not any(c in text for c in WIDE_BLANKS)
 
 
-def parts_of(lead: str, piece: str):
-    """Parts that the splitting pattern never joins: the sides of a line break between visible characters, and a comma
-    or full stop after Latin letters."""
-    head, _, tail = piece.partition("\n")
-    if head and tail and not head[-1].isspace() and not tail[0].isspace():
-        yield from parts_of(lead, head)
-        yield "", "\n"
-        yield from parts_of("", tail)
-    elif piece[-1:] in ENDS and piece[:-1].isalpha() and max(piece) < LATIN_END:
-        yield lead, piece[:-1]
-        yield "", piece[-1]
-    else:
-        yield lead, piece
+def beside_wide_blank(data: np.ndarray, at: np.ndarray, before: bool) -> np.ndarray:
+    """Whether the character before (or after) each place is a blank of more than one byte."""
+    out = np.zeros(len(at), bool)
+    some = np.flatnonzero(data[at - 1 if before else at + 1] >= 0x80)
+    for n, codes in ((2, WIDE_CODES[2]), (3, WIDE_CODES[3])):
+        first = at[some] - n if before else at[some] + 1
+        fits = (first >= 0) & (first + n <= len(data))
+        code = np.zeros(int(fits.sum()), np.uint32)
+        for i in range(n):
+            code = code << np.uint32(8) | data[first[fits] + i]
+        out[some[fits]] |= np.isin(code, codes)
+    return out
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start: at every text that isn't empty; before a single space between visible characters; before and
+    after such a line break; before a comma or full stop after a letter from A to z or of Latin-1."""
+    marks = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        inner = np.ones(len(data), bool)
+        inner[0] = inner[-1] = False
+        inner[bounds[:-1][bounds[:-1] < len(data)]] = False
+        inner[bounds[1:][bounds[1:] > 0] - 1] = False
+        for blank in (32, 10):
+            at = np.flatnonzero((data == blank) & inner)
+            at = at[~(BLANKS[data[at - 1]] | BLANKS[data[at + 1]])]
+            at = at[~(beside_wide_blank(data, at, True) | beside_wide_blank(data, at, False))]
+            marks[at] = True
+            if blank == 10:
+                marks[at + 1] = True
+        at = np.flatnonzero((data == ENDS[0]) | (data == ENDS[1]))
+        at = at[at > 1]
+        last = data[at - 1]
+        marks[at[LETTERS[last] | (data[at - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]] = True
+    marks[bounds[:-1]] = True
+    return np.flatnonzero(marks[:-1])
+
+
+def with_room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer one that begins with it, with room for n values."""
+    return values if len(values) >= n else np.concatenate([values, np.zeros(max(n, len(values) * 3 // 2) - len(values), values.dtype)])
 
 
 def byte_characters() -> list[str]:
@@ -103,6 +135,11 @@ def bytes_by_id(vocab: dict[str, int]) -> list[bytes]:
     return out
 
 
+def packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Ids of texts, end to end, as a binary column: little-endian unsigned 32-bit integers."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+
+
 class Codec:
     """A tokenizer of the library with a piece cache, and its tokens' bytes by id. What a text holds of the strings of special tokens
     is read as the library reads it by default: a file in its format names such tokens, ranks name none."""
@@ -113,9 +150,12 @@ class Codec:
         self.tokenizer = tokenizer
         self.token_bytes = bytes_by_id(tokenizer.get_vocab())
         self.token_lengths = np.array([len(b) for b in self.token_bytes], np.int64)
-        #: Ids of pieces by what leads them: nothing, or a space.
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.long: list[tuple[str, str]] = []
+        #: Tokens that begin with a space, and those that a line break alone gives.
+        self.spaced = np.array([b[:1] == b" " for b in self.token_bytes], bool)
+        self.line = self._ids("\n")
+        #: Rows of the pieces known, in the order in which they came; row i has the ids from begin[i] to begin[i + 1].
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begin = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64)
 
     @classmethod
     def from_ranks(cls, data: bytes, pattern: str) -> Codec:
@@ -134,73 +174,78 @@ class Codec:
     def from_json(cls, data: bytes) -> Codec:
         from tokenizers import Tokenizer
 
-        return cls(Tokenizer.from_str(data.decode()), FILE_CACHED_PIECES)
-
-    def _encode_fresh(self, lead: str, pieces: list[str]) -> None:
-        known = self.known[lead]
-        for at in range(0, len(pieces), LEARNED_AT_ONCE):
-            some = pieces[at : at + LEARNED_AT_ONCE]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some] if lead else some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[p] = PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else np.array(ids, "<u4").tobytes()
-
-    def _learn(self, lead: str, pieces: set[str]) -> None:
-        """Adds the ids of pieces with their lead, a space or nothing: parts are encoded a few at a time and joined."""
-        known = self.known[lead]
-        fresh, marked, broken = set(), [], []
+        return cls(Tokenizer.from_str(data.decode()))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and how many each has; the library gets the pieces one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
+
+    def _after_spaces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that have one space, in front: in one text, a token that begins with a space begins a piece."""
+        ids = self._ids("".join(pieces))
+        starts = np.flatnonzero(self.spaced[ids])
+        return (ids, np.diff(starts, append=len(ids))) if len(starts) == len(pieces) else self._each(pieces)
+
+    def _in_lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces without line breaks or outer blanks: in one text, a line each."""
+        ids = self._ids("\n".join(pieces))
+        breaks = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else self.line
+        if len(breaks) != len(pieces) - 1:
+            return self._each(pieces)
+        return np.delete(ids, breaks), np.diff(breaks, prepend=-1, append=len(ids)) - 1
+
+    def _add(self, pieces: list[bytes]) -> None:
+        """Makes rows of pieces that are not known."""
+        kinds: tuple[list[bytes], ...] = ([], [], [])
         for p in pieces:
-            if p[-1:] in ENDS and p[:-1].isalpha() and (p.isascii() or max(p) < LATIN_END):
-                marked.append(p)
-                if p[:-1] not in known:
-                    fresh.add(p[:-1])
-            elif "\n" in p:
-                broken.append(p)
-            else:
-                fresh.add(p)
-        parts = {p: list(parts_of(lead, p)) for p in broken}
-        wanted = {lead: fresh, **({} if lead == "" else {"": set()})}
-        for found in parts.values():
-            for a, b in found:
-                if b not in self.known[a]:
-                    wanted[a].add(b)
-        wanted[""].update(c for c in (*ENDS, "\n") if c not in self.known[""])
-        for a, found in wanted.items():
-            self._encode_fresh(a, list(found))
-            self.long += [(a, p) for p in found if len(p) > CACHED_LENGTH]
-        end = {c: self.known[""][c] for c in ENDS}
-        for p in marked:
-            known[p] = known[p[:-1]] + end[p[-1]]
-        for p, found in parts.items():
-            known[p] = b"".join([self.known[a][b] for a, b in found])
-        self.long += [(lead, p) for p in pieces if len(p) > CACHED_LENGTH]
+            text = p.decode()
+            kinds[0 if AFTER_SPACE.fullmatch(text) else 1 if IN_LINE.fullmatch(text) else 2].append(p)
+        for found, encoded in zip(kinds, (self._after_spaces, self._in_lines, self._each), strict=True):
+            for at in range(0, len(found), LEARNED_AT_ONCE):
+                some = found[at : at + LEARNED_AT_ONCE]
+                ids, sizes = encoded([p.decode() for p in some])
+                n, used = len(self.known), int(self.begin[len(self.known)])
+                self.flat = with_room(self.flat, used + len(ids))
+                self.begin = with_room(self.begin, n + len(some) + 1)
+                self.flat[used : used + len(ids)] = ids
+                self.begin[n + 1 : n + 1 + len(some)] = used + np.cumsum(sizes)
+                self.known.update(zip(some, range(n, n + len(some)), strict=True))
+
+    def _keep(self, n: int) -> None:
+        """Forgets all but the first n rows."""
+        while len(self.known) > n:
+            self.known.popitem()
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the n+1 offsets of the texts into them."""
+        data, bounds = text_bytes(texts)
+        starts = piece_starts(data, bounds)
+        edges = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        row_of = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(row_of < 0)
+        fresh = [distinct[i] for i in missing.tolist()]
+        self._add([p for p in fresh if len(p) <= CACHED_LENGTH])
+        short = len(self.known)
+        self._add([p for p in fresh if len(p) > CACHED_LENGTH])
+        row_of[missing] = [self.known[p] for p in fresh]
+        rows = row_of[pieces.indices.to_numpy()]
+        first = self.begin[rows]
+        sizes = self.begin[rows + 1] - first
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        # frequent pieces came first: the later half goes
+        self._keep(short if short <= self.cached else self.cached // 2)
+        return ids, np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(starts, bounds)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        collecting = gc.isenabled()
-        gc.disable()  # many small objects are made here, none in cycles
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        first, spaced = self.known[""], self.known[" "]
-        cut = [(t.split(" "), True) if evenly_spaced(t) else (CUT.split(t), False) for t in texts]
-        opening = {c[0] for c, _ in cut} | {p for c, even in cut if not even for p in c}
-        inner = set().union(*[c[1:] for c, even in cut if even])
-        self._learn(" ", inner.difference(spaced))
-        self._learn("", opening.difference(first))
-        out = [first[c[0]] + b"".join(map((spaced if even else first).__getitem__, c[1:])) for c, even in cut]
-        for lead, p in self.long:
-            self.known[lead].pop(p, None)
-        self.long.clear()
-        for known in self.known.values():
-            if len(known) > self.cached:
-                # frequent pieces came first: the later half goes
-                for _ in range(len(known) // 2):
-                    known.popitem()
-        return out
+        return packed(*self.encode_column(pa.array(texts, pa.string()))).to_pylist()
 
     def byte_starts(self, ids: bytes) -> np.ndarray:
         ends = np.cumsum(self.token_lengths[np.frombuffer(ids, "<u4")])
@@ -253,12 +298,12 @@ def encode(docs: DataFrame, vocab: tuple, offsets: bool = False) -> DataFrame:
     def run(batches):
         codec = codec_of(vocab)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
-                texts = b.column("text").to_pylist()
-                ids = codec.encode(texts)
-                columns = [b.column("doc_id"), pa.array(ids, pa.binary())]
+            for b in slices(whole, "text"):
+                ids = packed(*codec.encode_column(b.column("text")))
+                columns = [b.column("doc_id"), ids]
                 if offsets:
-                    columns.append(pa.array([codec.character_spans(i, t) for i, t in zip(ids, texts, strict=True)], schema.field("spans").type))
+                    pairs = zip(ids.to_pylist(), b.column("text").to_pylist(), strict=True)
+                    columns.append(pa.array([codec.character_spans(i, t) for i, t in pairs], schema.field("spans").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return mapped(texts_of(docs), run, "doc_id long, ids binary" + ", spans array<array<int>>" * offsets, state=True)

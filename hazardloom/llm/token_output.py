@@ -116,18 +116,19 @@ def write(docs: DataFrame, vocab: tuple, folder: str, length: int = 2048, end_id
 
     def run(batches):
         codec, task = codec_of(vocab), TaskContext.get()
-        n, writer, end = task.partitionId(), None, np.array([end_id], np.uint32)
+        n, writer = task.partitionId(), None
         path = f"{folder}/ids-{n:06d}-{task.taskAttemptId()}.arrow"
         system, inner = file_system(path)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text"):
                 if writer is None:
                     system.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(f"{inner}.writing")
                     writer = Writer(sink, length, end_id, len(codec.token_bytes) > 1 << 16)
-                found = [np.concatenate([np.frombuffer(x, "<u4"), end]) for x in codec.encode(b.column("text").to_pylist())]
-                places = [writer.add(x) for x in found]
-                columns = [[n] * len(found), [path] * len(found), b.column("doc_id"), places, [len(x) for x in found]]
+                ids, at = codec.encode_column(b.column("text"))
+                place = writer.add(np.insert(ids, at[1:], end_id))
+                at += np.arange(len(at))  # with an end id after each text
+                columns = [np.full(b.num_rows, n), [path] * b.num_rows, b.column("doc_id"), place + at[:-1], np.diff(at)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True)], [k for k, _ in names])
         if writer:
             writer.close()
