@@ -4,10 +4,10 @@ Documents are dealt out by ranges of doc_id and sorted; each task joins its docu
 end id after each, into one run, cuts it into sequences of `length` ids and writes them with their
 masks as fixed-size lists, `ROWS` sequences a batch. Every batch but the last is full, so the place of
 any id follows from its number, and a memory-mapped file gives it without copying. The index of
-documents (file, place, number of ids) is a table of its own.
+documents (file, place, number of ids) is a table of its own, written by the same tasks.
 
 A file gets its final name when it is whole, and the name holds the attempt, so a task that runs again
-or twice never damages a file that the index names.
+or twice never damages a file that the index names: the index is read for the attempts that Spark took.
 
 Defined results: the string of a special token in a text becomes its id, as the library has it; a null or empty text is its end id alone; rows with equal ids are ordered by text; a
 null doc_id comes first; an empty table gives no file and no rows; the last sequence of a file is
@@ -15,6 +15,7 @@ filled up with the end id under a false mask; other columns are neither read nor
 
 from __future__ import annotations
 
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardloom.llm.byte_bpe import codec_of, vocabulary
-from hazardloom.llm.common import load, mapped, shuffle_partitions, slices, staged, texts_of
+from hazardloom.llm.common import load, mapped, shuffle_partitions, slices, texts_of
 from hazardloom.session import shared_path
 
 ROWS = 256
+READ_IDS = 1 << 20
 INDEX = "file int, path string, doc_id long, place long, n_tokens long"
+FIELDS = pa.schema([("file", pa.int32()), ("path", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64())])
+INDEX_ROWS = 1 << 17
 
 
 def file_system(uri: str):
@@ -108,16 +112,46 @@ class Reader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
+class IndexWriter:
+    """Writes the index rows of a file of ids beside it, under the same name."""
+
+    def __init__(self, system, path: str):
+        from pyarrow import parquet
+
+        self.system, self.path = system, path
+        at, _, name = path.rpartition("/")
+        system.create_dir(at, recursive=True)
+        self.begun = f"{at}/_{name}"  # Spark's readers pass over such names
+        self.out, self.held, self.size = parquet.ParquetWriter(self.begun, FIELDS, filesystem=system), [], 0
+
+    def add(self, *columns) -> None:
+        self.held.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS))
+        self.size += self.held[-1].num_rows
+        if self.size >= INDEX_ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.out.write_table(pa.concat_tables(self.held).combine_chunks())
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        if self.held:
+            self._flush()
+        self.out.close()
+        self.system.move(self.begun, self.path)
+
+
 def write(docs: DataFrame, vocab: tuple, folder: str, length: int = 2048, end_id: int = 0) -> DataFrame:
-    """Writes the files and returns the stored index: file, path, doc_id, place in the file, n_tokens."""
+    """Writes the files and returns the stored index: file, path, doc_id, place in the file, n_tokens. The tasks write the index too, so
+    an executor starts no process for each of them to set the rights of a file; the driver gets one name a file."""
     spark = docs.sparkSession
     rows = texts_of(docs).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    names = [("file", pa.int32()), ("path", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64())]
 
     def run(batches):
         codec, task = codec_of(vocab), TaskContext.get()
         n, writer = task.partitionId(), None
-        path = f"{folder}/ids-{n:06d}-{task.taskAttemptId()}.arrow"
+        name = f"ids-{n:06d}-{task.taskAttemptId()}"
+        path = f"{folder}/{name}.arrow"
         system, inner = file_system(path)
         for whole in batches:
             for b in slices(whole, "text"):
@@ -125,17 +159,23 @@ def write(docs: DataFrame, vocab: tuple, folder: str, length: int = 2048, end_id
                     system.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(f"{inner}.writing")
                     writer = Writer(sink, length, end_id, len(codec.token_bytes) > 1 << 16)
+                    index = IndexWriter(system, f"{inner.rpartition('/')[0]}/index/{name}.parquet")
                 ids, at = codec.encode_column(b.column("text"))
                 place = writer.add(np.insert(ids, at[1:], end_id))
                 at += np.arange(len(at))  # with an end id after each text
-                columns = [np.full(b.num_rows, n), [path] * b.num_rows, b.column("doc_id"), place + at[:-1], np.diff(at)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True)], [k for k, _ in names])
+                index.add(np.full(b.num_rows, n), [path] * b.num_rows, b.column("doc_id"), place + at[:-1], np.diff(at))
         if writer:
             writer.close()
             sink.close()
             system.move(f"{inner}.writing", inner)
+            index.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
-    return staged(mapped(rows, run, INDEX, state=True), "token-index")
+    whole = mapped(rows, run, "path string", state=True).toArrow()
+    if not whole.num_rows:
+        return spark.createDataFrame([], INDEX)
+    found = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    return found.join(F.broadcast(spark.createDataFrame(whole)), "path", "left_semi").select(*FIELDS.names)
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -151,13 +191,16 @@ def read(index: DataFrame) -> DataFrame:
 
     def run(batches):
         reader, opened = None, ""
-        for b in batches:
-            out = []
-            for path, place, n in zip(*(b.column(c).to_pylist() for c in ("path", "place", "n_tokens")), strict=True):
-                if path != opened:
-                    reader, opened = Reader(path), path
-                out.append(reader.ids(place, n).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        for whole in batches:
+            shares = np.cumsum(whole.column("n_tokens").to_numpy()) // READ_IDS
+            cuts = (np.flatnonzero(np.diff(shares)) + 1).tolist()
+            for b in (whole.slice(a, z - a) for a, z in pairwise([0, *cuts, whole.num_rows])):
+                out = []
+                for path, place, n in zip(*(b.column(c).to_pylist() for c in ("path", "place", "n_tokens")), strict=True):
+                    if path != opened:
+                        reader, opened = Reader(path), path
+                    out.append(reader.ids(place, n).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return mapped(index.select("path", "doc_id", "place", "n_tokens", "start"), run, "doc_id long, start long, n_tokens long, ids binary", state=True)
 

@@ -74,3 +74,35 @@ def test_files_hold_texts_of_several_batches(spark):
     peer = byte_bpe.Codec.from_json(whole_file()).tokenizer
     sizes = [len(e.ids) + 1 for e in peer.encode_batch(texts, add_special_tokens=False)]
     assert [r.n_tokens for r in rows] == sizes and [r.start for r in rows] == [sum(sizes[:i]) for i in range(5)]
+
+
+def test_the_index_is_written_by_the_tasks_and_names_whole_attempts_only(spark, tmp_path, monkeypatch):
+    """One row a file reaches the driver, Spark itself writes no file; a file of an attempt that Spark did not take is passed over."""
+    import shutil
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from helpers import documents
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_, **__: pytest.fail("a file for each task"))
+    lost, folder = tmp_path / "out/index/ids-000000-999999.parquet", str(tmp_path / "out")
+    lost.parent.mkdir(parents=True)
+    pq.write_table(pa.Table.from_pylist([{"file": 0, "path": f"{folder}/ids-000000-999999.arrow", "doc_id": 1, "place": 0, "n_tokens": 9}], token_output.FIELDS), lost)
+    shutil.copy(lost, lost.parent / "_begun.parquet")
+    index = token_output.write(documents(spark, words(500)), byte_bpe.vocabulary(spark, P.path("byte_bpe_50k.json")), folder)
+    assert spark.read.schema(token_output.INDEX).parquet(f"{folder}/index").count() == 501
+    rows = index.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(500))
+    assert {r.path for r in rows} == {str(p) for p in (tmp_path / "out").glob("*.arrow")}
+
+
+def test_ids_are_read_back_in_parts(spark, monkeypatch):
+    """Batches of rows with many ids are cut; an empty text and a long one keep their rows."""
+    from helpers import documents
+
+    texts = ["", *(" ".join(words(40)) for _ in range(30)), " ".join(words(3000)), ""]
+    vocab = byte_bpe.vocabulary(spark, P.path("byte_bpe_50k.json"))
+    want = sorted(token_output.op8(documents(spark, texts), vocab, length=64).collect())
+    monkeypatch.setattr(token_output, "READ_IDS", 500)
+    assert sorted(token_output.op8(documents(spark, texts), vocab, length=64).collect()) == want and len(want) == 33
