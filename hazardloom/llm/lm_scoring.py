@@ -802,4 +802,6 @@ def op1(docs: DataFrame, order: int = 2) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # records are large, and an executor holds several batches outside its heap
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     return op1(load(spark, sf_dir, "documents"))
